@@ -13,6 +13,7 @@ from papyrine.llm._shared import table
 OPERATORS = {
     "op2_token_counts": ("token_counts", "op2_token_counts", "documents"),
     "op5_packing": ("packing", "op5_packing", "documents"),
+    "op9_nearest_neighbours": ("ann", "op9_nearest_neighbours", "embeddings"),
     "op10_language_id": ("langid", "op10_language_id", "documents"),
 }
 
