@@ -12,6 +12,7 @@ from papyrine.llm._shared import table
 #: Query name: module, function, table.
 OPERATORS = {
     "op2_token_counts": ("token_counts", "op2_token_counts", "documents"),
+    "op3_segmentation_samples": ("sp_sampling", "op3_segmentation_samples", "documents"),
     "op5_packing": ("packing", "op5_packing", "documents"),
     "op9_nearest_neighbours": ("ann", "op9_nearest_neighbours", "embeddings"),
     "op10_language_id": ("langid", "op10_language_id", "documents"),
