@@ -11,6 +11,7 @@ from papyrine.llm._shared import table
 
 #: Query name: module, function, table.
 OPERATORS = {
+    "op1_fingerprints": ("fingerprints", "op1_fingerprints", "documents"),
     "op2_token_counts": ("token_counts", "op2_token_counts", "documents"),
     "op3_segmentation_samples": ("sp_sampling", "op3_segmentation_samples", "documents"),
     "op5_packing": ("packing", "op5_packing", "documents"),
