@@ -15,6 +15,7 @@ OPERATORS = {
     "op2_token_counts": ("token_counts", "op2_token_counts", "documents"),
     "op3_segmentation_samples": ("sp_sampling", "op3_segmentation_samples", "documents"),
     "op5_packing": ("packing", "op5_packing", "documents"),
+    "op7_warc": ("warc", "op7_warc", "pages"),
     "op9_nearest_neighbours": ("ann", "op9_nearest_neighbours", "embeddings"),
     "op10_language_id": ("langid", "op10_language_id", "documents"),
 }
