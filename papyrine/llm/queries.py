@@ -9,21 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from papyrine.llm._shared import table
 
-#: Query name: module, function, table.
+#: Query name: module, function, table (None: the function takes session and folder).
 OPERATORS = {
     "op1_fingerprints": ("fingerprints", "op1_fingerprints", "documents"),
     "op2_token_counts": ("token_counts", "op2_token_counts", "documents"),
     "op3_segmentation_samples": ("sp_sampling", "op3_segmentation_samples", "documents"),
     "op5_packing": ("packing", "op5_packing", "documents"),
+    "op6_quality": ("quality", "query", None),
     "op7_warc": ("warc", "op7_warc", "pages"),
     "op9_nearest_neighbours": ("ann", "op9_nearest_neighbours", "embeddings"),
     "op10_language_id": ("langid", "op10_language_id", "documents"),
 }
 
 
-def _query(module: str, function: str, name: str) -> Callable[[SparkSession, str], DataFrame]:
+def _query(module: str, function: str, name: str | None) -> Callable[[SparkSession, str], DataFrame]:
     apply = getattr(importlib.import_module(f"papyrine.llm.{module}"), function)
-    return lambda spark, sf_dir: apply(table(spark, sf_dir, name))
+    return apply if name is None else lambda spark, sf_dir: apply(table(spark, sf_dir, name))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
