@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from papyrine.llm._shared import small_batches
 from papyrine.llm._text import PRIME, mix, slices
-from papyrine.llm.token_counts import BLANK, UNKNOWN_PENALTY, vocabulary
+from papyrine.llm.token_counts import BLANK, UNKNOWN_PENALTY, parts, splits, vocabulary
 
 #: Segmentations of each text, and the factor on piece scores (the smaller, the more even).
 SAMPLES, ALPHA = 3, 0.001
@@ -49,6 +49,7 @@ class Lattices:
 
         self.pieces, self.by_byte = vocabulary(model_path)
         self.alpha = alpha
+        self.cuts = splits(self.pieces)
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
         top = 1 + max(i for i, _ in self.pieces.values())
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -125,18 +126,9 @@ class Lattices:
         self.known.update(zip(words, (offset + base[:-1]).tolist(), strict=True))
 
     def words(self, text: str) -> list[str]:
-        """A text's independent parts: cut before blanks and around line breaks."""
-        if not text:
-            return []
-        out: list[str] = []
-        for number, line in enumerate((BLANK + text.replace(" ", BLANK)).split("\n")):
-            if number:
-                out.append("\n")
-            head, *rest = line.split(BLANK)
-            if head:
-                out.append(head)
-            out += [BLANK + w for w in rest]
-        return out
+        """A text's independent parts."""
+        marked = BLANK + text.replace(" ", BLANK) if text else ""
+        return parts(marked) if self.cuts else [marked][: len(marked)]
 
     def pick(self, states: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge that each uniform number picks at each state."""

@@ -6,13 +6,14 @@ same score the tokenizer's own rule decides: at each position the earliest start
 and only a strictly better score replaces it. A character in no piece costs ten less than the worst
 piece and counts as its UTF-8 bytes (byte fallback).
 
-No piece other than runs of blanks holds a blank after its first character, so a text is cut before
-blanks and around line breaks, and each worker remembers the result of short parts.
+No piece holds a blank after another character, so a text is cut before each run of blanks and around
+line breaks, and each worker remembers the result of short parts.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,20 @@ def vocabulary(path: str) -> tuple[dict[str, tuple[int, float]], list[int]]:
     return pieces, by_byte
 
 
+_PARTS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
+
+
+def parts(text: str) -> list[str]:
+    """The independent parts of a text whose blanks are marked: runs of blanks with what follows, and
+    line breaks, in order."""
+    return _PARTS.findall(text)
+
+
+def splits(pieces: dict) -> bool:
+    """Whether no piece crosses the places where parts() cuts."""
+    return not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in pieces)
+
+
 class UnigramCounter:
     """Piece count and score of the best segmentation."""
 
@@ -55,13 +70,8 @@ class UnigramCounter:
         self.automaton.make_automaton()
         self.single = {p for p in pieces if len(p) == 1}
         self.unknown = min(score for _, score in pieces.values()) - UNKNOWN_PENALTY
-        runs = [p for p in pieces if BLANK in p[1:]]
-        one = pieces.get(BLANK, (0, -np.inf))[1]
-        #: Pieces that hold a blank inside would need longer parts; runs of blanks that single ones beat never win.
-        self.cuts = all(set(p) == {BLANK} and pieces[p][1] < len(p) * one for p in runs)
-        self.multi = {c for p in pieces if len(p) > 1 for c in p}
+        self.cuts = splits(pieces)
         self.line = self.viterbi("\n")
-        self.cuts_lines = "\n" not in self.multi
         count = self.viterbi
 
         class Memo(dict):
@@ -102,17 +112,20 @@ class UnigramCounter:
     def count(self, text: str) -> tuple[int, float]:
         if not text:
             return 0, 0.0
-        if not (self.cuts and self.cuts_lines):
+        text = text.replace(BLANK, " ")
+        if not self.cuts:
             return self.viterbi(BLANK + text.replace(" ", BLANK))
+        if "  " in text or text[0] == " " or " \n" in text or text[-1] == " ":
+            found = list(map(self.bare.__getitem__, parts(BLANK + text.replace(" ", BLANK))))
+            return sum([x[0] for x in found]), sum([x[1] for x in found])
         total, score, first = 0, 0.0, True
-        text = text.replace(BLANK, " ")
         for line in text.split("\n"):
             head, *rest = line.split(" ")
+            if not first:
+                total, score = total + self.line[0], score + self.line[1]
             if first or head:
                 n, s = (self.led if first else self.bare)[head]
                 total, score = total + n, score + s
-            if not first:
-                total, score = total + self.line[0], score + self.line[1]
             first = False
             if rest:
                 found = list(map(self.led.__getitem__, rest))
