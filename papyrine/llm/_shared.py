@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch sent to a Python worker; long texts then stay small in memory.
-ARROW_ROWS = 256
+#: Rows and bytes of one Arrow batch sent to a Python worker.
+ARROW_ROWS, ARROW_BYTES = 1000, "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of each Arrow batch, so that memory follows a batch, not a partition."""
+    """Bounds each Arrow batch, so that memory follows a batch, not a partition; and has shuffle files
+    go with the query that wrote them, so that stages of one operator do not add up on disk."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:

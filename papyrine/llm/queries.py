@@ -17,6 +17,7 @@ OPERATORS = {
     "op5_packing": ("packing", "op5_packing", "documents"),
     "op6_quality": ("quality", "query", None),
     "op7_warc": ("warc", "op7_warc", "pages"),
+    "op8_suffix_dedup": ("suffix_dedup", "op8_suffix_dedup", "documents"),
     "op9_nearest_neighbours": ("ann", "op9_nearest_neighbours", "embeddings"),
     "op10_language_id": ("langid", "op10_language_id", "documents"),
 }
