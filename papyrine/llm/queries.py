@@ -14,6 +14,7 @@ OPERATORS = {
     "op1_fingerprints": ("fingerprints", "op1_fingerprints", "documents"),
     "op2_token_counts": ("token_counts", "op2_token_counts", "documents"),
     "op3_segmentation_samples": ("sp_sampling", "op3_segmentation_samples", "documents"),
+    "op4_ngram_join": ("ngram_join", "op4_ngram_join", "documents"),
     "op5_packing": ("packing", "op5_packing", "documents"),
     "op6_quality": ("quality", "query", None),
     "op7_warc": ("warc", "op7_warc", "pages"),
