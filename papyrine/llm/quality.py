@@ -259,8 +259,9 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("good")).filter("good").select("doc_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, slack: float = SLACK, head: int = HEAD) -> DataFrame:
-    """One row per document: doc_id, lang, n_symbols, log_prob, perplexity, judged, threshold, keep.
+def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, slack: float = SLACK, head: int = HEAD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, lang, n_symbols, log_prob, perplexity, judged, threshold, keep,
+    and the columns in ``carry``.
 
     The model learns from every document whose id ``labels`` trusts. ``judged`` is the perplexity with
     some symbols of median perplexity added; a document is kept if it is at most its language's
@@ -271,7 +272,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE,
     trusted = stored(trusted_ids(labels), "trusted")
     few = trusted.count() <= BROADCAST_IDS
     ids = F.broadcast(trusted) if few else trusted
-    docs = docs.select("doc_id", "lang", "text")
+    docs = docs.select("doc_id", "lang", "text", *carry)
     grams5 = stored(count_grams(docs.join(ids, "doc_id", "left_semi").select("text")), "grams5")
     rows = stored(score(docs, grams5, head=head), "perplexity")
     # Judged by perplexity drawn towards the median: a short text's own says little.
@@ -283,7 +284,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE,
     overall = known.agg(level.alias("all")).first()["all"]
     threshold = F.coalesce("own", F.lit(overall).cast("double")) * slack
     out = judged.withColumn("_lang", F.coalesce("lang", F.lit(""))).join(F.broadcast(by_lang) if by_lang.count() < 10_000 else by_lang, "_lang", "left").withColumn("threshold", threshold)
-    return out.select("doc_id", "lang", "n_symbols", "log_prob", "perplexity", "judged", "threshold", F.coalesce(F.col("judged") <= F.col("threshold"), F.col("threshold").isNull()).alias("keep"))
+    return out.select("doc_id", "lang", "n_symbols", "log_prob", "perplexity", "judged", "threshold", F.coalesce(F.col("judged") <= F.col("threshold"), F.col("threshold").isNull()).alias("keep"), *carry)
 
 
 def op6_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
