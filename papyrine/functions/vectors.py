@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSIONS = 256
 #: FNV-1a seeds and multiplier.
@@ -87,7 +88,7 @@ def embed_text(text: str) -> list[float] | None:
     return (sums / norm).tolist() if norm > 0 else None
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def embed_documents(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Document vectors with each word hashed once a worker: the fast form for long bodies."""
     import re
@@ -119,13 +120,13 @@ def fnv1a(data: bytes, seed: int = FNV_SEED) -> int:
     return seed
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def path_document_id(paths: pd.Series) -> pd.Series:
     """file:<16 hex digits> of a path's bytes."""
     return paths.map(lambda p: None if p is None else f"file:{fnv1a(bytes(p) if not isinstance(p, str) else p.encode()):016x}")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def fingerprint(titles: pd.Series, bodies: pd.Series) -> pd.Series:
     """Sixteen bytes that tell whether a document's embedding input changed: two hashes with a step
     between title and body, little-endian."""
@@ -145,7 +146,7 @@ def encode_vector(vector: list[float]) -> bytes:
     return np.asarray(vector, "<f4").tobytes()
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(data: pd.Series) -> pd.Series:
     """Stored vectors; null where the bytes are no whole, finite, non-zero vector."""
 

@@ -15,6 +15,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyrine.errors import ParseError
 from papyrine.functions.text import extension, file_name
@@ -260,7 +261,7 @@ def parse_files(files: DataFrame, options: ParseOptions | None = None) -> DataFr
     return bad.unionByName(plain).unionByName(rich)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text(pages: pd.Series) -> pd.Series:
     """Visible text of HTML strings; null where it cannot be parsed."""
 
@@ -273,7 +274,7 @@ def html_text(pages: pd.Series) -> pd.Series:
     return pages.map(one)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def json_depths(texts: pd.Series) -> pd.Series:
     """Depth of JSON strings; null where invalid."""
 
