@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from papyrine.llm._shared import small_batches
 from papyrine.llm._text import PRIME, mix, slices
-from papyrine.llm.token_counts import BLANK, UNKNOWN_PENALTY, parts, splits, vocabulary
+from papyrine.llm.token_counts import BLANK, UNKNOWN_PENALTY, parts, splits, vocabulary, word_ends
 
 #: Segmentations of each text, and the factor on piece scores (the smaller, the more even).
 SAMPLES, ALPHA = 3, 0.001
@@ -49,7 +49,7 @@ class Lattices:
 
         self.pieces, self.by_byte = vocabulary(model_path)
         self.alpha = alpha
-        self.cuts = splits(self.pieces)
+        self.cuts, self.ends = splits(self.pieces), word_ends(self.pieces)
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
         top = 1 + max(i for i, _ in self.pieces.values())
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -63,6 +63,10 @@ class Lattices:
         self.automaton.make_automaton()
         self.text_of = {i: p.encode() for p, (i, _) in self.pieces.items()}
         self.text_of |= {i: bytes([b]) for b, i in enumerate(self.by_byte)}
+        content = [self.text_of.get(i, b"") for i in range(1 + max(self.text_of))]
+        self.pool = np.frombuffer(b"".join(content).replace(BLANK.encode(), b" "), np.uint8)
+        self.pool_sizes = np.array([len(c.replace(BLANK.encode(), b" ")) for c in content])
+        self.pool_begins = np.cumsum(self.pool_sizes) - self.pool_sizes
         self.forget()
 
     def forget(self) -> None:
@@ -128,7 +132,7 @@ class Lattices:
     def words(self, text: str) -> list[str]:
         """A text's independent parts."""
         marked = BLANK + text.replace(" ", BLANK) if text else ""
-        return parts(marked) if self.cuts else [marked][: len(marked)]
+        return parts(marked, self.ends) if self.cuts else [marked][: len(marked)]
 
     def pick(self, states: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge that each uniform number picks at each state."""
@@ -167,9 +171,14 @@ class Lattices:
             return np.concatenate([*parts, pieces[last:]])
         return pieces
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids: pieces in a row, byte pieces as bytes, blanks restored, the first dropped."""
-        text = b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace").replace(BLANK, " ")
+        ids = np.asarray(ids, np.int64)
+        sizes = self.pool_sizes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat(self.pool_begins[ids] - ends + sizes, sizes) + np.arange(total)
+        text = self.pool[at].tobytes().decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -215,40 +224,44 @@ def sample(lattices: Lattices, texts: list[np.ndarray], k: int, seeds: np.ndarra
                 heads.append(np.zeros(0, np.int64))
                 starts.append(texts[i][word:])
         sizes = np.array([len(x) for x in starts])
-        place = np.concatenate([np.arange(n) for n in sizes])
+        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         more, number = lattices.follow(np.concatenate(starts).astype(np.int64), np.repeat(seed, sizes) + mix((place.astype(np.uint64) + np.uint64(1)) << np.uint64(20)))
         cuts = np.searchsorted(number, np.concatenate([[0], np.cumsum(sizes)]))
-        chances = lattices.chance[more]
-        logs, rest = np.log(chances), 1.0 - chances
-        noise = -np.log(uniform(np.repeat(seed, np.diff(cuts)) ^ mix(np.arange(len(more)).astype(np.uint64) - np.repeat(cuts[:-1], np.diff(cuts)).astype(np.uint64))))
+        # Each search's step from its own node comes before the steps that were followed from there.
+        lead = np.array([len(h) for h in heads])
+        spots = np.repeat(cuts[:-1], lead)
+        edges = np.insert(more, spots, np.concatenate(heads)) if lead.any() else more
+        bounds = cuts + np.concatenate([[0], np.cumsum(lead)])
+        lengths = np.diff(bounds)
+        chances = lattices.chance[edges]
+        left = 1.0 - chances
+        for j in np.flatnonzero(lead):
+            left[bounds[j]] -= lattices.chance[np.array(popped[j][6])].sum()
+        logs = np.log(chances)
+        sums = np.concatenate([[0.0], np.cumsum(logs)])
+        starting = np.array([node[3] for node in popped]) - sums[bounds[:-1]]
+        before_step = sums[:-1] + np.repeat(starting, lengths)
+        totals = sums[bounds[1:]] + starting
+        noise = -np.log(uniform(np.repeat(seed, lengths) ^ mix((np.arange(len(edges)) - np.repeat(bounds[:-1], lengths)).astype(np.uint64))))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            location = before_step + np.log(np.maximum(left, NOTHING))
+            # A Gumbel draw at the location, given that it is at most the node's key.
+            keys = np.where(left > NOTHING, location - np.log(np.exp(location + np.repeat([node[0] for node in popped], lengths)) + noise), -np.inf)
+        word_base = np.cumsum(sizes) - sizes
         for j, (node, i) in enumerate(zip(popped, active, strict=True)):
-            key, _, before, log_before, word, _, without = node
-            lo, hi = cuts[j], cuts[j + 1]
-            edges, log, left, own_noise = more[lo:hi], logs[lo:hi], rest[lo:hi], noise[lo:hi]
-            first_word = word
-            if len(heads[j]):
-                chance = float(lattices.chance[heads[j][0]])
-                edges = np.concatenate([heads[j], edges])
-                log = np.concatenate([[np.log(chance)], log])
-                left = np.concatenate([[1.0 - chance - lattices.chance[np.array(without)].sum()], left])
-                own_noise = np.concatenate([-np.log(uniform(seed[j : j + 1] + np.uint64(9))), own_noise])
-                first_word = word + int(sizes[j] < len(texts[i]) - word)
-            ahead = log_before + np.concatenate([[0.0], np.cumsum(log)])
-            path = np.concatenate([before, edges])
-            found[i].append((path, float(ahead[-1]), -key))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                location = np.where(left > NOTHING, ahead[:-1] + np.log(np.maximum(left, NOTHING)), -np.inf)
-                # A Gumbel draw at the location, given that it is at most this node's key.
-                keys = np.where(left > NOTHING, location - np.log(np.exp(location + key) + own_noise), -np.inf)
-            room = k + 1 - len(found[i])
-            best = np.argpartition(-keys, room - 1)[:room] if room < len(keys) else np.arange(len(keys))
+            key, _, before, _, word, _, without = node
+            lo, hi = bounds[j], bounds[j + 1]
+            path = np.concatenate([before, edges[lo:hi]])
+            found[i].append((path, float(totals[j]), -key))
+            room, own = k + 1 - len(found[i]), keys[lo:hi]
+            best = np.argpartition(-own, room - 1)[:room] if room < len(own) else np.arange(len(own))
+            first_word = word + int(lead[j] and sizes[j] < len(texts[i]) - word)
             for at in best.tolist():
-                if keys[at] > -np.inf:
-                    e = int(edges[at])
-                    start = int(lattices.state[e])
-                    extra = at - len(heads[j])
-                    at_word = word if extra < 0 else first_word + int(number[lo + extra] - sizes[:j].sum())
-                    heapq.heappush(heaps[i], (-float(keys[at]), turn * 1_000_000 + at, path[: len(before) + at], float(ahead[at]), at_word, start, (*(without if at == 0 else ()), e)))
+                if own[at] > -np.inf:
+                    e = int(edges[lo + at])
+                    extra = at - int(lead[j])
+                    at_word = word if extra < 0 else first_word + int(number[cuts[j] + extra] - word_base[j])
+                    heapq.heappush(heaps[i], (-float(own[at]), turn * 1_000_000 + at, path[: len(before) + at], float(before_step[lo + at]), at_word, int(lattices.state[e]), (*(without if at == 0 else ()), e)))
     return [(f, -h[0][0] if h else -np.inf) for f, h in zip(found, heaps, strict=True)]
 
 
@@ -287,7 +300,7 @@ def encode_samples(docs: DataFrame, *, model_path: str, k: int = SAMPLES, alpha:
                         own = lattices.ids(edges)
                         chance = 1.0 if threshold == -np.inf else float(-np.expm1(-np.exp(log_prob - threshold)))
                         row = [doc_id, number + 1, len(own), log_prob, key, chance]
-                        row += [zlib.crc32(own.astype("<u4").tobytes()), lattices.decode(own.tolist()) == text.replace(BLANK, " ")] if digest else [own.astype(np.int32), None]
+                        row += [zlib.crc32(own.astype("<u4").tobytes()), lattices.decode(own) == text.replace(BLANK, " ")] if digest else [own.astype(np.int32), None]
                         for column, value in zip(columns, row, strict=True):
                             column.append(value)
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), *([pa.int64(), pa.bool_()] if digest else [pa.list_(pa.int32())])]

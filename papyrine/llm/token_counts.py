@@ -44,18 +44,29 @@ def vocabulary(path: str) -> tuple[dict[str, tuple[int, float]], list[int]]:
     return pieces, by_byte
 
 
-_PARTS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
+_PARTS = re.compile(f"{BLANK}*[^{BLANK}\n\0]+|{BLANK}+|\n|\0")
+#: Marks that may end a word; those that no piece joins to a letter before them cut a text there.
+MARKS = ",.;:!?"
 
 
-def parts(text: str) -> list[str]:
+def parts(text: str, cut: re.Pattern | None = None) -> list[str]:
     """The independent parts of a text whose blanks are marked: runs of blanks with what follows, and
-    line breaks, in order."""
-    return _PARTS.findall(text)
+    line breaks, in order; ``cut`` (see word_ends) gives further places."""
+    if cut is None or "\0" in text:
+        return _PARTS.findall(text)
+    return [x for x in _PARTS.findall(cut.sub("\0", text)) if x != "\0"]
 
 
 def splits(pieces: dict) -> bool:
     """Whether no piece crosses the places where parts() cuts."""
-    return not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in pieces)
+    return not any(BLANK in p.lstrip(BLANK) or "\n" in p or "\0" in p for p in pieces)
+
+
+def word_ends(pieces: dict) -> re.Pattern | None:
+    """Places between a letter and a mark that no piece crosses."""
+    joined = {p[i] for p in pieces for i in range(1, len(p)) if p[i] in MARKS and p[i - 1].isalpha()}
+    free = "".join(c for c in MARKS if c not in joined)
+    return re.compile(f"(?<=[^\\W\\d_])(?=[{re.escape(free)}])") if free else None
 
 
 class UnigramCounter:
