@@ -114,12 +114,16 @@ class Lattices:
                 spread = np.repeat(top, np.diff(np.concatenate([new, [len(own)]])))
                 beta[start[own][new]] = top + np.log(np.add.reduceat(np.exp(value - spread), new))
         chance = np.exp(score + beta[start + span] - beta[start])
-        sums = np.concatenate([[0.0], np.cumsum(chance)])
-        before = sums[firsts[start]]
-        whole = sums[firsts[start + 1]] - before
+        # Sums edge by edge of all states at once, so that they do not depend on the other words.
+        upto, degree = chance.copy(), np.diff(firsts)
+        for rank in range(1, int(degree.max(initial=0))):
+            own = firsts[:-1][degree > rank] + rank
+            upto[own] += upto[own - 1]
+        last = firsts[1:][degree > 0] - 1
+        whole = np.repeat(upto[last], degree[degree > 0])
         offset = len(self.first_edge) - 1
-        upto = (sums[1:] - before) / whole
-        upto[firsts[1:][firsts[1:] > firsts[:-1]] - 1] = 2.0
+        upto /= whole
+        upto[last] = 2.0
         after = np.where(left[start + span] == 0, -1, offset + start + span)
         self.first_edge = np.concatenate([self.first_edge[:-1], len(self.ends_at) + firsts]).astype(np.int32)
         self.ends_at = np.concatenate([self.ends_at, after]).astype(np.int32)
@@ -238,10 +242,10 @@ def sample(lattices: Lattices, texts: list[np.ndarray], k: int, seeds: np.ndarra
         for j in np.flatnonzero(lead):
             left[bounds[j]] -= lattices.chance[np.array(popped[j][6])].sum()
         logs = np.log(chances)
-        sums = np.concatenate([[0.0], np.cumsum(logs)])
-        starting = np.array([node[3] for node in popped]) - sums[bounds[:-1]]
-        before_step = sums[:-1] + np.repeat(starting, lengths)
-        totals = sums[bounds[1:]] + starting
+        before_step, totals = np.zeros(len(edges)), np.zeros(len(popped))
+        for j, node in enumerate(popped):
+            ahead = node[3] + np.concatenate([[0.0], np.cumsum(logs[bounds[j] : bounds[j + 1]])])
+            before_step[bounds[j] : bounds[j + 1]], totals[j] = ahead[:-1], ahead[-1]
         noise = -np.log(uniform(np.repeat(seed, lengths) ^ mix((np.arange(len(edges)) - np.repeat(bounds[:-1], lengths)).astype(np.uint64))))
         with np.errstate(divide="ignore", invalid="ignore"):
             location = before_step + np.log(np.maximum(left, NOTHING))
