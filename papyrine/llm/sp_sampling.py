@@ -69,14 +69,26 @@ class Lattices:
         self.pool_begins = np.cumsum(self.pool_sizes) - self.pool_sizes
         self.forget()
 
+    #: Arrays of edges: the state after it (-1 at a word's end), its chance, the chance of it and those
+    #: before it at its state, its piece, and the state that it leaves.
+    EDGES = (("ends_at", np.int32), ("chance", np.float64), ("upto", np.float64), ("piece", np.int32), ("state", np.int32))
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ends_at = np.zeros(0, np.int32)  # state after the edge; -1 at a word's end
-        self.chance = np.zeros(0)
-        self.upto = np.zeros(0)  # chance of this edge and those before it at its state
-        self.piece = np.zeros(0, np.int32)
-        self.state = np.zeros(0, np.int32)  # that the edge leaves
-        self.first_edge = np.zeros(1, np.int32)  # of each state
+        self.edges = self.states = 0
+        for name, kind in self.EDGES:
+            setattr(self, name, np.empty(1 << 16, kind))
+        self.first_edge = np.zeros(1 << 16, np.int32)  # of each state
+
+    def room(self, edges: int, states: int) -> None:
+        """Makes room by doubling, so that the pool is seldom copied."""
+        wanted = [(name, self.edges, edges) for name, _ in self.EDGES] + [("first_edge", self.states + 1, states + 1)]
+        for name, used, more in wanted:
+            old = getattr(self, name)
+            if used + more > len(old):
+                new = np.empty(max(2 * len(old), used + more), old.dtype)
+                new[:used] = old[:used]
+                setattr(self, name, new)
 
     def learn(self, words: list[str]) -> None:
         """Adds words that the pool does not have: one pass of the automaton over all of them, then
@@ -121,16 +133,16 @@ class Lattices:
             upto[own] += upto[own - 1]
         last = firsts[1:][degree > 0] - 1
         whole = np.repeat(upto[last], degree[degree > 0])
-        offset = len(self.first_edge) - 1
+        offset = self.states
         upto /= whole
         upto[last] = 2.0
         after = np.where(left[start + span] == 0, -1, offset + start + span)
-        self.first_edge = np.concatenate([self.first_edge[:-1], len(self.ends_at) + firsts]).astype(np.int32)
-        self.ends_at = np.concatenate([self.ends_at, after]).astype(np.int32)
-        self.state = np.concatenate([self.state, offset + start]).astype(np.int32)
-        self.chance = np.concatenate([self.chance, chance / whole])
-        self.upto = np.concatenate([self.upto, upto])
-        self.piece = np.concatenate([self.piece, piece]).astype(np.int32)
+        self.room(len(start), total)
+        new = slice(self.edges, self.edges + len(start))
+        for name, values in (("ends_at", after), ("chance", chance / whole), ("upto", upto), ("piece", piece), ("state", offset + start)):
+            getattr(self, name)[new] = values
+        self.first_edge[offset : offset + total + 1] = self.edges + firsts
+        self.edges, self.states = new.stop, offset + total
         self.known.update(zip(words, (offset + base[:-1]).tolist(), strict=True))
 
     def words(self, text: str) -> list[str]:
@@ -290,7 +302,7 @@ def encode_samples(docs: DataFrame, *, model_path: str, k: int = SAMPLES, alpha:
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for part in slices(map(len, texts), BATCH_CHARS):
-                if len(lattices.piece) > MEMO_EDGES:
+                if lattices.edges > MEMO_EDGES:
                     lattices.forget()
                 cut = [lattices.words(t) for t in texts[part]]
                 if fresh := list(dict.fromkeys(w for words in cut for w in words if w not in lattices.known)):
