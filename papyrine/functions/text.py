@@ -35,8 +35,11 @@ def fold_table() -> tuple[str, str]:
 def tokens(c: Column) -> Column:
     """Full-text tokens: runs of letters, numbers and private-use characters, lower-cased, without
     combining marks and single diacritics (letters with two marks keep both)."""
-    plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[\\u0300-\\u036F]", "")
-    return F.regexp_extract_all(F.translate(plain, *fold_table()), F.lit(f"({TOKEN})"), F.lit(1))
+    low = F.lower(F.coalesce(c, F.lit("")))
+    folded = F.translate(F.regexp_replace(low, "[\\u0300-\\u036F]", ""), *fold_table())
+    # Only texts beyond ASCII have anything to fold; folding is the dear part.
+    plain = F.when(F.octet_length(low) == F.length(low), low).otherwise(folded)
+    return F.regexp_extract_all(plain, F.lit(f"({TOKEN})"), F.lit(1))
 
 
 def fold_query(text: str) -> list[str]:
