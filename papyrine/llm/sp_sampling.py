@@ -15,6 +15,7 @@ Draws are seeded by the row's key and text, so they do not depend on partitions
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import zlib
@@ -30,8 +31,8 @@ from papyrine.llm.token_counts import BLANK, UNKNOWN_PENALTY, parts, splits, voc
 
 #: Segmentations of each text, and the factor on piece scores (the smaller, the more even).
 SAMPLES, ALPHA = 3, 0.001
-#: Lattice edges that a worker remembers; beyond, it forgets all and starts again.
-MEMO_EDGES = 5_000_000
+#: Lattice edges that a worker remembers; beyond, it forgets the newer half of its words.
+MEMO_EDGES = 7_500_000
 BATCH_CHARS = 200_000
 #: Remaining probability below which no sibling is left.
 NOTHING = 1e-12
@@ -51,16 +52,22 @@ class Lattices:
         self.alpha = alpha
         self.cuts, self.ends = splits(self.pieces), word_ends(self.pieces)
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
-        top = 1 + max(i for i, _ in self.pieces.values())
+        # Pieces are told by rank, the best first; one more rank stands for unknown characters. Pieces
+        # of one character are looked up in an array, the others found by the automaton.
+        ranked = sorted(self.pieces.items(), key=lambda x: (-x[1][1], x[1][0]))
+        self.rank_bits = max(len(ranked).bit_length(), 1)
+        self.piece_of = np.array([i for _, (i, _) in ranked] + [0])
+        self.lengths = np.array([len(p) for p, _ in ranked] + [1])
+        self.scores = alpha * np.array([score for _, (_, score) in ranked] + [self.unknown])
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        self.lengths, self.scores = np.zeros(top, np.int64), np.zeros(top)
-        self.single = np.zeros(0x110000, bool)
-        for piece, (i, score) in self.pieces.items():
-            self.automaton.add_word(piece, i)
-            self.lengths[i], self.scores[i] = len(piece), score
+        self.single = np.full(0x110000, len(ranked), np.int64)
+        for rank, (piece, _) in enumerate(ranked):
             if len(piece) == 1:
-                self.single[ord(piece)] = True
-        self.automaton.make_automaton()
+                self.single[ord(piece)] = rank
+            else:
+                self.automaton.add_word(piece, rank)
+        if len(self.automaton):
+            self.automaton.make_automaton()
         self.text_of = {i: p.encode() for p, (i, _) in self.pieces.items()}
         self.text_of |= {i: bytes([b]) for b, i in enumerate(self.by_byte)}
         content = [self.text_of.get(i, b"") for i in range(1 + max(self.text_of))]
@@ -73,8 +80,22 @@ class Lattices:
     #: before it at its state, its piece, and the state that it leaves.
     EDGES = (("ends_at", np.int32), ("chance", np.float64), ("upto", np.float64), ("piece", np.int32), ("state", np.int32))
 
+    def forget_newer(self) -> None:
+        """Drops the words learnt last, down to half of the edges: the words met first are common ones."""
+        kept = 0
+        for _, edges, states in self.learnt:
+            if edges > MEMO_EDGES // 2:
+                break
+            kept, self.edges, self.states = kept + 1, edges, states
+        if not kept:
+            return self.forget()
+        del self.learnt[kept:]
+        for _ in range(len(self.known) - self.learnt[-1][0]):
+            self.known.popitem()
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.learnt: list[tuple[int, int, int]] = []  # words, edges and states after each learn()
         self.edges = self.states = 0
         for name, kind in self.EDGES:
             setattr(self, name, np.empty(1 << 16, kind))
@@ -96,36 +117,38 @@ class Lattices:
         sizes = np.array([len(w) for w in words])
         base = np.concatenate([[0], np.cumsum(sizes + 1)])
         joined = "\0".join(words) + "\0"
-        hits = np.fromiter(itertools.chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
         cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        odd = ~self.single[cps]
-        odd[base[1:] - 1] = False
-        odd = np.flatnonzero(odd)
-        by_byte = np.array(self.by_byte)
-        strange = np.where(cps[odd] < 128, by_byte[np.minimum(cps[odd], 127)], UNKNOWN_EDGE + cps[odd].astype(np.int64))
-        span = np.concatenate([self.lengths[hits[:, 1]], np.ones(len(odd), np.int64)])
-        start = np.concatenate([hits[:, 0] + 1, odd + 1]) - span
-        score = self.alpha * np.concatenate([self.scores[hits[:, 1]], np.full(len(odd), self.unknown)])
-        piece = np.concatenate([hits[:, 1], strange])
-        order = np.lexsort((-score, start))  # good pieces first: short look-ups
-        start, span, score, piece = start[order], span[order], score[order], piece[order]
+        hits = np.fromiter(itertools.chain.from_iterable(self.automaton.iter(joined)) if len(self.automaton) else (), np.int64).reshape(-1, 2)
+        inner = np.ones(len(cps), bool)
+        inner[base[1:] - 1] = False
+        inner = np.flatnonzero(inner)
+        # Edges as numbers of place and rank, sorted: good pieces first, for short look-ups.
+        bits = self.rank_bits
+        edges = np.concatenate([((hits[:, 0] + 1 - self.lengths[hits[:, 1]]) << bits) | hits[:, 1], (inner << bits) | self.single[cps[inner]]])
+        edges.sort()
+        start, rank = edges >> bits, edges & ((1 << bits) - 1)
+        after, score, piece = start + self.lengths[rank], self.scores[rank], self.piece_of[rank]
+        odd = np.flatnonzero(rank == len(self.scores) - 1)
+        strange = cps[start[odd]]
+        piece[odd] = np.where(strange < 128, np.array(self.by_byte)[np.minimum(strange, 127)], UNKNOWN_EDGE + strange.astype(np.int64))
         total = int(base[-1])
         firsts = np.searchsorted(start, np.arange(total + 1))
         beta = np.full(total, -np.inf)
         ends = base[1:] - 1
         beta[ends] = 0.0
         left = np.repeat(ends, sizes + 1) - np.arange(total)  # characters after each state
-        by_left = np.argsort(left[start], kind="stable")
-        bounds = np.searchsorted(left[start][by_left], np.arange(1, int(sizes.max()) + 2))
+        remaining = left[start].astype(np.uint16 if sizes.max() < 1 << 16 else np.int64)
+        by_left = np.argsort(remaining, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(remaining))])[1:]
         for step in range(len(bounds) - 1):
             own = by_left[bounds[step] : bounds[step + 1]]
             if len(own):
-                value = score[own] + beta[start[own] + span[own]]
-                new = np.flatnonzero(np.concatenate([[True], start[own][1:] != start[own][:-1]]))
+                value, place = score[own] + beta[after[own]], start[own]
+                new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
                 top = np.maximum.reduceat(value, new)
                 spread = np.repeat(top, np.diff(np.concatenate([new, [len(own)]])))
-                beta[start[own][new]] = top + np.log(np.add.reduceat(np.exp(value - spread), new))
-        chance = np.exp(score + beta[start + span] - beta[start])
+                beta[place[new]] = top + np.log(np.add.reduceat(np.exp(value - spread), new))
+        chance = np.exp(score + beta[after] - beta[start])
         # Sums edge by edge of all states at once, so that they do not depend on the other words.
         upto, degree = chance.copy(), np.diff(firsts)
         for rank in range(1, int(degree.max(initial=0))):
@@ -136,7 +159,7 @@ class Lattices:
         offset = self.states
         upto /= whole
         upto[last] = 2.0
-        after = np.where(left[start + span] == 0, -1, offset + start + span)
+        after = np.where(left[after] == 0, -1, offset + after)
         self.room(len(start), total)
         new = slice(self.edges, self.edges + len(start))
         for name, values in (("ends_at", after), ("chance", chance / whole), ("upto", upto), ("piece", piece), ("state", offset + start)):
@@ -144,12 +167,24 @@ class Lattices:
         self.first_edge[offset : offset + total + 1] = self.edges + firsts
         self.edges, self.states = new.stop, offset + total
         self.known.update(zip(words, (offset + base[:-1]).tolist(), strict=True))
+        self.learnt.append((len(self.known), self.edges, self.states))
 
     def words(self, text: str) -> list[str]:
         """A text's independent parts."""
         marked = BLANK + text.replace(" ", BLANK) if text else ""
         return parts(marked, self.ends) if self.cuts else [marked][: len(marked)]
 
+    def begin(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The first states of the words of each text; unknown words are learnt."""
+        words = list(itertools.chain.from_iterable(texts))
+        states = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(states < 0).tolist()
+        if missing:
+            fresh = [words[i] for i in missing]
+            self.learn(list(dict.fromkeys(fresh)))
+            states[missing] = [self.known[w] for w in fresh]
+        return np.split(states, np.cumsum([len(t) for t in texts])[:-1])
+
     def pick(self, states: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge that each uniform number picks at each state."""
         edge = self.first_edge[states]
@@ -160,22 +195,23 @@ class Lattices:
         return edge
 
     def follow(self, states: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Draws a path from each state to its word's end, seeded by each state's own key: edges and
-        the number of the start state of each, in path order."""
-        edges, number, now, who = [], [], states, np.arange(len(states))
+        """Draws a path from each state to its word's end, seeded by each state's own key: the edges
+        in path order, and where each state's path begins (one entry more than states)."""
+        steps, now, who = [], states, np.arange(len(states))
+        length = np.zeros(len(states), np.int64)
         while len(now):
             keys = keys + PRIME
             edge = self.pick(now, uniform(keys))
-            edges.append(edge)
-            number.append(who)
+            steps.append((edge, who))
+            length[who] += 1
             after = self.ends_at[edge]
-            going = after >= 0
+            going = np.flatnonzero(after >= 0)
             now, who, keys = after[going], who[going], keys[going]
-        if not edges:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        edge, number = np.concatenate(edges), np.concatenate(number)
-        order = np.argsort(number, kind="stable")
-        return edge[order], number[order]
+        begins = np.concatenate([[0], np.cumsum(length)])
+        edges = np.zeros(begins[-1], np.int64)
+        for step, (edge, who) in enumerate(steps):
+            edges[begins[who] + step] = edge
+        return edges, begins
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         pieces = self.piece[edges]
@@ -241,8 +277,8 @@ def sample(lattices: Lattices, texts: list[np.ndarray], k: int, seeds: np.ndarra
                 starts.append(texts[i][word:])
         sizes = np.array([len(x) for x in starts])
         place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        more, number = lattices.follow(np.concatenate(starts).astype(np.int64), np.repeat(seed, sizes) + mix((place.astype(np.uint64) + np.uint64(1)) << np.uint64(20)))
-        cuts = np.searchsorted(number, np.concatenate([[0], np.cumsum(sizes)]))
+        more, begins = lattices.follow(np.concatenate(starts).astype(np.int64), np.repeat(seed, sizes) + mix((place.astype(np.uint64) + np.uint64(1)) << np.uint64(20)))
+        cuts = begins[np.concatenate([[0], np.cumsum(sizes)])]
         # Each search's step from its own node comes before the steps that were followed from there.
         lead = np.array([len(h) for h in heads])
         spots = np.repeat(cuts[:-1], lead)
@@ -276,11 +312,17 @@ def sample(lattices: Lattices, texts: list[np.ndarray], k: int, seeds: np.ndarra
                 if own[at] > -np.inf:
                     e = int(edges[lo + at])
                     extra = at - int(lead[j])
-                    at_word = word if extra < 0 else first_word + int(number[cuts[j] + extra] - word_base[j])
+                    at_word = word if extra < 0 else first_word + int(np.searchsorted(begins, cuts[j] + extra, "right") - 1 - word_base[j])
                     heapq.heappush(heaps[i], (-float(own[at]), turn * 1_000_000 + at, path[: len(before) + at], float(before_step[lo + at]), at_word, int(lattices.state[e]), (*(without if at == 0 else ()), e)))
     return [(f, -h[0][0] if h else -np.inf) for f, h in zip(found, heaps, strict=True)]
 
 
+@functools.lru_cache(maxsize=1)
+def lattices_of(model_path: str, alpha: float) -> Lattices:
+    """A worker's lattices, kept for its next task."""
+    return Lattices(model_path, alpha)
+
+
 def row_seed(doc_id: int | None, text: str, seed: int) -> int:
     return ((doc_id or 0) * 0x9E3779B97F4A7C15 + (zlib.crc32(text.encode("utf-8", "surrogatepass")) << 16) + seed) & (1 << 64) - 1
 
@@ -297,19 +339,15 @@ def encode_samples(docs: DataFrame, *, model_path: str, k: int = SAMPLES, alpha:
     small_batches(docs.sparkSession)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = Lattices(model_path, alpha)
+        lattices = lattices_of(model_path, alpha)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for part in slices(map(len, texts), BATCH_CHARS):
                 if lattices.edges > MEMO_EDGES:
-                    lattices.forget()
-                cut = [lattices.words(t) for t in texts[part]]
-                if fresh := list(dict.fromkeys(w for words in cut for w in words if w not in lattices.known)):
-                    lattices.learn(fresh)
+                    lattices.forget_newer()
+                states = lattices.begin([lattices.words(t) for t in texts[part]])
                 columns: list[list] = [[] for _ in range(8)]
-                known = lattices.known.__getitem__
-                states = [np.fromiter(map(known, words), np.int64, len(words)) for words in cut]
                 seeds = np.array([row_seed(i, t, seed) for i, t in zip(ids[part], texts[part], strict=True)], np.uint64)
                 for doc_id, text, (found, threshold) in zip(ids[part], texts[part], sample(lattices, states, k, seeds), strict=True):
                     for number, (edges, log_prob, key) in enumerate(found):

@@ -54,7 +54,7 @@ def parts(text: str, cut: re.Pattern | None = None) -> list[str]:
     line breaks, in order; ``cut`` (see word_ends) gives further places."""
     if cut is None or "\0" in text:
         return _PARTS.findall(text)
-    return [x for x in _PARTS.findall(cut.sub("\0", text)) if x != "\0"]
+    return [x for x in _PARTS.findall(cut.sub("\0\\g<0>", text)) if x != "\0"]
 
 
 def splits(pieces: dict) -> bool:
@@ -63,10 +63,10 @@ def splits(pieces: dict) -> bool:
 
 
 def word_ends(pieces: dict) -> re.Pattern | None:
-    """Places between a letter and a mark that no piece crosses."""
+    """Marks after a letter that no piece joins to it."""
     joined = {p[i] for p in pieces for i in range(1, len(p)) if p[i] in MARKS and p[i - 1].isalpha()}
     free = "".join(c for c in MARKS if c not in joined)
-    return re.compile(f"(?<=[^\\W\\d_])(?=[{re.escape(free)}])") if free else None
+    return re.compile(f"[{re.escape(free)}](?<=[^\\W\\d_].)") if free else None
 
 
 class UnigramCounter:
