@@ -132,3 +132,20 @@ def test_no_rows(spark):
 
 def df_types(df):
     return dict(df.select([F.col(c) for c in df.columns]).dtypes)
+
+
+def test_samples_do_not_depend_on_what_was_forgotten(monkeypatch):
+    def drawn(texts, most):
+        monkeypatch.setattr(sp_sampling, "MEMO_EDGES", most)
+        lattices, out = sp_sampling.Lattices(MODEL, 0.001), []
+        for i, text in enumerate(texts):
+            if lattices.edges > most:
+                lattices.forget_newer()
+                assert lattices.edges <= most // 2 and len(lattices.known) == (lattices.learnt or [(0, 0, 0)])[-1][0]
+            states = lattices.begin([lattices.words(text)])
+            for paths, threshold in sp_sampling.sample(lattices, states, 3, np.array([i], np.uint64)):
+                out.append(([(lattices.ids(e).tolist(), log, key) for e, log, key in paths], threshold))
+        return out
+
+    texts = odd_texts(80)
+    assert drawn(texts, 500) == drawn(texts, 1 << 30)
