@@ -74,13 +74,17 @@ def scored(documents: DataFrame, phrases: list[list[str]]) -> DataFrame:
     counted = t.withColumns(hits | {"_len": F.size("title_tokens") + F.size("body_tokens")})
     narrow = counted.select("document_id", "_len", *hits)
     stats = narrow.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(h) > 0).alias(f"{h}_df") for h in hits))
-    matched = counted.filter(" AND ".join(f"{h} > 0" for h in hits)).drop("title_tokens", "body_tokens")
+    counted = counted.drop("title_tokens", "body_tokens")
     parts = [idf(F.col("_n"), F.col(f"{h}_df")) * _weight(F.col(h), F.col("_len"), F.col("_avg")) for h in hits]
     total = parts[0]
     for p in parts[1:]:
         total = total + p
-    # One row of statistics joins every match: a broadcast of a single row.
-    return matched.join(F.broadcast(stats), how="cross").withColumn("relevance", total).drop(*hits, "_len", *stats.columns)
+    # One row of statistics joins every document: a broadcast of a single row. The test of all phrases
+    # takes in the statistics, so that it stays at the join and texts are not tokenised for it again.
+    every = F.col("_n")
+    for h in hits:
+        every = every * F.col(h)
+    return counted.join(F.broadcast(stats), how="cross").filter(every > 0).withColumn("relevance", total).drop(*hits, "_len", *stats.columns)
 
 
 def scored_by_postings(index: DataFrame, lengths: DataFrame, documents: DataFrame, phrases: list[list[str]]) -> DataFrame:
