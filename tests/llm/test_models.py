@@ -91,6 +91,14 @@ def test_quality_equals_plain_model(spark, head):
     assert all(keep[i] for i in range(4)) and not keep[10]
 
 
+def test_quality_catches_labelled_rows(spark):
+    path = SMALL.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    keep = quality.classify(docs, labels).select("doc_id", "keep").join(labels, "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("keep").cast("int")).alias("kept"))
+    kept = {(r["quality"], r["toxic"]): r["kept"] for r in keep.collect()}
+    assert kept[1, 0] > 0.95 and kept[1, 1] < 0.55 and kept[0, 0] < 0.2, kept
+
+
 def test_quality_without_trust(spark):
     docs = spark.createDataFrame([(1, "a text", "en")], "doc_id long, text string, lang string")
     assert [r["keep"] for r in quality.classify(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()] == [True]
