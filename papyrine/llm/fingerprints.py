@@ -6,8 +6,9 @@ subsets of the lexicon the terms in it are hashed together. Two documents agree
 terms differ nowhere in it, so small subsets tell how much two documents share and large ones whether
 they are the same. Subsets come in four sizes to suit short and long documents.
 
-Everything is built of DataFrame functions. The lexicon is one array of fixed size (a slot takes the
-in-band term of smallest hash), read as a scalar subquery: its size does not depend on the corpus.
+Everything is built of DataFrame functions. The lexicon is one array of slots, each the array of all
+in-band terms that fall into it, read as a scalar subquery. A band term is in 2e-5 of the documents at
+least, so there are at most 50,000 times as many as distinct terms in a mean document, whatever their number.
 """
 
 from __future__ import annotations
@@ -39,15 +40,15 @@ def slot(h: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, documents: int) -> DataFrame:
-    """One row with the array of lexicon term hashes by slot (0: none), from all documents."""
+    """One row with the array of the lexicon's term hashes by slot, from all documents."""
     low, high = max(FEWEST, BAND[0] * documents), max(FEWEST, BAND[1] * documents)
     seen = docs.select(F.explode(term_hashes(F.col("text"))).alias("h")).groupBy("h").count()
-    band = seen.filter(F.col("count").between(low, high)).groupBy(slot(F.col("h")).cast("int").alias("at")).agg(F.min("h").alias("h"))
+    band = seen.filter(F.col("count").between(low, high)).select(slot(F.col("h")).cast("int").alias("at"), "h")
     # One array place for each slot: pieces of 1024 slots first, so that no step handles single slots in one task.
     empty = docs.sparkSession.range(1 << SLOT_BITS).select(F.col("id").cast("int").alias("at"), F.lit(None).cast("long").alias("h"))
-    full = band.unionByName(empty).groupBy("at").agg(F.min("h").alias("h"))
-    sheets = full.groupBy(F.shiftright("at", 10).alias("sheet")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("h", F.lit(0)).alias("h")))), lambda x: x["h"]).alias("hs"))
-    return sheets.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sheet", "hs"))), lambda x: x["hs"])).alias("lexicon"))
+    full = band.unionByName(empty).groupBy("at").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    sheets = full.groupBy(F.shiftright("at", 10).alias("sheet")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "hs"))), lambda x: x["hs"]).alias("slots"))
+    return sheets.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sheet", "slots"))), lambda x: x["slots"])).alias("lexicon"))
 
 
 def subset_hashes(terms: Column) -> Column:
@@ -129,7 +130,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
 
     def band(text: str, out: str, df: DataFrame) -> DataFrame:
         df = df.withColumn("all_terms", term_hashes(F.col(text)))
-        inside = F.filter("all_terms", lambda h: F.get(F.col("lexicon"), slot(h).cast("int")) == h)
+        inside = F.filter("all_terms", lambda h: F.array_contains(F.get(F.col("lexicon"), slot(h).cast("int")), h))
         df = df.withColumn("inside", inside)
         chosen = F.when(F.size("inside") > 0, F.col("inside")).when(F.size("all_terms") > 0, F.col("all_terms")).otherwise(F.array(F.xxhash64(text)))
         return df.withColumn("terms", F.sort_array(chosen)).withColumn(out, subset_hashes(F.col("terms"))).drop("all_terms", "inside", "terms")

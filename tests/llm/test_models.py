@@ -37,6 +37,17 @@ def test_fingerprints(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1
 
 
+def test_fingerprints_keep_terms_that_share_a_slot(spark):
+    words = spark.range(3000).select(F.concat(F.lit("w"), "id").alias("w")).select("w", F.xxhash64("w").alias("h"))
+    x, y = words.groupBy(fingerprints.slot(F.col("h")).alias("at")).agg(F.array_sort(F.collect_list("w")).alias("ws")).filter("size(ws) = 2").orderBy("at").first()["ws"]
+    rows = [(i, f"{w} rare{i}") for i, w in enumerate([x, y] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {h for slot in fingerprints.lexicon(docs, len(rows)).first()["lexicon"] for h in slot}
+    assert held == {r["h"] for r in words.filter(F.col("w").isin(x, y)).collect()}
+    got = [r["fingerprint"] for r in fingerprints.fingerprint_pairs(docs).orderBy("doc_id").collect()]
+    assert len(set(got[0::2])) == len(set(got[1::2])) == 1 and got[0] != got[1]
+
+
 def kneser_ney(texts):
     """A plain form of the model: log-probability of a text by direct recursion."""
     pad = quality.ORDER - 1
