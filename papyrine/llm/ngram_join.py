@@ -59,7 +59,7 @@ def least_matches(compared: int, threshold: float = THRESHOLD, tolerance: float
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the shingle set), n_shingles and bands of each document."""
+    """doc_id, _text (hash), key (of the shingle set), n_shingles and bands of each document."""
     small_batches(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,9 +69,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 keys, sizes, bands = class_keys(texts[part])
                 some = sizes > 0
                 offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start).cast(pa.int64()), pa.array(keys.view(np.int64)), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64)))], ["doc_id", "key", "n_shingles", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start).cast(pa.int64()), batch.column(2).slice(part.start, part.stop - part.start), pa.array(keys.view(np.int64)), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64)))], ["doc_id", "_text", "key", "n_shingles", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, key long, n_shingles long, bands array<long>")
+    return docs.select("doc_id", "text", "_text").mapInArrow(sketch, "doc_id long, _text long, key long, n_shingles long, bands array<long>")
 
 
 def set_keys(hashes: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -193,7 +193,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def join(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, *, block: int = BLOCK, texts: bool = False) -> DataFrame:
     """doc_id, class_id, n_links and n_copies of every document.
 
     Documents are linked if the Jaccard likeness of their shingle sets is 0.8 or more; class_id is the
@@ -201,13 +201,14 @@ def join(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     (n_copies, itself counted) among them. Words are runs of letters and digits of the lower-cased
     text; a text of one to four words is one shingle; texts without words are linked if they are equal,
     null counting as empty. A null doc_id is the largest; a class of null ids only has a null class_id.
-    Rows of equal id and text are copies. One row out for each row in.
+    Rows of equal id and text are copies. One row out for each row in. With ``texts`` there are also the
+    hashes of the row's text (_text) and of the text of the class's first row by id, then hash (class_text).
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_text", F.xxhash64("text"))
     rows = stored(sketches(docs), "sketches")
-    classes = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")).alias("rep"), F.count("*").alias("copies"))
     ties = rows.filter("n_shingles > 0").groupBy("key").agg(F.any_value("bands").alias("bands")).select("key", F.explode("bands").alias("band"))
     ties = stored(ties, "bands")
     heads = ties.groupBy("band").agg(F.min("key").alias("head"), F.count("*").alias("n")).filter("n > 1").select("band", "head")
@@ -215,12 +216,15 @@ def join(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     parts = connected_components(edges)
     sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
     members = parts.select(F.col("node").alias("key"), "component").join(sizes, "component").join(classes, "key")
-    members = stored(members.select("key", "component", "size", F.col("rep").alias("doc_id"), "copies"), "members")
+    members = stored(members.select("key", "component", "size", F.col("rep.doc_id").alias("rep"), F.col("rep._text").alias("rep_text"), "copies"), "members")
     total = members.count()
     few = total <= BROADCAST_ROWS
     shares = max(1, -(-total // block))
-    wanted = members.select(F.col("doc_id").alias("rep"), "key", "component", "size", "copies")
-    text = docs.join(F.broadcast(wanted) if few else wanted, docs.doc_id.eqNullSafe(wanted.rep) if few else docs.doc_id == wanted.rep).select("key", "component", "size", "copies", "text")
+    # The texts of the representatives, by id and text, so that rows without ids neither gather in one
+    # task nor meet all others of their kind; of equal rows without ids one goes on.
+    held = docs.filter("doc_id is not null").unionByName(docs.filter("doc_id is null").dropDuplicates(["_text"]))
+    same = held["doc_id"].eqNullSafe(members["rep"]) & (held["_text"] == members["rep_text"])
+    text = held.join(F.broadcast(members) if few else members, same).select("key", "component", "size", "copies", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,9 +281,9 @@ def join(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
         spread = connected_components(large.select(F.col("key").alias("u"), F.col("root").alias("v")))
         roots = small.unionByName(spread.select(F.col("node").alias("key"), F.col("component").alias("root")))
     named = classes.join(roots, "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    ids = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = stored(named.join(ids, "root").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")), "classes")
-    return rows.select("doc_id", "key").join(named, "key").select("doc_id", "class_id", "n_links", "n_copies")
+    ids = named.groupBy("root").agg(F.min("rep").alias("first"))
+    named = stored(named.join(ids, "root").select("key", F.col("first.doc_id").alias("class_id"), F.col("first._text").alias("class_text"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")), "classes")
+    return rows.select("doc_id", "_text", "key").join(named, "key").select("doc_id", *(["_text"] if texts else []), "class_id", *(["class_text"] if texts else []), "n_links", "n_copies")
 
 
 def class_keys_only(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:

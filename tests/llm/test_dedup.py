@@ -111,6 +111,17 @@ def test_join_equals_brute_force(spark, block):
     assert got == linked_by_force(rows)
 
 
+@pytest.mark.parametrize("broadcast", [300_000, 0])
+def test_join_of_rows_without_ids(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", broadcast)
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = [base, base + " a", base + " b", base + " b"]
+    rows = [(None, t) for t in texts] + [(1, base + " c"), (None, "alone here"), (None, "v " + base[::-1]), (None, base[::-1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in ngram_join.join(df).collect()), key=str)
+    assert got == sorted([(None, 1, 4, 1)] * 2 + [(None, 1, 4, 2)] * 2 + [(1, 1, 4, 1), (None, None, 0, 1), (None, None, 1, 1), (None, None, 1, 1)], key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (7, 7)]
     got = dict(ngram_join.connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
