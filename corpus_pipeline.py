@@ -48,16 +48,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document with the smallest doc_id, once."""
-    marked = docs.withColumn("_text", text_hash())
-    found = stored(ngram_join.join(docs).select("doc_id", "class_id"), "near")
-    later = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    few = later.count() <= BROADCAST_ROWS
-    right = later.withColumnRenamed("doc_id", "_id")
-    kept = marked.join(F.broadcast(right) if few else right, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    # Repeated rows of one id are copies too; the texts are only compared where ids repeat.
-    repeated = kept.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["doc_id", "_text"]) if repeated else kept).select(docs.columns)
+    """Keeps of each group of near copies the row with the smallest doc_id (null is the largest), then
+    text hash, once."""
+    found = ngram_join.join(docs, texts=True)
+    kept = without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id")) | (F.col("_text") != F.col("class_text"))))
+    # Rows of one id and text are copies too; texts are only dealt where there are such rows.
+    marked = kept.withColumn("_text", text_hash())
+    repeated = marked.groupBy("doc_id", "_text").count().filter("count > 1").limit(1).count()
+    return (marked.dropDuplicates(["doc_id", "_text"]) if repeated else marked).select(docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,6 +178,21 @@ def test_warc_round_trip(spark):
             spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_near_copies_by_row(spark):
+    import corpus_pipeline
+
+    base = [f"word{i}" for i in range(60)]
+    near = lambda k: " ".join([*base[:-1], f"other{k}"])
+    one = "a text like no other in this table"
+    rows = [(1, near(0)), (None, near(1)), (None, one), (2, near(2)), (2, one + " but for its end, which is long enough to differ"), (None, "x y z"), (None, "x y z"), (3, None), (None, "")]
+    rows += [(None, " ".join(["q", *base[::-1], end])) for end in ("e", "f", "g")] + [(4, "said twice"), (4, "said twice")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], documents(spark).schema)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()]
+    last = [t for i, t in kept if (t or "").startswith("q ")]
+    assert len(last) == 1
+    assert sorted(((i, t) for i, t in kept if t not in last), key=str) == sorted([(1, near(0)), (None, one), rows[4], (None, "x y z"), (3, None), (4, "said twice")], key=str)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
