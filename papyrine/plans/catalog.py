@@ -403,4 +403,4 @@ def _(t):
 
 @register("document_embeddings")
 def _(t):
-    return semantic.embed(t["docs"], "local-feature-hash", "1")[0].select("document_id", "dimensions", F.size("vector").alias("n"))
+    return semantic.embed(t["docs"], "local-feature-hash", "1")[0].select("document_id", "dimensions", "vector")

@@ -1,4 +1,5 @@
 import math
+import re
 import sqlite3
 
 import pytest
@@ -8,6 +9,7 @@ from papyrine.errors import EmbeddingError, SearchError
 from papyrine.functions.snippet import snippet, split_marks
 from papyrine.functions.vectors import DIMENSIONS, embed_text, embedding, encode_vector, decode_vector
 from papyrine.operators import hybrid, lexical, semantic
+from tests.conftest import SMALL
 
 ROWS = [
     ("d1", "alpha plan", "the green plan for the green house"),
@@ -81,6 +83,26 @@ def test_embedding_forms_agree(spark, docs):
     assert good.count() == 5 and [tuple(r) for r in failed.collect()] == [("d6", "embedding_title_empty")]
 
 
+def test_document_embeddings_hold_title_and_body(spark):
+    from papyrine.sources.library import load
+    import __spark_entry__ as entry
+
+    docs = {r["document_id"]: r for r in load(spark, SMALL)["docs"].collect()}
+    got = entry.queries()["document_embeddings"](spark, SMALL).collect()
+    assert got
+    for r in got:
+        sums = [0.0] * DIMENSIONS
+        for text, weight in ((docs[r["document_id"]]["title"], 2.0), (docs[r["document_id"]]["body"], 1.0)):
+            for word in re.findall(r"\w+", text.lower()):
+                for feature, w in [(word, weight), *((word[i : i + 3], weight / 2) for i in range(len(word) - 2))]:
+                    bucket, parity = 0x25, 1
+                    for b in feature.encode():
+                        bucket, parity = ((bucket ^ b) * 0xB3) & 255, parity ^ (b & 1)
+                    sums[bucket] += -w if parity else w
+        norm = math.sqrt(sum(x * x for x in sums))
+        assert r["dimensions"] == DIMENSIONS and r["vector"] == pytest.approx([x / norm for x in sums], abs=1e-7)
+
+
 def test_vectors_and_registry(spark, docs, files):
     emb = spark.createDataFrame([("d1", [1.0, 0.0]), ("d2", [0.0, 1.0]), ("d3", [0.0, 0.0]), ("d4", [1.0, 0.0, 0.0])], "document_id string, vector array<float>")
     got = semantic.nearest(emb, [1.0, 0.1], 10).collect()
