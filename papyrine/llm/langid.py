@@ -1,17 +1,17 @@
 """Language identification with hyperdimensional profiles.
 
-Method: each letter has a random vector of +1 and -1; an n-gram's vector is the product of its
-letters' vectors, each permuted (rolled) by its place; a text's vector is the sum over its n-grams;
-a language's prototype is the sum over its training texts. Texts are compared with the prototypes,
-less what all prototypes share, by cosine.
-
-The trigram alphabet is fixed (64 symbols), so a language's profile has a fixed size whatever the
-corpus: that is what reaches the driver, one vector per language.
+Method: each letter has a random vector of +1 and -1, drawn from its code point; an n-gram's vector is
+the product of its letters' vectors, each permuted (rolled) by its place; a text's vector is the sum
+over its trigrams; a language's prototype is the sum over its training texts. Texts are compared with
+the prototypes, less what all prototypes share, by cosine.
+
+Letters are told apart by their code points, whatever their script, and no table of letters is kept: a
+profile has a fixed size whatever the corpus, and one vector per language reaches the driver. Texts of
+any length are read whole, a run of texts (or one long text) at a time.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,52 +20,72 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.llm._shared import small_batches
-from papyrine.llm._text import alpha_table, code_points, slices
+from papyrine.llm._text import PRIME, U64, alpha_table, code_points, mix, slices
 
 DIMENSIONS = 1024
-SYMBOLS = 64
 #: Characters and texts handled at once by a worker.
 BATCH_CHARS, BATCH_TEXTS = 1 << 20, 256
+#: Trigrams whose vectors are made at once, and the most codes that are counted by a plain table.
+BATCH_GRAMS, TABLE = 4096, 1 << 22
 #: How sharply differences of cosines turn into the score.
 SHARPNESS = 40.0
 UNKNOWN = "und"
 
 
-@functools.cache
-def symbol_table() -> np.ndarray:
-    """Symbol of each lower-case code point: 0 for what is no letter, 1 to 26 for a to z, and one of
-    the others for any other letter."""
-    table = np.where(alpha_table(), 27 + np.arange(0x110000) % (SYMBOLS - 27), 0).astype(np.uint8)
-    table[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    return table
-
-
-@functools.cache
-def letter_vectors(dims: int, seed: int) -> np.ndarray:
-    return (np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dims), np.int8) * 2 - 1).astype(np.int8)
-
-
-def gram_vectors(codes: np.ndarray, dims: int, seed: int) -> np.ndarray:
-    """The bound vectors of trigram codes, as float32 rows."""
-    letters = letter_vectors(dims, seed)
-    a, b, c = codes >> 12, codes >> 6 & 63, codes & 63
-    return (np.roll(letters, 2, 1)[a] * np.roll(letters, 1, 1)[b] * letters[c]).astype(np.float32)
-
-
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram code and text number of each trigram whose middle is a letter; runs of other
-    characters count as one blank."""
-    cps, begins = code_points(["\0" + t.lower() for t in texts])
-    symbols = symbol_table()[cps]
-    keep = symbols != 0
-    keep[1:] |= symbols[:-1] != 0
-    owner = np.repeat(np.arange(len(texts)), np.diff(begins))[keep]
-    symbols = symbols[keep].astype(np.int32)
-    if len(symbols) < 3:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    codes = symbols[:-2] << 12 | symbols[1:-1] << 6 | symbols[2:]
-    inside = symbols[1:-1] != 0
-    return codes[inside], owner[1:-1][inside]
+def letter_vectors(letters: np.ndarray, dims: int, seed: int) -> np.ndarray:
+    """A row of +1 and -1 for each code point (0 stands for a blank), the same on every worker."""
+    words = np.arange(-(-dims // 64), dtype=U64)
+    keys = mix(((letters.astype(U64)[:, None] << U64(16)) + words + U64(1)) * PRIME + U64(seed))
+    bits = np.unpackbits(keys.view(np.uint8).reshape(len(letters), -1), axis=1)[:, :dims]
+    return bits.astype(np.int8) * 2 - 1
+
+
+class Grams:
+    """The distinct trigrams of a run of texts: code of each trigram that occurs, and the number of the
+    text and of the trigram at each place whose middle is a letter. Runs of other characters count as
+    one blank, and one stands before and after each text, so that every letter is a middle once."""
+
+    def __init__(self, texts: list[str]):
+        cps, begins = code_points([t.lower() for t in texts])
+        letters = np.where(alpha_table()[cps], cps, 0)
+        keep = letters != 0
+        keep[1:] |= letters[:-1] != 0
+        owner = np.repeat(np.arange(len(texts)), np.diff(begins))[keep]
+        # A text's closing blank is the next one's opening one; the first needs its own.
+        letters = np.concatenate([[0], letters[keep]])
+        seen = np.zeros(0x110000, bool)
+        seen[letters] = True
+        self.alphabet = np.flatnonzero(seen)
+        size = len(self.alphabet)
+        local = (np.cumsum(seen) - 1)[letters]
+        codes = (local[:-2] * size + local[1:-1]) * size + local[2:]
+        inside = letters[1:-1] != 0
+        codes, self.owner = codes[inside], owner[:-1][inside]
+        if size**3 <= TABLE:
+            present = np.bincount(codes, minlength=1) > 0
+            self.codes, self.gram = np.flatnonzero(present), (np.cumsum(present) - 1)[codes]
+        else:
+            self.codes, self.gram = np.unique(codes, return_inverse=True)
+
+    def vectors(self, which: slice, dims: int, seed: int) -> np.ndarray:
+        """The bound vectors of some of the distinct trigrams, as float32 rows."""
+        letters, size, codes = letter_vectors(self.alphabet, dims, seed), len(self.alphabet), self.codes[which]
+        a, b, c = codes // (size * size), codes // size % size, codes % size
+        return (np.roll(letters, 2, 1)[a] * np.roll(letters, 1, 1)[b] * letters[c]).astype(np.float32)
+
+    def bundles(self, group: np.ndarray, n: int, dims: int, seed: int) -> np.ndarray:
+        """Sums of vectors for each of ``n`` groups; ``group`` has the group of each text. Sums are
+        whole numbers, so they do not depend on how texts are dealt out."""
+        width = len(self.codes)
+        out = np.zeros((n, dims))
+        if not width:
+            return out
+        counts = np.bincount(group[self.owner] * width + self.gram, minlength=n * width).reshape(n, width)
+        exact = np.float32 if counts.sum(1).max() < 1 << 24 else np.float64
+        for at in range(0, width, BATCH_GRAMS):
+            which = slice(at, at + BATCH_GRAMS)
+            out += counts[:, which].astype(exact) @ self.vectors(which, dims, seed)
+        return out
 
 
 def train(docs: DataFrame, *, dims: int = DIMENSIONS, seed: int = 7) -> dict[str, np.ndarray]:
@@ -76,26 +96,20 @@ def train(docs: DataFrame, *, dims: int = DIMENSIONS, seed: int = 7) -> dict[str
     small_batches(docs.sparkSession)
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
+        totals: dict[str, np.ndarray] = {}
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             langs = batch.column(1).to_pylist()
             for part in slices(map(len, texts), BATCH_CHARS):
-                codes, owner = trigrams(texts[part])
                 names = sorted(set(langs[part]))
-                number = np.array([names.index(x) for x in langs[part]])[owner] if len(owner) else owner
-                for i, name in enumerate(names):
-                    counts.setdefault(name, np.zeros(SYMBOLS**3, np.int64))
-                    counts[name] += np.bincount(codes[number == i], minlength=SYMBOLS**3)
-        for name, own in counts.items():
-            codes = np.flatnonzero(own)
-            total = np.zeros(dims)
-            for at in range(0, len(codes), 4096):
-                some = codes[at : at + 4096]
-                total += own[some].astype(np.float64) @ gram_vectors(some, dims, seed)
+                group = np.array([names.index(x) for x in langs[part]])
+                for name, own in zip(names, Grams(texts[part]).bundles(group, len(names), dims, seed), strict=True):
+                    totals[name] = totals.get(name, 0.0) + own
+        for name, total in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total.tolist()], pa.list_(pa.float64()))], ["lang", "bundle"])
 
-    partial = docs.filter(F.col("lang").isNotNull()).select("text", F.col("lang").cast("string")).mapInArrow(bundle, "lang string, bundle array<double>")
+    known = docs.filter(F.col("lang").isNotNull()).select("text", F.col("lang").cast("string"))
+    partial = known.mapInArrow(bundle, "lang string, bundle array<double>")
     sums = partial.select("lang", F.posexplode("bundle").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
     rows = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v")).collect()
     return {r["lang"]: np.array(r["v"]) for r in rows}
@@ -114,39 +128,34 @@ def centred(prototypes: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, seed: int = 7) -> DataFrame:
     """All columns of ``docs`` plus lang_pred and score.
 
-    score is between 0 and 1 (a softmax of cosines). Null text, text without a letter, and a model
-    without languages give ``und`` with score 0. Only the text is looked at. Columns already named
-    lang_pred or score are replaced.
+    score is between 0 and 1 (a softmax of cosines, to six places). Null text, text without a letter,
+    and a model without languages give ``und`` with score 0; a text of one letter is compared like any
+    other. Ties go to the first language by name. Only the text is looked at, so rows of equal text have
+    equal results, whatever their ids; null ids are kept. Columns already named lang_pred or score are
+    replaced. An empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     names, rows = centred(prototypes)
     dims = rows.shape[1] if len(names) else DIMENSIONS
     place = docs.columns.index("text")
-    weights = rows.astype(np.float32)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
             found, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for part in slices(map(len, texts), BATCH_CHARS, BATCH_TEXTS) if names else ():
-                codes, owner = trigrams(texts[part])
                 n = part.stop - part.start
-                present = np.flatnonzero(np.bincount(codes, minlength=SYMBOLS**3))
-                if not len(present):
-                    continue
-                local = np.zeros(SYMBOLS**3, np.int32)
-                local[present] = np.arange(len(present))
-                counts = np.bincount(owner * len(present) + local[codes], minlength=n * len(present)).reshape(n, -1).astype(np.float32)
-                vectors = counts @ gram_vectors(present, dims, seed)
-                norms = np.linalg.norm(vectors, axis=1)
-                cosines = (vectors @ weights.T) / np.maximum(norms, 1e-9)[:, None]
-                parts = np.exp(SHARPNESS * (cosines - cosines.max(1, keepdims=True)).astype(np.float64))
+                grams = Grams(texts[part])
+                some = np.bincount(grams.owner, minlength=n) > 0
+                vectors = grams.bundles(np.arange(n), n, dims, seed)
+                norms = np.sqrt((vectors**2).sum(1))
+                cosines = np.round((vectors @ rows.T) / np.maximum(norms, 1e-9)[:, None], 9)
+                parts = np.exp(SHARPNESS * (cosines - cosines.max(1, keepdims=True)))
                 best = cosines.argmax(1)
-                some = counts.sum(1) > 0
                 for i in np.flatnonzero(some):
                     found[part.start + i] = names[best[i]]
-                scores[part] = np.where(some, 1 / parts.sum(1), 0.0)
+                scores[part] = np.where(some, np.round(1 / parts.sum(1), 6), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     schema = docs.schema
