@@ -8,7 +8,11 @@ first segmentation; at every step the pieces not taken form one sibling node, wh
 draw of the siblings' mass truncated at its parent's key. Popping the largest key and following it
 down gives the next segmentation, all distinct, in the order of their perturbed log-probabilities.
 The (k+1)-th key is the threshold of the inclusion scores. Only the k largest sibling keys can still
-be popped, so no more are kept: the search stays exact.
+be popped, so no more are kept: the search stays exact. Masses are kept as logarithms, summed over the
+pieces not taken, so a sibling node is missing only where no piece is left.
+
+Long texts: a text is cut into words where no piece crosses, and words are learnt once; a text without
+blanks is one word, whose lattice grows with its length times the longest piece.
 
 Draws are seeded by the row's key and text, so they do not depend on partitions or repeated tasks.
 """
@@ -34,8 +38,8 @@ SAMPLES, ALPHA = 3, 0.001
 #: Lattice edges that a worker remembers; beyond, it forgets the newer half of its words.
 MEMO_EDGES = 7_500_000
 BATCH_CHARS = 200_000
-#: Remaining probability below which no sibling is left.
-NOTHING = 1e-12
+#: Chance of an edge beyond which the others are added up by themselves.
+MOST = 0.9
 #: Edge numbers from here on stand for unknown characters: this plus the code point.
 UNKNOWN_EDGE = 1 << 24
 
@@ -43,7 +47,7 @@ SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed dou
 
 
 class Lattices:
-    """Lattices of words in one pool: states, and edges sorted by state with cumulative chances."""
+    """Lattices of words in one pool: states, and edges sorted by state with their chances' logarithms."""
 
     def __init__(self, model_path: str, alpha: float):
         import ahocorasick
@@ -76,9 +80,10 @@ class Lattices:
         self.pool_begins = np.cumsum(self.pool_sizes) - self.pool_sizes
         self.forget()
 
-    #: Arrays of edges: the state after it (-1 at a word's end), its chance, the chance of it and those
-    #: before it at its state, its piece, and the state that it leaves.
-    EDGES = (("ends_at", np.int32), ("chance", np.float64), ("upto", np.float64), ("piece", np.int32), ("state", np.int32))
+    #: Arrays of edges: the state after it (-1 at a word's end), the logarithms of its chance and of that
+    #: of all others at its state, the chance of it and those before it at its state, its piece, and the
+    #: state that it leaves.
+    EDGES = (("ends_at", np.int32), ("log_chance", np.float64), ("log_others", np.float64), ("upto", np.float64), ("piece", np.int32), ("state", np.int32))
 
     def forget_newer(self) -> None:
         """Drops the words learnt last, down to half of the edges: the words met first are common ones."""
@@ -148,9 +153,11 @@ class Lattices:
                 top = np.maximum.reduceat(value, new)
                 spread = np.repeat(top, np.diff(np.concatenate([new, [len(own)]])))
                 beta[place[new]] = top + np.log(np.add.reduceat(np.exp(value - spread), new))
-        chance = np.exp(score + beta[after] - beta[start])
+        log_chance = score + beta[after] - beta[start]
+        degree = np.diff(firsts)
+        upto = np.exp(log_chance)
+        log_others = others(log_chance, upto, firsts, start)
         # Sums edge by edge of all states at once, so that they do not depend on the other words.
-        upto, degree = chance.copy(), np.diff(firsts)
         for rank in range(1, int(degree.max(initial=0))):
             own = firsts[:-1][degree > rank] + rank
             upto[own] += upto[own - 1]
@@ -162,7 +169,7 @@ class Lattices:
         after = np.where(left[after] == 0, -1, offset + after)
         self.room(len(start), total)
         new = slice(self.edges, self.edges + len(start))
-        for name, values in (("ends_at", after), ("chance", chance / whole), ("upto", upto), ("piece", piece), ("state", offset + start)):
+        for name, values in (("ends_at", after), ("log_chance", log_chance), ("log_others", log_others), ("upto", upto), ("piece", piece), ("state", offset + start)):
             getattr(self, name)[new] = values
         self.first_edge[offset : offset + total + 1] = self.edges + firsts
         self.edges, self.states = new.stop, offset + total
@@ -171,8 +178,13 @@ class Lattices:
 
     def words(self, text: str) -> list[str]:
         """A text's independent parts."""
-        marked = BLANK + text.replace(" ", BLANK) if text else ""
-        return parts(marked, self.ends) if self.cuts else [marked][: len(marked)]
+        if not (self.cuts and text) or "  " in text or text[0] == " " or BLANK in text or "\0" in text:
+            marked = BLANK + text.replace(" ", BLANK) if text else ""
+            return parts(marked, self.ends) if self.cuts else [marked][: len(marked)]
+        marked = (BLANK + text).replace(" ", "\0" + BLANK).replace("\n", "\0\n\0")
+        if self.ends:
+            marked = self.ends.sub("\0\\g<0>", marked)
+        return [x for x in marked.split("\0") if x]
 
     def begin(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The first states of the words of each text; unknown words are learnt."""
@@ -194,6 +206,15 @@ class Lattices:
             open_ = open_[self.upto[edge[open_]] < u[open_]]
         return edge
 
+    def left_at(self, state: int, without: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """The edges of a state but for some, and the logarithms of their chances."""
+        low, high = int(self.first_edge[state]), int(self.first_edge[state + 1])
+        there = np.ones(high - low, bool)
+        for edge in without:
+            there[edge - low] = False
+        edges = np.flatnonzero(there)
+        return edges + low, self.log_chance[low:high][edges]
+
     def follow(self, states: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draws a path from each state to its word's end, seeded by each state's own key: the edges
         in path order, and where each state's path begins (one entry more than states)."""
@@ -234,6 +255,27 @@ class Lattices:
         return text[1:] if text[:1] == " " else text
 
 
+def others(log_chance: np.ndarray, chance: np.ndarray, firsts: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each edge the logarithm of the chances of all other edges of its state, added up; -inf where
+    there is none. ``start`` is the state of each edge, ``firsts`` the first edge of each state."""
+    # One less its own chance is exact enough but for an edge that takes most of the chance: there the
+    # others are added up themselves.
+    out = np.log1p(-np.minimum(chance, MOST))
+    heavy = np.flatnonzero(chance > MOST)
+    begin, sizes = firsts[start[heavy]], firsts[start[heavy] + 1] - firsts[start[heavy]]
+    out[heavy[sizes == 1]] = -np.inf
+    heavy, begin, sizes = heavy[sizes > 1], begin[sizes > 1], sizes[sizes > 1]
+    if not len(heavy):
+        return out
+    bounds = np.cumsum(sizes) - sizes
+    edge = np.arange(sizes.sum()) + np.repeat(begin - bounds, sizes)
+    rest = log_chance[edge]
+    rest[edge == np.repeat(heavy, sizes)] = -np.inf
+    top = np.maximum.reduceat(rest, bounds)
+    out[heavy] = top + np.log(np.add.reduceat(np.exp(rest - np.repeat(top, sizes)), bounds))
+    return out
+
+
 def uniform(keys: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from 64-bit keys."""
     return ((mix(keys) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
@@ -263,14 +305,11 @@ def sample(lattices: Lattices, texts: list[np.ndarray], k: int, seeds: np.ndarra
         for node, i, u in zip(popped, active, draws, strict=True):
             word, state, without = node[4:]
             if without:
-                lo, hi = int(lattices.first_edge[state]), int(lattices.first_edge[state + 1])
-                chances = lattices.chance[lo:hi].copy()
-                chances[np.array(without) - lo] = 0
-                pick = int(min(np.searchsorted(np.cumsum(chances), u * chances.sum(), "right"), hi - lo - 1))
-                while chances[pick] == 0:
-                    pick -= 1
-                after = int(lattices.ends_at[lo + pick])
-                heads.append(np.array([lo + pick]))
+                open_, logs = lattices.left_at(state, without)
+                chances = np.cumsum(np.exp(logs - logs.max()))
+                edge = int(open_[min(int(np.searchsorted(chances, u * chances[-1], "right")), len(open_) - 1)])
+                after = int(lattices.ends_at[edge])
+                heads.append(np.array([edge]))
                 starts.append(texts[i][word + 1 :] if after < 0 else np.concatenate([[after], texts[i][word + 1 :]]))
             else:
                 heads.append(np.zeros(0, np.int64))
@@ -285,20 +324,20 @@ def sample(lattices: Lattices, texts: list[np.ndarray], k: int, seeds: np.ndarra
         edges = np.insert(more, spots, np.concatenate(heads)) if lead.any() else more
         bounds = cuts + np.concatenate([[0], np.cumsum(lead)])
         lengths = np.diff(bounds)
-        chances = lattices.chance[edges]
-        left = 1.0 - chances
+        logs, left = lattices.log_chance[edges], lattices.log_others[edges]
         for j in np.flatnonzero(lead):
-            left[bounds[j]] -= lattices.chance[np.array(popped[j][6])].sum()
-        logs = np.log(chances)
+            gone = (*popped[j][6], int(edges[bounds[j]]))
+            rest = lattices.left_at(popped[j][5], gone)[1]
+            left[bounds[j]] = rest.max() + np.log(np.exp(rest - rest.max()).sum()) if len(rest) else -np.inf
         before_step, totals = np.zeros(len(edges)), np.zeros(len(popped))
         for j, node in enumerate(popped):
             ahead = node[3] + np.concatenate([[0.0], np.cumsum(logs[bounds[j] : bounds[j + 1]])])
             before_step[bounds[j] : bounds[j + 1]], totals[j] = ahead[:-1], ahead[-1]
-        noise = -np.log(uniform(np.repeat(seed, lengths) ^ mix((np.arange(len(edges)) - np.repeat(bounds[:-1], lengths)).astype(np.uint64))))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            location = before_step + np.log(np.maximum(left, NOTHING))
-            # A Gumbel draw at the location, given that it is at most the node's key.
-            keys = np.where(left > NOTHING, location - np.log(np.exp(location + np.repeat([node[0] for node in popped], lengths)) + noise), -np.inf)
+        step = mix(np.arange(lengths.max(), dtype=np.uint64))[np.arange(len(edges)) - np.repeat(bounds[:-1], lengths)]
+        noise = -np.log(uniform(np.repeat(seed, lengths) ^ step))
+        # A Gumbel draw at the location, given that it is at most the node's key; -inf stays so.
+        location = before_step + left
+        keys = location - np.log(np.exp(location + np.repeat([node[0] for node in popped], lengths)) + noise)
         word_base = np.cumsum(sizes) - sizes
         for j, (node, i) in enumerate(zip(popped, active, strict=True)):
             key, _, before, _, word, _, without = node
@@ -306,6 +345,9 @@ def sample(lattices: Lattices, texts: list[np.ndarray], k: int, seeds: np.ndarra
             path = np.concatenate([before, edges[lo:hi]])
             found[i].append((path, float(totals[j]), -key))
             room, own = k + 1 - len(found[i]), keys[lo:hi]
+            if room == 1:  # no more is drawn: only the key that would have come next counts
+                heapq.heappush(heaps[i], (-float(own.max()), 0))
+                continue
             best = np.argpartition(-own, room - 1)[:room] if room < len(own) else np.arange(len(own))
             first_word = word + int(lead[j] and sizes[j] < len(texts[i]) - word)
             for at in best.tolist():
@@ -334,7 +376,9 @@ def encode_samples(docs: DataFrame, *, model_path: str, k: int = SAMPLES, alpha:
     segmentation's key passes the threshold, 1 if no other segmentation is left) and ids; with
     ``digest`` ids_crc32 (unsigned, little-endian 32-bit ids) and round_trip (decoding gives the text)
     instead of ids. Null and empty texts have one empty segmentation of log-probability 0. A text
-    with fewer than k segmentations gives as many as it has. Repeated rows give equal samples.
+    with fewer than k segmentations gives as many as it has. Repeated rows give equal samples, a null
+    doc_id draws like 0. Other columns are not looked at, so their names cannot clash. An empty table
+    gives an empty one.
     """
     small_batches(docs.sparkSession)
 
@@ -352,7 +396,7 @@ def encode_samples(docs: DataFrame, *, model_path: str, k: int = SAMPLES, alpha:
                 for doc_id, text, (found, threshold) in zip(ids[part], texts[part], sample(lattices, states, k, seeds), strict=True):
                     for number, (edges, log_prob, key) in enumerate(found):
                         own = lattices.ids(edges)
-                        chance = 1.0 if threshold == -np.inf else float(-np.expm1(-np.exp(log_prob - threshold)))
+                        chance = float(-np.expm1(-np.exp(min(log_prob - threshold, 700.0))))
                         row = [doc_id, number + 1, len(own), log_prob, key, chance]
                         row += [zlib.crc32(own.astype("<u4").tobytes()), lattices.decode(own) == text.replace(BLANK, " ")] if digest else [own.astype(np.int32), None]
                         for column, value in zip(columns, row, strict=True):
