@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch sent to a Python worker.
 ARROW_ROWS, ARROW_BYTES = 1000, "8m"
+#: Application and path of every shared folder made and not yet deleted.
+_MADE: list[tuple[str, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds each Arrow batch, so that memory follows a batch, not a partition; and has shuffle files
-    go with the query that wrote them, so that stages of one operator do not add up on disk."""
+    go with the query that wrote them, so that stages of one operator do not add up on disk. Results are
+    computed after an operator has returned, so these settings of the session stay."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
@@ -28,23 +32,43 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder that the driver and all executors see.
 
-    It lies in the folder of ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is taken instead.
+    It lies in the folder of ``spark.checkpoint.dir``. Only where that is unset and everything runs in one
+    process (a local master, as in tests) a temporary folder is taken instead.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/papyrine-shared"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _MADE.append((spark.sparkContext.applicationId, path))
+    return path
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: a cut in the lineage that
-    outlives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, what)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    outlives lost executors. Such tables stay until clean(), because results may read them later."""
+    return Scratch(df.sparkSession).stored(df, what)
+
+
+class Scratch:
+    """Tables that are needed only until an operator returns."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        path = shared_dir(self.spark, what)
+        df.write.mode("overwrite").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, keep: int = 0) -> None:
+        """Deletes all tables, or all but the last ``keep``."""
+        gone, self.paths = (self.paths[:-keep], self.paths[-keep:]) if keep else (self.paths, [])
+        for path in gone:
+            drop_dir(self.spark, path)
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
@@ -52,6 +76,15 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(conf).delete(target, True)
+    _MADE[:] = [x for x in _MADE if x[1] != path]
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes every table that operators of this application have stored; results that read one can
+    then no longer be computed."""
+    for application, path in list(_MADE):
+        if application == spark.sparkContext.applicationId:
+            drop_dir(spark, path)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -7,10 +7,14 @@ below a tolerance; the rest are verified exactly on their shingles.
 
 Copies (equal shingle sets) are one class from the start, reduced before any join. Candidates are
 never listed pair by pair: a band's documents are tied to the smallest of them, connected parts of
-these ties are found by star contractions, and each part is compared within itself, in blocks when it
-is large. A block pair gives a row for each of its documents and a forest of its links, so rows grow
-with documents, not pairs. At the defaults a pair of likeness 0.8 misses all bands with chance 5e-8
-and is dropped with chance below 1e-6.
+these ties are found by star contractions, and a small part is compared within itself. A large part is
+compared band by band, each pair in the first band that it shares, or as a whole where that takes fewer
+comparisons (a dense group of near copies, whose bands hold most of it); either way in pairs of blocks.
+A unit of work gives a row for each of its documents and a forest of its links, so rows grow with
+documents, not pairs. At the defaults a pair of likeness 0.8 misses all bands with chance 5e-8 and is
+dropped with chance below 1e-6.
+
+Texts of any length are read whole; blocks are bounded by shingles as well as by documents.
 """
 
 from __future__ import annotations
@@ -20,18 +24,18 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm._shared import small_batches, stored
+from papyrine.llm._shared import Scratch, small_batches, stored
 from papyrine.llm._text import PRIME, U64, mix, shingles, slices
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 #: Values compared at each step, and the least posterior probability of a pair that stays.
 STEP, TOLERANCE = 32, 1e-7
-#: Classes of one block of a large part, and of a task's share of small parts.
-BLOCK = 2048
+#: Classes, and shingles, of one block of a large part and of a task's share of small parts.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 #: Candidate classes up to this number are broadcast (40 bytes each); more are joined by shuffling.
 BROADCAST_ROWS = 300_000
 BATCH_CHARS = 1 << 19
@@ -101,21 +105,23 @@ def class_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, sizes.astype(np.int64), bands
 
 
-def connected_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected edges (u, v); component is the smallest node.
 
     Alternates large-star and small-star contractions until nothing changes. A node's neighbours are
     never gathered: a minimum by node is joined back to its edges.
     """
-    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    scratch = Scratch(edges.sparkSession)
+    now = scratch.stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     state = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = stored(small, "edges")
+        hooked = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = scratch.stored(hooked.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        scratch.drop(keep=1)
         found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if found == state:
             break
@@ -123,9 +129,10 @@ def connected_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def compare(hashes: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def compare(hashes: list[np.ndarray], left: np.ndarray, right: np.ndarray, earlier: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked pairs (numbers in ``hashes``) between the sets ``left`` and ``right``, or within ``left``
-    where both are the same; some rows of ``left`` at a time."""
+    where both are the same; some rows of ``left`` at a time. Pairs that agree anywhere in ``earlier``
+    (rows for all sets) are left out: they are another unit's."""
     inside = left is right or np.array_equal(left, right)
     used = left if inside else np.concatenate([left, right])
     sizes = np.array([len(hashes[i]) for i in used])
@@ -160,6 +167,9 @@ def compare(hashes: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> It
                     matches += signature[rows, k][:, None] == signature[other, k][None, :]
             able &= matches >= least_matches(step + STEP)
         i, j = np.nonzero(able)
+        if earlier is not None and earlier.shape[1]:
+            own = np.concatenate([~(earlier[used[rows[i[s]]]] == earlier[used[other[j[s]]]]).any(1) for lo in range(0, len(i), 1 << 16) if (s := slice(lo, lo + (1 << 16)))] or [np.zeros(0, bool)])
+            i, j = i[own], j[own]
         if not len(i):
             continue
         left_sizes, right_sizes = sizes[rows[i]], sizes[other[j]]
@@ -201,89 +211,151 @@ def join(docs: DataFrame, *, block: int = BLOCK, texts: bool = False) -> DataFra
     (n_copies, itself counted) among them. Words are runs of letters and digits of the lower-cased
     text; a text of one to four words is one shingle; texts without words are linked if they are equal,
     null counting as empty. A null doc_id is the largest; a class of null ids only has a null class_id.
-    Rows of equal id and text are copies. One row out for each row in. With ``texts`` there are also the
+    Rows of equal id and text are copies. One row out for each row in, none for an empty table. Only doc_id
+    and text are read, so names of other columns cannot clash. With ``texts`` there are also the
     hashes of the row's text (_text) and of the text of the class's first row by id, then hash (class_text).
     """
     spark = docs.sparkSession
     small_batches(spark)
+    scratch = Scratch(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_text", F.xxhash64("text"))
     rows = stored(sketches(docs), "sketches")
-    classes = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")).alias("rep"), F.count("*").alias("copies"))
-    ties = rows.filter("n_shingles > 0").groupBy("key").agg(F.any_value("bands").alias("bands")).select("key", F.explode("bands").alias("band"))
-    ties = stored(ties, "bands")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text"))
+    classes = rows.groupBy("key").agg(rep.alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
+    banded = scratch.stored(rows.filter("n_shingles > 0").groupBy("key").agg(F.any_value("bands").alias("bands")), "bands")
+    members = scratch.stored(parts_of(banded, classes), "members")
+    total, weight = members.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    shares = max(1, -(-total // block), -(-weight // BLOCK_SHINGLES))
+    shingled = contents(docs, members, total <= BROADCAST_ROWS)
+    large = members.filter(blocks_of(F.col("size"), F.col("weight"), block) > 1).select("component", "key")
+    some_large = large.limit(1).count()
+    if some_large:
+        shingled = scratch.stored(shingled, "shingles")
+    units = small_units(shingled, shares, block)
+    if some_large:
+        units = units.unionByName(large_units(shingled, banded, large, scratch, block))
+    found = scratch.stored(units.groupBy("unit").applyInArrow(linked, "key long, links long, root long, whole boolean"), "links")
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    roots = found.filter("whole").select("key", "root").distinct()
+    cut = found.filter("not whole")
+    if cut.limit(1).count():
+        spread = connected_components(cut.select(F.col("key").alias("u"), F.col("root").alias("v")))
+        roots = roots.unionByName(spread.select(F.col("node").alias("key"), F.col("component").alias("root")))
+    named = classes.join(roots, "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    ids = named.groupBy("root").agg(F.min("rep").alias("first"))
+    others = F.coalesce(F.col("links"), F.lit(0)) + F.col("copies") - 1
+    named = named.join(ids, "root").select("key", F.col("first.doc_id").alias("class_id"), F.col("first._text").alias("class_text"), others.alias("n_links"), F.col("copies").alias("n_copies"))
+    named = stored(named, "classes")
+    scratch.drop()
+    out = ["doc_id", "_text", "class_id", "class_text", "n_links", "n_copies"]
+    return rows.select("doc_id", "_text", "key").join(named, "key").select(*(c for c in out if texts or not c.endswith("_text")))
+
+
+def blocks_of(size: Column, weight: Column, block: int) -> Column:
+    """Number of blocks for so many classes and shingles."""
+    return F.greatest(F.ceil(size / block), F.ceil(weight / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def parts_of(banded: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, component, size, weight (classes and shingles of the component), rep, rep_text, copies and
+    n_shingles of every class that shares a band with another."""
+    ties = banded.select("key", F.explode("bands").alias("band"))
     heads = ties.groupBy("band").agg(F.min("key").alias("head"), F.count("*").alias("n")).filter("n > 1").select("band", "head")
     edges = ties.join(heads, "band").filter("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v"))
-    parts = connected_components(edges)
-    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    members = parts.select(F.col("node").alias("key"), "component").join(sizes, "component").join(classes, "key")
-    members = stored(members.select("key", "component", "size", F.col("rep.doc_id").alias("rep"), F.col("rep._text").alias("rep_text"), "copies"), "members")
-    total = members.count()
-    few = total <= BROADCAST_ROWS
-    shares = max(1, -(-total // block))
-    # The texts of the representatives, by id and text, so that rows without ids neither gather in one
-    # task nor meet all others of their kind; of equal rows without ids one goes on.
+    parts = connected_components(edges).select(F.col("node").alias("key"), "component").join(classes, "key")
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"))
+    return parts.join(sizes, "component").select("key", "component", "size", "weight", F.col("rep.doc_id").alias("rep"), F.col("rep._text").alias("rep_text"), "copies", "n_shingles")
+
+
+def contents(docs: DataFrame, members: DataFrame, few: bool) -> DataFrame:
+    """key, component, size, weight, copies and content (shingle hashes) of the members, from the texts of
+    their first rows. These are found by id and text, so that rows without ids neither gather in one task
+    nor meet all others of their kind; of equal rows without ids one goes on."""
     held = docs.filter("doc_id is not null").unionByName(docs.filter("doc_id is null").dropDuplicates(["_text"]))
     same = held["doc_id"].eqNullSafe(members["rep"]) & (held["_text"] == members["rep_text"])
-    text = held.join(F.broadcast(members) if few else members, same).select("key", "component", "size", "copies", "text")
+    text = held.join(F.broadcast(members) if few else members, same).select("key", "component", "size", "weight", "copies", "text")
+    carried = text.columns[:-1]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(4).to_pylist()
+            texts = batch.column(len(carried)).to_pylist()
             for part in slices(map(len, texts), BATCH_CHARS):
                 hashes, owner = shingles(texts[part], WORDS)
-                ends = np.cumsum(np.bincount(owner, minlength=part.stop - part.start) if len(owner) else np.zeros(part.stop - part.start, int))
-                own = batch.slice(part.start, part.stop - part.start)
+                n = part.stop - part.start
+                ends = np.cumsum(np.bincount(owner, minlength=n) if len(owner) else np.zeros(n, int))
+                own = batch.slice(part.start, n)
                 keys = class_keys_only(hashes, ends)
                 ours = np.flatnonzero(keys == own.column(0).to_numpy().view(U64))
                 content = [hashes[(ends[i - 1] if i else 0) : ends[i]].tobytes() for i in ours]
-                yield pa.RecordBatch.from_arrays([*(own.column(c).take(pa.array(ours)) for c in range(4)), pa.array(content, pa.binary())], ["key", "component", "size", "copies", "content"])
-
-    shingled = text.mapInArrow(sets, "key long, component long, size long, copies long, content binary")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    dealt = shingled.withColumn("blocks", blocks).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(shares))).otherwise(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")))
-    dealt = dealt.select(unit.alias("unit"), "key", "component", "copies", "blocks", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "content")
-
-    def linked(group: pa.Table) -> pa.Table:
-        key, component = group["key"].to_numpy(), group["component"].to_numpy()
-        copies, own = group["copies"].to_numpy(), group["own"].to_numpy()
-        a, b = group["a"].to_numpy(), group["b"].to_numpy()
-        hashes = [np.frombuffer(c.as_buffer(), U64) for c in group["content"].combine_chunks()]
-        order = np.lexsort((key, b, a, component))
-        new = np.flatnonzero(np.concatenate([[True], (component[order][1:] != component[order][:-1]) | (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]))
-        links = np.zeros(len(key), np.int64)
-        label = np.arange(len(key))
-        for lo, hi in zip(new, np.concatenate([new[1:], [len(order)]]), strict=True):
-            some = order[lo:hi]
-            some = some[np.unique(key[some], return_index=True)[1]]  # a row of each class
-            first, second = a[some[0]], b[some[0]]
-            left = some[own[some] == first]
-            right = left if first == second else some[own[some] == second]
-            if not len(left) or not len(right):
-                continue
-            pairs = list(compare(hashes, left, right))
-            if pairs:
-                x, y = (np.concatenate(p) for p in zip(*pairs, strict=True))
-                links += np.bincount(x, copies[y], len(key)).astype(np.int64) + np.bincount(y, copies[x], len(key)).astype(np.int64)
-                local = np.full(len(key), -1)
-                local[some] = np.arange(len(some))
-                label[some] = some[forest(len(some), local[x], local[y])]
-        return pa.table({"key": key, "links": links, "root": key[label], "whole": group["blocks"].to_numpy() == 1})
-
-    found = stored(dealt.groupBy("unit").applyInArrow(linked, "key long, links long, root long, whole boolean"), "links")
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    small = found.filter("whole").select("key", "root").distinct()
-    large = found.filter("not whole")
-    roots = small
-    if large.limit(1).count():
-        spread = connected_components(large.select(F.col("key").alias("u"), F.col("root").alias("v")))
-        roots = small.unionByName(spread.select(F.col("node").alias("key"), F.col("component").alias("root")))
-    named = classes.join(roots, "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    ids = named.groupBy("root").agg(F.min("rep").alias("first"))
-    named = stored(named.join(ids, "root").select("key", F.col("first.doc_id").alias("class_id"), F.col("first._text").alias("class_text"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")), "classes")
-    return rows.select("doc_id", "_text", "key").join(named, "key").select("doc_id", *(["_text"] if texts else []), "class_id", *(["class_text"] if texts else []), "n_links", "n_copies")
+                columns = [own.column(c).take(pa.array(ours)) for c in range(len(carried))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(content, pa.binary())], [*carried, "content"])
+
+    return text.mapInArrow(sets, "key long, component long, size long, weight long, copies long, content binary")
+
+
+def small_units(shingled: DataFrame, shares: int, block: int) -> DataFrame:
+    """Rows of parts that are one block, dealt to shares: unit, key, copies and content, group (what is
+    compared: a part or a band), its blocks a and b, a row's own block, whole (whether the unit has all links of
+    its group) and earlier (the row's earlier bands; pairs that agree there are another unit's)."""
+    own = shingled.filter(blocks_of(F.col("size"), F.col("weight"), block) == 1)
+    zero, none = F.lit(0), F.array().cast("array<long>")
+    unit = F.pmod(F.xxhash64("component"), F.lit(shares))
+    return own.select(unit.alias("unit"), "key", "copies", "content", F.col("component").alias("group"), zero.alias("a"), zero.alias("b"), zero.alias("own"), F.lit(True).alias("whole"), none.alias("earlier"))
+
+
+def large_units(shingled: DataFrame, banded: DataFrame, large: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """Rows of larger parts: by shared bands, or the whole part where that takes no more comparisons."""
+    numbered = banded.join(large, "key").select("key", "component", "bands", F.posexplode("bands").alias("number", "band"))
+    weights = shingled.groupBy("key").agg(F.max(F.octet_length("content")).alias("bytes"))
+    size = (F.count("*").alias("n"), (F.sum("bytes") / 8).cast("long").alias("weight"))
+    groups = numbered.select("key", "component", "band").join(weights, "key").groupBy("component", "band").agg(*size).filter("n > 1")
+    groups = scratch.stored(groups, "groups")
+    # Comparisons band by band, each of which may repeat those of others, against all pairs of the part.
+    cost = groups.groupBy("component").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("by_bands"))
+    parts = shingled.select("component", "size").distinct().join(cost, "component").select("component", (F.col("by_bands") < F.col("size").cast("double") * F.col("size")).alias("banded"))
+    parts = scratch.stored(parts, "modes")
+    none = F.array().cast("array<long>")
+    whole = shingled.join(parts.filter("not banded"), "component").select("key", "copies", "content", F.col("component").alias("group"), blocks_of(F.col("size"), F.col("weight"), block).alias("blocks"), none.alias("earlier"))
+    held = groups.join(parts.filter("banded"), "component").select("band", blocks_of(F.col("n"), F.col("weight"), block).alias("blocks"))
+    rows = numbered.select("key", "band", F.slice("bands", F.lit(1), F.col("number")).alias("earlier")).join(held, "band")
+    by_band = rows.join(shingled.select("key", "copies", "content"), "key").select("key", "copies", "content", F.col("band").alias("group"), "blocks", "earlier")
+    both = whole.unionByName(by_band).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    both = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a, b = F.least("own", "other"), F.greatest("own", "other")
+    return both.select(F.xxhash64("group", a, b).alias("unit"), "key", "copies", "content", "group", a.alias("a"), b.alias("b"), "own", F.lit(False).alias("whole"), "earlier")
+
+
+def linked(group: pa.Table) -> pa.Table:
+    """A unit's rows compared: number of linked documents and root of each class in each of its groups."""
+    key, copies, own = (group[c].to_numpy() for c in ("key", "copies", "own"))
+    what, a, b = (group[c].to_numpy() for c in ("group", "a", "b"))
+    hashes = [np.frombuffer(c.as_buffer(), U64) for c in group["content"].combine_chunks()]
+    before = group["earlier"].combine_chunks()
+    order = np.lexsort((key, b, a, what))
+    new = np.flatnonzero(np.concatenate([[True], (what[order][1:] != what[order][:-1]) | (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]))
+    links = np.zeros(len(key), np.int64)
+    label = np.arange(len(key))
+    for lo, hi in zip(new, np.concatenate([new[1:], [len(order)]]), strict=True):
+        some = order[lo:hi]
+        some = some[np.unique(key[some], return_index=True)[1]]  # a row of each class
+        first, second = a[some[0]], b[some[0]]
+        left = some[own[some] == first]
+        right = left if first == second else some[own[some] == second]
+        if not len(left) or not len(right):
+            continue
+        width = len(before[int(some[0])])
+        earlier = None
+        if width:
+            earlier = np.zeros((len(key), width), np.int64)
+            earlier[some] = before.take(pa.array(some)).flatten().to_numpy().reshape(len(some), width)
+        pairs = list(compare(hashes, left, right, earlier))
+        if pairs:
+            x, y = (np.concatenate(p) for p in zip(*pairs, strict=True))
+            links += np.bincount(x, copies[y], len(key)).astype(np.int64) + np.bincount(y, copies[x], len(key)).astype(np.int64)
+            local = np.full(len(key), -1)
+            local[some] = np.arange(len(some))
+            label[some] = some[forest(len(some), local[x], local[y])]
+    return pa.table({"key": key, "links": links, "root": key[label], "whole": group["whole"]})
 
 
 def class_keys_only(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -111,6 +111,28 @@ def test_join_equals_brute_force(spark, block):
     assert got == linked_by_force(rows)
 
 
+def test_join_of_chains_equals_brute_force(spark):
+    """Parts in which bands tie many texts of which few are alike: compared band by band."""
+    r = random.Random(9)
+    words = [f"w{r.randrange(10**6)}" for _ in range(700)]
+    rows = [(i, " ".join(words[5 * i : 5 * i + 60])) for i in range(120)] + [(200 + i, " ".join(words[50 * i : 50 * i + 58])) for i in range(12)]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"] - (r["n_copies"] - 1)) for r in ngram_join.join(df.dropDuplicates(), block=4).collect()}
+    assert got == linked_by_force(rows) and max(n for _, n in got.values()) >= 2
+    more = {r["doc_id"]: (r["class_id"], r["n_copies"]) for r in ngram_join.join(df, block=4).collect()}
+    assert {i: c for i, (c, _) in more.items()} == {i: c for i, (c, _) in got.items()} and [more[i][1] for i in range(4)] == [2, 2, 2, 1]
+
+
+def test_compare_leaves_out_pairs_of_earlier_bands():
+    import numpy as np
+
+    sets = [np.arange(1, 60, dtype=np.uint64) + np.uint64(i) for i in range(4)]
+    whole = {(int(a), int(b)) for x, y in ngram_join.compare(sets, np.arange(4), np.arange(4)) for a, b in zip(x, y, strict=True)}
+    earlier = np.array([[1, 5], [2, 5], [3, 6], [1, 7]])
+    some = {(int(a), int(b)) for x, y in ngram_join.compare(sets, np.arange(4), np.arange(4), earlier) for a, b in zip(x, y, strict=True)}
+    assert len(whole) == 6 and some == whole - {(0, 1), (0, 3)}
+
+
 @pytest.mark.parametrize("broadcast", [300_000, 0])
 def test_join_of_rows_without_ids(spark, broadcast, monkeypatch):
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", broadcast)
