@@ -7,7 +7,9 @@ Reading: Spark's text reader cuts the files at the version line of a record, whe
 splits of any size. A version line in a payload makes false candidates. Tasks emit for each candidate
 its place and, from its header, the place of its successor; within each file pointer jumping from the
 start keeps the candidates that a chain of successors reaches. What a payload holds cannot be reached.
-A record whose payload was cut is put together from the pieces that follow it.
+A record whose payload goes on in later splits is put together from their pieces, which are joined with it
+by split; nothing of it goes through the driver. Payloads of any length are read whole: a record must fit
+into a worker, and a split's pieces are held once while a candidate waits for its end.
 """
 
 from __future__ import annotations
@@ -112,6 +114,59 @@ def payload_of(block: bytes) -> bytes:
 CANDIDATE_SCHEMA = "file string, block long, place long, successor long, span long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, declared string"
 
 
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """value, file and block (start of the split) of what stands between version lines."""
+    text = spark.read.option("lineSep", VERSION.decode()).text(path)
+    return text.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+class Split:
+    """The pieces of one split while candidates wait for their ends. Places count from its first piece."""
+
+    def __init__(self, file: str, block: int):
+        self.name, self.at = (file, block), 0
+        self.held: list[tuple[int, bytes]] = []
+        self.waiting: list[tuple[list, int, int]] = []  # row, begin and end of the record's block
+
+    def bytes_of(self, begin: int, end: int) -> bytes:
+        return b"".join(data[max(begin - at, 0) : end - at] for at, data in self.held if at < end and at + len(data) > begin)
+
+    def add(self, value: bytes) -> list[tuple]:
+        """Takes the next piece; the rows that it completes."""
+        found = parse_header(value)
+        after = self.at + len(value)
+        if found:
+            fields, head = found
+            begin, kind = self.at + head, fields["warc-type"]
+            end = begin + int(fields["content-length"])
+            declared = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+            length = fields.get("warc-payload-length", "")
+            # place is where the version line would begin if the first piece began at 0
+            row = [*self.name, self.at - len(VERSION), end + len(END), None, _page(fields.get("warc-record-id")), int(length) if length.isdigit() else None, declared, kind, _page(fields.get("warc-refers-to")), declared]
+            if kind == "revisit":
+                self.waiting.append((row, begin, begin))  # its header says all
+            else:
+                self.waiting.append((row, begin, end))
+        if self.waiting:
+            self.held.append((self.at - len(VERSION), VERSION + value) if self.at else (0, value))
+        done = [self.finished(*w) for w in self.waiting if w[2] <= after]
+        self.waiting = [w for w in self.waiting if w[2] > after]
+        first = min((w[1] for w in self.waiting), default=after)
+        self.held = [x for x in self.held if x[0] + len(x[1]) > first]
+        self.at = after + len(VERSION)
+        return done
+
+    def finished(self, row: list, begin: int, end: int) -> tuple:
+        if row[8] == "revisit":
+            return tuple(row)
+        payload = payload_of(self.bytes_of(begin, end))
+        return (*row[:6], len(payload), digest_of(payload), *row[8:])
+
+    def close(self) -> list[tuple]:
+        """Rows of candidates that go on beyond the split, and the split's own."""
+        return [(*row[:6], None, None, *row[8:]) for row, _, _ in self.waiting] + [(*self.name, None, None, self.at, *[None] * 6)]
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """A row for each candidate record, and for each split one whose ``span`` is the split's length.
 
@@ -119,60 +174,23 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     goes on beyond the split; then place and successor say what to read again.
     """
     small_batches(spark)
-    pieces = spark.read.option("lineSep", VERSION.decode()).text(path).select(F.col("value").cast("binary").alias("value"), "_metadata.file_path", "_metadata.file_block_start")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split: tuple[str, int] | None = None
-        at = 0
-        waiting: list[list] = []  # candidates whose block is not complete: row, bytes so far, missing
+        split: Split | None = None
         rows: list[tuple] = []
-
-        def finished(row: list, block: bytes) -> tuple:
-            payload = payload_of(block)
-            if row[8] == "revisit":
-                return (*row[:6], *row[6:])
-            return (*row[:6], len(payload), digest_of(payload), *row[8:])
-
-        def close() -> None:
-            rows.extend((*w[0][:7], None, *w[0][8:]) for w in waiting)
-            waiting.clear()
-            if split is not None:
-                rows.append((*split, None, None, at, *[None] * 6))
-
         for batch in batches:
             for value, file, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (file, block) != split:
-                    close()
-                    split, at = (file, block), 0
-                for w in waiting:
-                    more = (VERSION + value)[: w[2]]
-                    w[1].append(more)
-                    w[2] -= len(more)
-                rows.extend(finished(w[0], b"".join(w[1])) for w in waiting if w[2] <= 0)
-                waiting = [w for w in waiting if w[2] > 0]
-                found = parse_header(value)
-                if found:
-                    fields, head = found
-                    size = int(fields["content-length"])
-                    kind = fields["warc-type"]
-                    declared = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-                    length = fields.get("warc-payload-length", "")
-                    # place is where the version line would begin if the first piece began at 0
-                    row = [file, block, at - len(VERSION), at + head + size + len(END), None, _page(fields.get("warc-record-id")), int(length) if length.isdigit() else None, declared if kind == "revisit" else "", kind, _page(fields.get("warc-refers-to")), declared]
-                    part = value[head : head + size]
-                    if len(part) < size:
-                        waiting.append([row, [part], size - len(part)])
-                    else:
-                        rows.append(finished(row, part))
-                at += len(value) + len(VERSION)
+                if split is None or (file, block) != split.name:
+                    rows += split.close() if split else []
+                    split = Split(file, block)
+                rows += split.add(value)
             if rows:
                 yield _batch(rows)
-                rows.clear()
-        close()
-        if rows:
-            yield _batch(rows)
+                rows = []
+        if split:
+            yield _batch(split.close())
 
-    return pieces.mapInArrow(scan, CANDIDATE_SCHEMA)
+    return pieces(spark, path).mapInArrow(scan, CANDIDATE_SCHEMA)
 
 
 _TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
@@ -201,6 +219,31 @@ def reachable(place: np.ndarray, successor: np.ndarray) -> np.ndarray:
         reached = more
 
 
+def chain(group: pa.Table) -> pa.Table:
+    """The true records of one file, with places counted from the file's start; ``covers`` has block and
+    base of each split that a record with an open end lies in."""
+    block, span = group["block"].to_numpy(), group["span"].to_numpy(zero_copy_only=False)
+    ends = ~np.isnan(span.astype(float))
+    order = np.argsort(block[ends])
+    blocks = block[ends][order]
+    bases = np.concatenate([[0], np.cumsum(span[ends][order])[:-1]]).astype(np.int64)
+    own = group.filter(pa.array(~ends))
+    base = bases[np.searchsorted(blocks, own["block"].to_numpy())]
+    place, successor = own["place"].to_numpy() + base, own["successor"].to_numpy() + base
+    order = np.argsort(place, kind="stable")
+    kept = order[reachable(place[order], successor[order])] if len(order) else order
+    covers = []
+    for i, cut in zip(kept.tolist(), own["payload_digest"].take(pa.array(kept)).is_null().to_pylist(), strict=True):
+        over = np.flatnonzero((bases >= base[i]) & (bases < successor[i])) if cut else []
+        covers.append([{"block": int(blocks[k]), "base": int(bases[k])} for k in over])
+    out = own.set_column(own.column_names.index("place"), "place", pa.array(place)).set_column(own.column_names.index("successor"), "successor", pa.array(successor))
+    out = out.take(pa.array(kept)).select(["file", "place", "successor", *_RECORD, "declared"])
+    return out.append_column("covers", pa.array(covers, pa.list_(pa.struct([("block", pa.int64()), ("base", pa.int64())]))))
+
+
+_RECORD = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the WARC files in ``path``: page_id, payload_bytes, payload_digest, record_type,
     refers_to, and intact (the digest of what was read is the declared one; true for revisits).
@@ -208,49 +251,61 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Sizes and digests of responses are those of the bytes read. Archives without records give an
     empty table. Only the places of a file's candidates, not their contents, come together in a task.
     """
-    def chain(group: pa.Table) -> pa.Table:
-        block, span = group["block"].to_numpy(), group["span"].to_numpy(zero_copy_only=False)
-        ends = ~np.isnan(span.astype(float))
-        order = np.argsort(block[ends])
-        bases = dict(zip(block[ends][order].tolist(), np.concatenate([[0], np.cumsum(span[ends][order])[:-1]]).astype(int).tolist(), strict=True))
-        own = group.filter(pa.array(~ends))
-        base = np.array([bases[b] for b in own["block"].to_pylist()], np.int64)
-        place, successor = own["place"].to_numpy() + base, own["successor"].to_numpy() + base
-        order = np.argsort(place, kind="stable")
-        kept = order[reachable(place[order], successor[order])] if len(order) else order
-        own = own.set_column(own.column_names.index("place"), "place", pa.array(place)).set_column(own.column_names.index("successor"), "successor", pa.array(successor))
-        return own.take(pa.array(kept)).select(["file", "place", "successor", *[x.split()[0] for x in RECORD_SCHEMA.split(", ")], "declared"])
-
-    kept = stored(candidates(spark, path).groupBy("file").applyInArrow(chain, f"file string, place long, successor long, {RECORD_SCHEMA}, declared string"), "records")
-    cut = kept.filter("payload_digest is null")
+    schema = f"file string, place long, successor long, {RECORD_SCHEMA}, declared string, covers array<struct<block: long, base: long>>"
+    kept = stored(candidates(spark, path).groupBy("file").applyInArrow(chain, schema), "records")
     whole = kept.filter("payload_digest is not null")
-    # At most one true record crosses the end of a split, so these are fewer than the splits.
-    if crossing := cut.select("file", "place", "successor").collect():
-        whole = whole.unionByName(cut.drop("payload_bytes", "payload_digest").join(_reread(spark, crossing), ["file", "place"]), allowMissingColumns=True)
-    names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
-    return whole.select(*names, (F.col("payload_digest") == F.col("declared")).alias("intact"))
+    cut = kept.filter("payload_digest is null")
+    if cut.limit(1).count():
+        more = cut.drop("payload_bytes", "payload_digest").join(reassembled(spark, path, cut), ["file", "place"])
+        whole = whole.unionByName(more)
+    return whole.select(*_RECORD, (F.col("payload_digest") == F.col("declared")).alias("intact"))
+
 
+PART_SCHEMA = "file string, place long, at long, data binary"
 
-def _reread(spark: SparkSession, spans: list) -> DataFrame:
-    """Payload size and digest of records that cross splits, each read as a whole from its file."""
-    files = sorted({r["file"] for r in spans})
-    wanted = {f: [(r["place"], r["successor"]) for r in spans if r["file"] == f] for f in files}
-    whole = spark.read.format("binaryFile").load(files).select("path", "content")
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def reassembled(spark: SparkSession, path: str, cut: DataFrame, most: int | None = None) -> DataFrame:
+    """file, place, payload_bytes and payload_digest of records that lie in several splits.
+
+    Each split's pieces meet the records that lie in it, of which there is mostly one that begins before
+    it and one that ends after it; the parts of a record come together in a task. Up to ``most`` rows of
+    records and splits are broadcast; beyond, pieces are dealt by split.
+    """
+    most = BROADCAST_ROWS if most is None else most
+    wanted = cut.select("file", "place", "successor", F.explode("covers").alias("c")).select("file", F.col("c.block").alias("block"), F.col("c.base").alias("base"), "place", "successor")
+    wanted = stored(wanted.groupBy("file", "block", "base").agg(F.sort_array(F.collect_list(F.struct("place", "successor"))).alias("spans")), "spans")
+    few = wanted.count() <= most
+    numbered = pieces(spark, path).withColumn("number", F.monotonically_increasing_id())
+    found = numbered.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), ["file", "block"])
+    if not few:  # in order again within each split
+        found = found.repartition("file", "block").sortWithinPartitions("file", "block", "number")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, at = None, 0
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = content.as_buffer()
-                for file, own in wanted.items():
-                    if file.split(":", 1)[-1].lstrip("/") == path.split(":", 1)[-1].lstrip("/"):
-                        out = []
-                        for place, successor in own:
-                            text = data[place + len(VERSION) : successor - len(END)].to_pybytes()
-                            payload = payload_of(text[parse_header(text)[1] :])
-                            out.append((file, place, len(payload), digest_of(payload)))
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["file", "place", "payload_bytes", "payload_digest"])
-
-    return whole.mapInArrow(digest, "file string, place long, payload_bytes long, payload_digest string")
+            rows: list[tuple] = []
+            for file, block, value, base, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, block) != split:
+                    split, at = (file, block), 0
+                begin = base + at
+                data = VERSION + value if begin else value
+                low = begin - len(VERSION) if begin else begin
+                for span in spans:
+                    first, last = max(low, span["place"] + len(VERSION)), min(low + len(data), span["successor"] - len(END))
+                    if first < last:
+                        rows.append((file, span["place"], first, data[first - low : last - low]))
+                at += len(value) + len(VERSION)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["file", "place", "at", "data"])
+
+    def digest(group: pa.Table) -> pa.Table:
+        order = np.argsort(group["at"].to_numpy(), kind="stable")
+        text = b"".join(group["data"].take(pa.array(order)).to_pylist())
+        payload = payload_of(text[parse_header(text)[1] :])
+        return pa.table({"file": group["file"][:1], "place": group["place"][:1], "payload_bytes": [len(payload)], "payload_digest": [digest_of(payload)]})
+
+    parted = found.select("file", "block", "value", "base", "spans").mapInArrow(parts, PART_SCHEMA)
+    return parted.groupBy("file", "place").applyInArrow(digest, "file string, place long, payload_bytes long, payload_digest string")
 
 
 def op7_warc(pages: DataFrame) -> DataFrame:
