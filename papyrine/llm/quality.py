@@ -1,16 +1,16 @@
-"""Quality classification by an interpolated modified Kneser-Ney model of character n-grams.
+"""Quality classification by an interpolated modified Kneser-Ney model of byte n-grams.
 
-Method: n-grams (n = 5) of trusted texts are counted, smoothed by modified Kneser-Ney with three
-discounts an order, and give each document a perplexity; thresholds are quantiles of the perplexities
-of held-out trusted documents, language by language: a second model learns from the other trusted
-documents only, so that no threshold comes from texts its model has seen.
+Method: n-grams (n = 5) of the bytes of trusted texts (UTF-8, lower case, all digits as one, white space as
+single blanks) are counted, so that every script is told apart exactly in one alphabet of 256. They are smoothed by modified Kneser-Ney with three discounts an order, and give each document a perplexity;
+thresholds are quantiles of the perplexities of trusted documents, language by language, shifted by what
+held-out ones score above those that a model has seen: a second model learns without them.
 
 The model is one table of weights, so that a text's log-probability is the sum of the weights of its
 n-grams of all orders: an n-gram seen in training adds log p - log backoff - log p(shorter), and one
 that is a context adds the log backoff weight of what follows it. Weights of the ``HEAD`` commonest
 5-grams, summed over their suffixes, are broadcast: a table of fixed size. All other 5-grams of a
 document are joined with the counts by shuffling, dealt by n-gram, and summed by document. Both ways
-give the same numbers; the head only saves shuffling.
+give the same numbers; the head only saves shuffling. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -24,23 +24,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm._shared import small_batches, stored, table
-from papyrine.llm._text import MIX_A, U64, code_points, slices
+from papyrine.llm._shared import Scratch, small_batches, stored, table
+from papyrine.llm._text import MIX_A, U64, slices
 
 ORDER = 5
-#: Bits of a symbol; symbols are lower-case characters, rare scripts folded, digits as one.
-BITS = 12
+#: Bits of a symbol: a byte of the text; 0 stands before a text, the last (in no UTF-8 text) after it.
+BITS = 8
 ALPHABET = 1 << BITS
 #: 5-grams whose weights are broadcast (16 bytes each): a fixed number.
 HEAD = 1 << 19
-#: Quantile of the held-out trusted perplexities of a language, and what it is multiplied by; chosen on
-#: the labelled rows of sf0.1 (README).
+#: Quantile of the trusted perplexities of a language, and what it is multiplied by; chosen on the
+#: labelled rows of sf0.1 (README).
 QUANTILE, SLACK = 0.97, 1.0
 #: One of so many trusted texts is held out.
 FOLDS = 4
-#: Languages with fewer held-out documents take the threshold of all; with fewer in all languages
-#: together, the trusted documents' own perplexities are taken.
-FEWEST = 50
+#: Held-out documents that a language's shift is weighed against the shift of all languages with, and that
+#: of all against none: the fewer a language has, the less its own count.
+PRIOR = 50
 #: Symbols of median perplexity that a text is judged with besides its own, so that a few symbols do not condemn it.
 SHRINK = 40
 #: Trusted ids up to this number are broadcast (8 bytes each); more are joined by shuffling.
@@ -48,35 +48,29 @@ BROADCAST_IDS = 2_000_000
 BATCH_CHARS = 1 << 20
 #: Distinct n-grams that a worker holds before it passes its counts on.
 HOLD = 2_000_000
-END = "￿"
 
 
 @functools.cache
 def symbol_table() -> np.ndarray:
-    """Symbol of each code point: 0 only for the boundary, the last for the end of a text."""
-    cps = np.arange(0x110000)
-    out = np.where(cps < 0xE00, cps, 0xE00 + cps % 510).astype(np.uint64)
-    digits = np.fromiter((chr(i).isdigit() for i in range(0x110000)), bool, 0x110000)
-    out[digits] = ord("0")
-    out[ord(END)] = ALPHABET - 1
+    """Symbol of each byte: itself, but for digits, which are one."""
+    out = np.arange(256, dtype=U64)
+    out[ord("0") : ord("9") + 1] = ord("0")
     return out
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """5-gram of each place of the texts from the last boundary symbol to the end symbol, the text
     number of each, and whether it predicts (the first of each text is context only)."""
-    pad = "\0" * (ORDER - 1)
-    clean = [pad + " ".join(t.lower().replace("\0", " ").replace(END, " ").split()) + END for t in texts]
-    cps, begins = code_points(clean)
-    symbols = symbol_table()[cps]
+    pad, end = b"\0" * (ORDER - 1), bytes([ALPHABET - 1])
+    clean = [pad + " ".join(t.lower().replace("\0", " ").split()).encode("utf-8", "surrogatepass") + end for t in texts]
+    symbols = symbol_table()[np.frombuffer(b"".join(clean), np.uint8)]
     codes = symbols.copy()
     for k in range(1, ORDER):
         codes[k:] |= symbols[:-k] << U64(BITS * k)
-    lengths = np.diff(begins)
+    lengths = np.array([len(c) for c in clean], np.int64)
     owner = np.repeat(np.arange(len(texts)), lengths)
-    place = np.arange(len(cps)) - np.repeat(begins[:-1], lengths)
-    # A boundary symbol between texts stands at the end of each; places of a text come before it.
-    use = (place >= ORDER - 2) & (place < np.repeat(lengths, lengths) - 1)
+    place = np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    use = place >= ORDER - 2
     codes = codes & U64((1 << BITS * ORDER) - 1)
     first = place[use] == ORDER - 2
     codes = codes[use]
@@ -131,8 +125,9 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.1), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3 if n3 else 1.5)))
 
 
-def model_weights(grams5: DataFrame) -> tuple[dict[int, DataFrame], float]:
+def model_weights(grams5: DataFrame, scratch: Scratch) -> tuple[dict[int, DataFrame], float]:
     """(g, w) for each order 1 to 5, from the counts of 5-grams, and what every symbol has besides."""
+    stored = scratch.stored
     counts = {ORDER: grams5}
     for m in range(ORDER - 1, 0, -1):
         # An n-gram's count below the highest order is the number of different symbols before it.
@@ -180,6 +175,20 @@ def gram_scores(distinct: DataFrame, weights: dict[int, DataFrame]) -> DataFrame
     return total
 
 
+def commonest(grams5: DataFrame, most: int) -> DataFrame:
+    """(g) of the n-grams of largest counts, ``most`` at most: those from some count on. The count is found
+    in a small histogram, in which counts beyond 4095 are told apart by their first twelve bits."""
+    low = F.greatest(F.floor(F.log2("c")).cast("int") - 11, F.lit(0))
+    rounded = F.floor(F.col("c") / F.pow(F.lit(2.0), low)).cast("long") * F.pow(F.lit(2.0), low).cast("long")
+    sizes = sorted(((r["at"], r["n"]) for r in grams5.groupBy(rounded.alias("at")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, total = None, 0
+    for at, n in sizes:
+        if total + n > most:
+            break
+        least, total = at, total + n
+    return grams5.filter(F.lit(False) if least is None else rounded >= least).select("g")
+
+
 class HeadTable:
     """Scores of the head by hashing with two places a key; keys that find neither free are left to
     the join."""
@@ -214,13 +223,15 @@ class HeadTable:
         return np.where(hit, self.scores[at], 0.0), hit
 
 
-def score(docs: DataFrame, grams5: DataFrame, *, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, grams5: DataFrame, *, head: int = HEAD, scratch: Scratch | None = None) -> DataFrame:
     """All columns of ``docs`` plus n_symbols, log_prob and perplexity (per symbol, the end of the text
-    counted). Null text counts as empty. Columns already so named are replaced."""
+    counted). Null text counts as empty. Columns already so named are replaced. What is computed on the
+    way is kept in ``scratch``, and is needed until the result has been."""
     spark = docs.sparkSession
-    weights, each = model_weights(grams5)
-    weights = {m: stored(w, f"weights{m}") if m < ORDER else w for m, w in weights.items()}
-    top = gram_scores(grams5.orderBy(F.desc("c"), "g").limit(head).select("g"), weights).toArrow()
+    scratch = scratch or Scratch(spark)
+    weights, each = model_weights(grams5, scratch)
+    weights = {m: scratch.stored(w, f"weights{m}") if m < ORDER else w for m, w in weights.items()}
+    top = gram_scores(commonest(grams5, head), weights).toArrow()
     known = spark.sparkContext.broadcast((top["g"].to_numpy(), top["score"].to_numpy()))
     docs = docs.drop("n_symbols", "log_prob", "perplexity")
     names = docs.columns
@@ -249,7 +260,7 @@ def score(docs: DataFrame, grams5: DataFrame, *, head: int = HEAD) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*(names[i] for i in keep), "n_symbols", "_head", "_rest", "_times"])
 
     rows = docs.mapInArrow(scored, f"{fields}{', ' if fields else ''}n_symbols long, _head double, _rest array<long>, _times array<int>").withColumn("_row", F.monotonically_increasing_id())
-    rows = stored(rows, "scored")
+    rows = scratch.stored(rows, "scored")
     rest = rows.select("_row", F.explode(F.arrays_zip(F.col("_rest").alias("g"), F.col("_times").alias("n"))).alias("x")).select("_row", "x.g", "x.n")
     scores = gram_scores(rest.select("g").distinct(), weights)
     sums = rest.join(scores, "g").groupBy("_row").agg(F.sum(F.col("n") * F.col("score")).alias("_tail"))
@@ -270,33 +281,55 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE,
 
     The model learns from every document whose id ``labels`` trusts. ``judged`` is the perplexity with
     some symbols of median perplexity added; a document is kept if it is at most its language's
-    threshold. Thresholds come from the trusted texts held out (told by their hashes, so copies go
-    together), scored by a model of the other trusted texts. Null languages form one language. With no
-    trusted document every document is kept (threshold null). Repeated rows are scored each for itself.
+    threshold. A threshold is the quantile of the language's trusted texts, raised by what held-out ones
+    (told by their hashes, so copies go together) score above it in a model of the others; the fewer of
+    them a language has, the more the rise is that of all languages, and of a language without trusted
+    texts the threshold is that of all. Null languages form one language. With no trusted document every
+    document is kept (threshold null). Null text counts as empty. A null doc_id is never trusted. Repeated
+    rows are scored each for itself. An empty table gives an empty one. Columns besides these and those in
+    ``carry`` are not read, so their names cannot clash.
     """
-    small_batches(docs.sparkSession)
-    trusted = stored(trusted_ids(labels), "trusted")
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark)
+    trusted = scratch.stored(trusted_ids(labels), "trusted")
     few = trusted.count() <= BROADCAST_IDS
     ids = F.broadcast(trusted) if few else trusted
     docs = docs.select("doc_id", "lang", "text", *carry)
     known = docs.join(ids, "doc_id", "left_semi").select("lang", "text")
     held = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)) == 0
-    learnt = stored(count_grams(known.filter(~held)), "learnt5")
-    grams5 = stored(learnt.unionByName(count_grams(known.filter(held))).groupBy("g").agg(F.sum("c").alias("c")), "grams5")
-    rows = stored(score(docs, grams5, head=head), "perplexity")
-    sample = stored(score(known.filter(held), learnt, head=head), "held_out")
-    if sample.count() < FEWEST:
-        sample = rows.join(ids, "doc_id", "left_semi")
+    learnt = scratch.stored(count_grams(known.filter(~held)), "learnt5")
+    grams5 = learnt.unionByName(count_grams(known.filter(held))).groupBy("g").agg(F.sum("c").alias("c"))
+    grams5 = scratch.stored(grams5, "grams5")
+    rows = stored(score(docs, grams5, head=head, scratch=scratch), "perplexity")
+    unseen = scratch.stored(score(known.filter(held), learnt, head=head, scratch=scratch), "held_out")
+    seen = rows.join(ids, "doc_id", "left_semi")
     # Judged by perplexity drawn towards the median: a short text's own says little.
-    half = sample.agg(F.percentile_approx("perplexity", 0.5, 10_000).alias("m")).first()["m"]
-    drawn = F.exp((-F.col("log_prob") + SHRINK * F.log(F.lit(half).cast("double"))) / (F.col("n_symbols") + SHRINK))
-    judged, sample = rows.withColumn("judged", drawn), sample.withColumn("judged", drawn)
-    level = F.percentile_approx("judged", quantile, 10_000)
-    by_lang = stored(sample.groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(level.alias("own"), F.count("*").alias("n")).filter(F.col("n") >= FEWEST).select("_lang", "own"), "levels")
-    overall = sample.agg(level.alias("all")).first()["all"]
-    threshold = F.coalesce("own", F.lit(overall).cast("double")) * slack
-    out = judged.withColumn("_lang", F.coalesce("lang", F.lit(""))).join(F.broadcast(by_lang) if by_lang.count() < 10_000 else by_lang, "_lang", "left").withColumn("threshold", threshold)
-    return out.select("doc_id", "lang", "n_symbols", "log_prob", "perplexity", "judged", "threshold", F.coalesce(F.col("judged") <= F.col("threshold"), F.col("threshold").isNull()).alias("keep"), *carry)
+    half = seen.agg(F.percentile_approx("perplexity", 0.5, 10_000).alias("m")).first()["m"]
+    judged = (-F.col("log_prob") + SHRINK * F.log(F.lit(half).cast("double"))) / (F.col("n_symbols") + SHRINK)
+    levels, overall = thresholds(seen.withColumn("judged", judged), unseen.withColumn("judged", judged), quantile)
+    levels = stored(levels, "levels")
+    threshold = F.exp(F.coalesce("level", F.lit(overall).cast("double"))) * slack
+    few = levels.count() < 10_000
+    out = rows.withColumn("judged", F.exp(judged)).withColumn("_lang", F.coalesce("lang", F.lit("")))
+    out = out.join(F.broadcast(levels) if few else levels, "_lang", "left").withColumn("threshold", threshold)
+    keep = F.coalesce(F.col("judged") <= F.col("threshold"), F.col("threshold").isNull())
+    scratch.drop()
+    return out.select("doc_id", "lang", "n_symbols", "log_prob", "perplexity", "judged", "threshold", keep.alias("keep"), *carry)
+
+
+def thresholds(seen: DataFrame, unseen: DataFrame, quantile: float) -> tuple[DataFrame, float | None]:
+    """(_lang, level) of each language of the trusted texts, and the level of all (None without any), as
+    logarithms: the quantile of ``judged`` in ``seen`` plus the shift of ``unseen``, never downwards."""
+    lang, level = F.coalesce("lang", F.lit("")).alias("_lang"), F.percentile_approx("judged", quantile, 10_000)
+    seen_all, unseen_all = seen.agg(level.alias("q")).first()["q"], unseen.agg(level.alias("q"), F.count("*").alias("n")).first()
+    if seen_all is None:
+        return seen.select(lang, F.col("judged").alias("level")).limit(0), None
+    n = unseen_all["n"]
+    shift = max(0.0, n * (unseen_all["q"] - seen_all) / (n + PRIOR)) if n else 0.0
+    own = seen.groupBy(lang).agg(level.alias("q")).join(unseen.groupBy(lang).agg(level.alias("out"), F.count("*").alias("n")), "_lang", "left")
+    moved = (F.coalesce(F.col("n") * (F.col("out") - F.col("q")), F.lit(0.0)) + PRIOR * shift) / (F.coalesce("n", F.lit(0)) + PRIOR)
+    return own.select("_lang", (F.col("q") + F.greatest(moved, F.lit(0.0))).alias("level")), seen_all + shift
 
 
 def op6_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -210,3 +210,39 @@ def test_pipeline(spark):
     assert kept.filter("doc_id >= 90001 or doc_id is null").count() == 0
     last = corpus_pipeline.STAGES[4][1](spark, kept, SMALL)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(last.columns)
+
+
+def test_quality_of_other_scripts(spark):
+    """Scripts are told apart exactly: a text of unseen letters scores worse than one of seen ones."""
+    rows = [(i, "漢字仮名交" * 6 + " ", "ja") for i in range(4)] + [(10, "漢字仮名交" * 6, "ja"), (11, "".join(chr(ord(c) + 510) for c in "漢字仮名交" * 4), "ja"), (12, "Δοκιμή " * 5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("log_prob", F.lit("clash"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(4)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
+    assert got[10]["perplexity"] * 2 < got[11]["perplexity"] and got[10]["keep"] and not got[11]["keep"]
+    assert got[12]["threshold"] is not None
+
+
+def test_thresholds_follow_one_rule(spark):
+    seen = spark.createDataFrame([("a", float(i)) for i in range(100)] + [("b", 5.0)], "lang string, judged double")
+    unseen = spark.createDataFrame([("a", 109.0)] * 50, "lang string, judged double")
+    levels, overall = quality.thresholds(seen, unseen, 1.0)
+    assert overall == pytest.approx(99 + 5) and {r["_lang"]: r["level"] for r in levels.collect()} == {"a": pytest.approx(99 + (50 * 10 + 50 * 5) / 100), "b": pytest.approx(5 + 5)}
+    levels, overall = quality.thresholds(seen, unseen.limit(0), 1.0)
+    assert overall == 99 and {r["_lang"]: r["level"] for r in levels.collect()} == {"a": 99, "b": 5}
+    assert quality.thresholds(seen.limit(0), unseen, 1.0)[1] is None
+
+
+def test_commonest(spark):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate([1, 1, 1, 7, 7, 5000, 10**9, 10**9 + 1])], "g long, c long")
+    for most, want in ((0, set()), (1, set()), (2, {6, 7}), (3, {5, 6, 7}), (4, {5, 6, 7}), (5, {3, 4, 5, 6, 7}), (7, {3, 4, 5, 6, 7}), (8, set(range(8)))):
+        assert {r["g"] for r in quality.commonest(df, most).collect()} == want
+
+
+def test_quality_edges(spark):
+    good = "some words of a good text "
+    rows = [(1, good, "en"), (1, good, "en"), (None, good, "en"), (2, good * 20_000, "en"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, 1, None), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == 5 and len({r["log_prob"] for r in got if r["doc_id"] in (None, 1)}) == 1
+    assert [r["n_symbols"] for r in got if r["doc_id"] == 3] == [1]
