@@ -227,7 +227,7 @@ def join(docs: DataFrame, *, block: int = BLOCK, texts: bool = False) -> DataFra
     total, weight = members.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     shares = max(1, -(-total // block), -(-weight // BLOCK_SHINGLES))
     shingled = contents(docs, members, total <= BROADCAST_ROWS)
-    large = members.filter(blocks_of(F.col("size"), F.col("weight"), block) > 1).select("component", "key")
+    large = members.filter(blocks_of(F.col("size"), F.col("weight"), block) > 1).select("key", "component", "size", "n_shingles")
     some_large = large.limit(1).count()
     if some_large:
         shingled = scratch.stored(shingled, "shingles")
@@ -304,21 +304,25 @@ def small_units(shingled: DataFrame, shares: int, block: int) -> DataFrame:
 
 
 def large_units(shingled: DataFrame, banded: DataFrame, large: DataFrame, scratch: Scratch, block: int) -> DataFrame:
-    """Rows of larger parts: by shared bands, or the whole part where that takes no more comparisons."""
-    numbered = banded.join(large, "key").select("key", "component", "bands", F.posexplode("bands").alias("number", "band"))
-    weights = shingled.groupBy("key").agg(F.max(F.octet_length("content")).alias("bytes"))
-    size = (F.count("*").alias("n"), (F.sum("bytes") / 8).cast("long").alias("weight"))
-    groups = numbered.select("key", "component", "band").join(weights, "key").groupBy("component", "band").agg(*size).filter("n > 1")
+    """Rows of larger parts (key, component, size, n_shingles): by shared bands, or the whole part where
+    that takes no more comparisons."""
+    large = scratch.stored(large, "large")
+    numbered = banded.join(large, "key").select("key", "component", "n_shingles", "bands", F.posexplode("bands").alias("number", "band"))
+    groups = numbered.groupBy("component", "band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).filter("n > 1")
     groups = scratch.stored(groups, "groups")
     # Comparisons band by band, each of which may repeat those of others, against all pairs of the part.
     cost = groups.groupBy("component").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("by_bands"))
-    parts = shingled.select("component", "size").distinct().join(cost, "component").select("component", (F.col("by_bands") < F.col("size").cast("double") * F.col("size")).alias("banded"))
-    parts = scratch.stored(parts, "modes")
+    size = F.col("size").cast("double")
+    modes = scratch.stored(large.select("component", "size").distinct().join(cost, "component").select("component", (F.col("by_bands") < size * size).alias("banded")), "modes")
+    # A row for each large part: far fewer than rows, but their number is checked all the same.
+    if modes.count() <= BROADCAST_ROWS:
+        modes = F.broadcast(modes)
     none = F.array().cast("array<long>")
-    whole = shingled.join(parts.filter("not banded"), "component").select("key", "copies", "content", F.col("component").alias("group"), blocks_of(F.col("size"), F.col("weight"), block).alias("blocks"), none.alias("earlier"))
-    held = groups.join(parts.filter("banded"), "component").select("band", blocks_of(F.col("n"), F.col("weight"), block).alias("blocks"))
-    rows = numbered.select("key", "band", F.slice("bands", F.lit(1), F.col("number")).alias("earlier")).join(held, "band")
-    by_band = rows.join(shingled.select("key", "copies", "content"), "key").select("key", "copies", "content", F.col("band").alias("group"), "blocks", "earlier")
+    whole = shingled.join(modes.filter("not banded"), "component").select("key", "copies", "content", F.col("component").alias("group"), blocks_of(F.col("size"), F.col("weight"), block).alias("blocks"), none.alias("earlier"))
+    held = groups.join(modes.filter("banded"), "component").select("component", "band", blocks_of(F.col("n"), F.col("weight"), block).alias("blocks"))
+    rows = numbered.select("key", "component", "band", F.slice("bands", F.lit(1), F.col("number")).alias("earlier")).join(held, ["component", "band"])
+    content = shingled.join(modes.filter("banded"), "component").select("key", "copies", "content")
+    by_band = rows.join(content, "key").select("key", "copies", "content", F.col("band").alias("group"), "blocks", "earlier")
     both = whole.unionByName(by_band).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     both = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     a, b = F.least("own", "other"), F.greatest("own", "other")
