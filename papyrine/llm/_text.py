@@ -25,10 +25,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """PRIME ** i and PRIME ** -i modulo 2 ** 64 for i < n, kept for the next call."""
     if len(_POWERS.get("up", ())) < n:
-        n = max(n, 1 << 20)
         inverse = U64(pow(int(PRIME), -1, 1 << 64))
         for name, base in (("up", PRIME), ("down", inverse)):
-            steps = np.full(n, base, U64)
+            steps = np.full(max(n, 1 << 20), base, U64)
             steps[0] = 1
             _POWERS[name] = np.multiply.accumulate(steps)
     return _POWERS["up"][:n], _POWERS["down"][:n]

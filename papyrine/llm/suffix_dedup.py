@@ -7,24 +7,26 @@ Method. Suffixes are taken at sampled places only: of all ``GRAM``-byte strings
 ``width`` bytes the one of smallest hash (rightmost on ties) marks the passage's suffix, so two equal
 passages have their suffixes at the same place in them and no match is lost. Then
 
-1. blocks of documents give the distinct hashes of their marked strings, and those met in two blocks
-   or twice in one go back to their blocks (all others cannot repeat);
-2. each block gives the suffixes at these places, once for each different surrounding, with as many
-   bytes before as its passages need;
-3. suffixes are range-partitioned by their leading bytes at sampled splitters; a bucket is sorted by
-   multikey quicksort, neighbours are compared, and within each run of suffixes that share a marked
-   string the passages that an earlier suffix has too are found. All suffixes with the same leading
-   bytes lie in one bucket, so no run crosses a boundary between buckets;
-4. the passages go back to their blocks, where copies inside the block are added and bytes removed.
-
-A block sends one suffix for each surrounding however many copies it holds, so what a hot passage
-sends grows with the number of blocks, not of copies. Blocks hold a bounded share of the documents.
-Equality of passages is that of 64-bit hashes of their bytes.
+1. every marked suffix is range-partitioned by its leading ``GRAM`` bytes, and by its block of documents
+   after them, at sampled splitters. Each bucket is sorted by multikey quicksort and neighbours are
+   compared: suffixes whose leading bytes equal a neighbour's may repeat. Equal leads that splitters have
+   parted lie at the ends of their buckets, so only the ends are compared across boundaries;
+2. each block sends the suffixes that may repeat once more, once for each different surrounding, with the
+   bytes that their passages cover. They are partitioned and sorted in the same way, and within each run
+   of equal leads a passage repeats if an earlier suffix of the run has it too. Runs at the ends of a
+   bucket also hand on the first place of each of their passages, and these are compared across buckets;
+3. the repeats go back to their blocks, where copies inside the block are added and bytes removed.
+
+A block sends one suffix for each surrounding however many copies it holds, and a lead that many blocks
+have is spread over as many buckets as its rows need, so no list or bucket grows with a hot passage.
+Blocks and buckets hold a bounded share of bytes and rows. Of a marked string and of a passage, 64-bit
+hashes of the bytes are compared. Documents are read whole; a document's block must fit into a worker.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,17 +35,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm._shared import shuffle_parts, small_batches, stored
-from papyrine.llm._text import U64, byte_values, mix, powers, slices
+from papyrine.llm._shared import Scratch, shuffle_parts, small_batches
+from papyrine.llm._text import PRIME, U64, byte_values, mix, powers, slices
 
 WIDTH = 100
 #: Bytes of a marked string; the smaller, the fewer suffixes and the more chance repeats.
 GRAM = 40
-#: Leading bytes that decide a suffix's bucket; at most GRAM.
-LEAD = 24
-#: Documents of a block, on average.
-BLOCK_ROWS = 1500
+#: Documents and bytes of a block, on average.
+BLOCK_ROWS, BLOCK_BYTES = 1500, 4 << 20
 BATCH_BYTES = 1 << 21
+#: Suffixes of a bucket, and samples that its splitters are taken from, on average.
+BUCKET_ROWS, SAMPLES = 250_000, 64
+#: Bytes of text that give one marked suffix, about.
+SPACING = 23
 
 
 class Marks:
@@ -100,14 +104,6 @@ def sliding_max(keys: np.ndarray, window: int) -> np.ndarray:
     return np.maximum(behind[: n - window + 1], ahead[window - 1 : n])
 
 
-def in_order(block: pa.Table) -> tuple[pa.Table, list[bytes]]:
-    """A block's documents by doc_id (null first), then text; and their bytes."""
-    texts = [t.encode("utf-8", "surrogatepass") if t is not None else b"" for t in block["text"].to_pylist()]
-    ids = block["doc_id"].to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
-    return block.take(pa.array(order, pa.int64())), [texts[i] for i in order]
-
-
 def multikey_sort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of equally long byte strings (rows of big-endian words), and how many leading words each
     shares with the one before. Sorts by the first word, then each run of ties by the next."""
@@ -129,214 +125,353 @@ def multikey_sort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-def passages(batch: pa.Table, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of suffixes and the offsets in their range of passages that an earlier suffix has too.
+def runs(rows: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of consecutive offsets of each row."""
+    if not len(rows):
+        return rows, offsets, offsets
+    order = np.lexsort((offsets, rows))
+    rows, offsets = rows[order], offsets[order]
+    new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (offsets[1:] != offsets[:-1] + 1)]))
+    last = np.concatenate([new[1:], [len(rows)]]) - 1
+    return rows[new], offsets[new], offsets[last]
+
+
+def in_order(block: pa.Table) -> tuple[pa.Table, list[bytes]]:
+    """A block's documents by doc_id (null first), then hash of the text; and their bytes."""
+    texts = [t.encode("utf-8", "surrogatepass") if t is not None else b"" for t in block["text"].to_pylist()]
+    ids = block["doc_id"]
+    order = np.lexsort((block["_hash"].to_numpy(), ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy()))
+    return block.take(pa.array(order, pa.int64())), [texts[i] for i in order.tolist()]
+
+
+class Seen:
+    """Keys met so far."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros(0, U64)
+
+    def first(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the keys are met for the first time; they are remembered."""
+        own, at = np.unique(keys, return_index=True)
+        fresh = ~np.isin(own, self.keys, assume_unique=True)
+        out = np.zeros(len(keys), bool)
+        out[at[fresh]] = True
+        self.keys = np.concatenate([self.keys, own[fresh]])
+        return out
+
+
+def binary_of(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Pieces of ``data`` as an array of binaries."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    place = np.arange(offsets[-1]) + np.repeat(begins - offsets[:-1], lengths)
+    return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[place])])
+
+
+def bytes_of(column: pa.ChunkedArray | pa.Array, length: int) -> np.ndarray:
+    """Rows of bytes of a column of equally long binaries."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    at = np.frombuffer(whole.buffers()[1], np.int32, len(whole) + 1, 4 * whole.offset)
+    return np.frombuffer(whole.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].reshape(len(whole), length)
+
+
+def words_of(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as big-endian words of eight, filled up with zeros, in byte order."""
+    width = -(-rows.shape[1] // 8) * 8
+    padded = np.zeros((len(rows), width), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    return padded.view(">u8").astype(U64)
+
+
+def hash_of(rows: np.ndarray) -> np.ndarray:
+    """The hash that Marks gives strings of these bytes."""
+    return mix((byte_values()[rows] * powers(rows.shape[1])[0]).sum(1, dtype=U64))
+
+
+def spread(leads: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """What suffixes are dealt by: leading bytes, then a scrambling of the block, as byte strings."""
+    after = mix((blocks.astype(np.int64).view(U64) + U64(1)) * PRIME).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(np.concatenate([leads, after], axis=1)).view(f"S{leads.shape[1] + 8}").ravel()
+
+
+def splitters(sample: pa.Table, gram: int, buckets: int) -> np.ndarray:
+    """Up to ``buckets`` - 1 keys that part the sample's weights evenly."""
+    if not len(sample):
+        return np.zeros(0, f"S{gram + 8}")
+    keys, weights = spread(bytes_of(sample["lead"], gram), sample["block"].to_numpy()), sample["weight"].to_numpy()
+    order = np.argsort(keys, kind="stable")
+    upto = np.cumsum(weights[order])
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, buckets) / buckets)
+    return np.unique(keys[order][np.minimum(at, len(order) - 1)])
+
+
+def bucket_of(cuts: np.ndarray, leads: np.ndarray, blocks: np.ndarray) -> pa.Array:
+    return pa.array(np.searchsorted(cuts, spread(leads, blocks), "right").astype(np.int32))
+
+
+def leads_at(marks: Marks, place: np.ndarray) -> np.ndarray:
+    """The leading bytes of the suffixes at the given places."""
+    return marks.data[place[:, None] + np.arange(marks.gram)[None, :]]
+
+
+def binaries(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as an array of binaries."""
+    offsets = (np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+#: Kinds of the rows that a bucket of leads gives: a lead that repeats, one at an end of the bucket that
+#: does not repeat in it, and one at an end that does.
+REPEATS, OPEN, WITNESS = 0, 1, 2
+LEAD_SCHEMA = "block long, gram long, kind int, lead binary"
+
+
+def repeated_leads(bucket: pa.Table, gram: int) -> pa.Table:
+    """Sorts a bucket's suffixes and compares neighbours. One row for each suffix whose lead repeats (with
+    the lead for one in 64 of them), and one for the run at each end of the bucket."""
+    leads, block = bytes_of(bucket["lead"], gram), bucket["block"].to_numpy()
+    keys = words_of(leads)
+    order, shared = multikey_sort(keys)
+    run = np.cumsum(shared < keys.shape[1]) - 1
+    many = (np.bincount(run) > 1) | (np.bincount(run, bucket["many"].to_numpy(zero_copy_only=False)[order]) > 0)
+    rows = order[many[run]]
+    ends = order[np.unique([0, np.searchsorted(run, run[-1])])]
+    kind = np.where(many[[0, -1]][: len(ends)] if len(ends) > 1 else many[:1], WITNESS, OPEN)
+    both = np.concatenate([rows, ends])
+    grams = hash_of(leads[both])
+    shown = np.concatenate([mix(grams[: len(rows)] ^ mix(block[rows].view(U64))) % U64(64) == 0, np.ones(len(ends), bool)])
+    lead = pc.if_else(pa.array(shown), binaries(leads[both]), pa.scalar(None, pa.binary()))
+    kinds = np.concatenate([np.full(len(rows), REPEATS), kind]).astype(np.int32)
+    return pa.table({"block": block[both], "gram": grams.view(np.int64), "kind": kinds, "lead": lead})
+
 
-    ``context`` holds the bytes from the first passage's start; ``before`` how many of them come
-    before the suffix; ``windows`` how many passages it marks. Rows are told apart by (doc_id, start).
+SUFFIX_SCHEMA = "bucket int, block long, doc int, known boolean, doc_id long, hash long, start long, before int, windows int, context binary"
+#: Runs of repeated passages of a suffix, or (with ``passage``) the first place of a passage in a bucket.
+FOUND_SCHEMA = "block long, doc int, start long, first long, last long, passage long, known boolean, doc_id long, hash long, at long"
+
+
+def repeated_passages(bucket: pa.Table, width: int, gram: int) -> pa.Table:
+    """Sorts a bucket's suffixes, and within each run of equal leads finds the passages that an earlier
+    suffix has too.
+
+    ``context`` holds the bytes from the first passage's start; ``before`` how many of them come before the
+    suffix; ``windows`` how many passages it marks. Rows are told apart by (doc_id, hash, start).
     """
-    contexts = [c.as_buffer() for c in batch["context"].combine_chunks()]
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    begins = np.concatenate([[0], np.cumsum([len(c) for c in contexts])]).astype(np.int64)
-    before, windows = batch["before"].to_numpy().astype(np.int64), batch["windows"].to_numpy().astype(np.int64)
-    at = begins[:-1] + before
-    # Sort suffixes by their marked strings, as 8-byte words, and keep runs of two and more.
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    count = -(-gram // 8)
-    raw = padded[at[:, None] + np.minimum(np.arange(count * 8), gram - 1)[None, :]]
-    order, shared = multikey_sort(np.ascontiguousarray(raw).view(">u8").astype(np.uint64).reshape(len(at), count))
-    same = shared == count
-    run = np.cumsum(~same) - 1
-    many = np.bincount(run)[run] > 1
-    rows, run = order[many], run[many]
-    if not len(rows):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    before, windows = bucket["before"].to_numpy().astype(np.int64), bucket["windows"].to_numpy().astype(np.int64)
+    whole = bucket["context"].combine_chunks()
+    begins = np.frombuffer(whole.buffers()[1], np.int32, len(whole) + 1, 4 * whole.offset).astype(np.int64)[:-1]
+    data = np.frombuffer(whole.buffers()[2], np.uint8)
+    keys = words_of(data[(begins + before)[:, None] + np.arange(gram)[None, :]])
+    order, shared = multikey_sort(keys)
+    run = np.cumsum(shared < keys.shape[1]) - 1
+    edge = np.zeros(run[-1] + 1, bool)
+    edge[[0, -1]] = True
+    used = ((np.bincount(run) > 1) | edge)[run]
+    rows, edge = order[used], edge[run[used]]
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum(byte_values()[data] * up[: len(data)], out=sums[1:])
     n = windows[rows]
-    row = np.repeat(rows, n)
+    row, edge = np.repeat(rows, n), np.repeat(edge, n)
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     start = begins[row] + offset
-    # A passage is known by its bytes, its marked string and where that lies in it.
-    hashes = mix((sums[start + width] - sums[start]) * down[start]) ^ mix((before[row] - offset).astype(U64) + U64(1))
-    docs, firsts = batch["rank_id"].to_numpy(), batch["start"].to_numpy()
-    known = batch["has_id"].to_numpy(zero_copy_only=False).astype(np.int64)
-    order = np.lexsort((firsts[row] + offset, docs[row], known[row], hashes))
-    repeat = np.zeros(len(order), bool)
-    repeat[order[1:]] = hashes[order[1:]] == hashes[order[:-1]]
-    return row[repeat], offset[repeat]
+    # A passage is known by its bytes and where the marked string lies in it.
+    passage = mix((sums[start + width] - sums[start]) * down[start]) ^ mix((before[row] - offset).astype(U64) + U64(1))
+    place = bucket["start"].to_numpy()[row] + offset
+    doc_id, text = bucket["doc_id"].to_numpy()[row], bucket["hash"].to_numpy()[row]
+    known = bucket["known"].to_numpy(zero_copy_only=False)[row]
+    order = np.lexsort((place, text, doc_id, known, passage))
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = passage[order[1:]] == passage[order[:-1]]
+    found, first, last = runs(row[again], offset[again])
+    handed = np.flatnonzero(edge & ~again)
+    out = bucket.select(["block", "doc", "start"])
+    repeats = out.take(pa.array(found)).append_column("first", pa.array(first)).append_column("last", pa.array(last))
+    ends = out.take(pa.array(row[handed])).append_column("first", pa.array(offset[handed])).append_column("last", pa.array(offset[handed]))
+    more = {"passage": passage[handed].view(np.int64), "known": known[handed], "doc_id": doc_id[handed], "hash": text[handed], "at": place[handed]}
+    for name, values in more.items():
+        kind = pa.bool_() if name == "known" else pa.int64()
+        repeats = repeats.append_column(name, pa.nulls(len(repeats), kind))
+        ends = ends.append_column(name, pa.array(values, kind))
+    return pa.concat_tables([repeats, ends])
+
+
+def leads_of(docs: DataFrame, cuts: np.ndarray, width: int, gram: int) -> DataFrame:
+    """bucket, lead, block and many (whether it is there twice) of the marked suffixes of documents (_block,
+    text), once for each block that a run of texts holds. Nothing but these rows is shuffled."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks, texts = batch.column(0).to_numpy(), [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            for part in slices(map(len, texts), BATCH_BYTES):
+                marks = Marks(texts[part], width, gram)
+                if not len(marks.place):
+                    continue
+                block = blocks[part][marks.text]
+                order = np.lexsort((block, marks.grams))
+                key, own = marks.grams[order], block[order]
+                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])]))
+                times = np.diff(np.concatenate([new, [len(order)]]))
+                leads = leads_at(marks, marks.place[order[new]])
+                yield pa.RecordBatch.from_arrays([bucket_of(cuts, leads, own[new]), binaries(leads), pa.array(own[new]), pa.array(times > 1)], ["bucket", "lead", "block", "many"])
 
+    return docs.select("_block", "text").mapInArrow(marked, "bucket int, lead binary, block long, many boolean")
 
-def runs(rows: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of consecutive offsets of each row."""
-    if not len(rows):
-        return rows, offsets, offsets
-    order = np.lexsort((offsets, rows))
-    rows, offsets = rows[order], offsets[order]
-    new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (offsets[1:] != offsets[:-1] + 1)]))
-    last = np.concatenate([new[1:], [len(rows)]]) - 1
-    return rows[new], offsets[new], offsets[last]
+
+def sampled_leads(docs: DataFrame, share: float, width: int, gram: int) -> pa.Table:
+    """lead, block and weight of about SAMPLES suffixes of each document of a sample."""
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                marks = Marks([(text or "").encode("utf-8", "surrogatepass")], width, gram)
+                step = max(1, len(marks.place) // SAMPLES)
+                place = marks.place[::step]
+                yield pa.RecordBatch.from_arrays([binaries(leads_at(marks, place)), pa.array(np.full(len(place), block)), pa.array(np.full(len(place), float(step)))], ["lead", "block", "weight"])
+
+    sample = docs.select("_block", "text") if share >= 1 else docs.select("_block", "text").sample(share, 5)
+    return sample.mapInArrow(some, "lead binary, block long, weight double").toArrow()
+
+
+def suffixes_of(docs: DataFrame, wanted: DataFrame, cuts: np.ndarray, width: int, gram: int) -> DataFrame:
+    """The suffixes of each block at the marked strings wanted, once for each different surrounding."""
+    none = no_rows(SUFFIX_SCHEMA)
+
+    def suffixes(group: pa.Table, own: pa.Table) -> pa.Table:
+        tables = [none]
+        if len(group) and len(own):
+            group, texts = in_order(group)
+            known, ids, hashes = (group["doc_id"].is_valid().to_numpy(), group["doc_id"].fill_null(0).to_numpy(), group["_hash"].to_numpy())
+            block, repeated, seen = group["_block"][0].as_py(), np.sort(own["gram"].to_numpy().view(U64)), Seen()
+            for part in slices(map(len, texts), BATCH_BYTES):
+                marks = Marks(texts[part], width, gram)
+                use = np.flatnonzero(among(marks.grams, repeated))
+                use = use[seen.first(marks.surroundings()[use])]
+                doc = marks.text[use] + part.start
+                low, high, place = marks.low[use], marks.high[use], marks.place[use]
+                columns = [bucket_of(cuts, leads_at(marks, place), np.full(len(use), block)), np.full(len(use), block), doc.astype(np.int32), known[doc], ids[doc], hashes[doc]]
+                columns += [low - marks.begins[marks.text[use]], (place - low).astype(np.int32), (high - low + 1).astype(np.int32), binary_of(marks.data, low, high + width - low)]
+                tables.append(pa.table(columns, none.schema.names).cast(none.schema))
+        return pa.concat_tables(tables)
+
+    small = docs.select("_block", "doc_id", "_hash", "text")
+    return small.groupBy("_block").cogroup(wanted.groupBy("block")).applyInArrow(suffixes, SUFFIX_SCHEMA)
 
 
-SUFFIX_SCHEMA = "block long, doc int, lead binary, rank_id long, has_id boolean, start long, before int, windows int, context binary"
+def among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which keys are in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(keys), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)] == keys
 
 
-def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, block_rows: int = BLOCK_ROWS, text_out: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS, text_out: bool = False) -> DataFrame:
     """All columns of ``docs`` but text, plus n_bytes, n_removed, n_spans (maximal removed runs) and
     kept_sha256 (lowercase hex of the remaining bytes); with ``text_out`` also text, the remaining
     bytes without characters cut in two.
 
     Null text counts as empty, a null doc_id as smaller than any. Rows of the same doc_id count by
-    text and then as given (equal rows: all but one lose their repeats). Texts shorter than ``width``
-    bytes are left alone. One row out for each row in. Columns named like the results are replaced.
+    hash of the text and then as given (equal rows: all but one lose their repeats). Texts shorter than
+    ``width`` bytes are left alone. One row out for each row in; an empty table gives an empty one. Columns
+    named like the results, _block or _hash are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "block")
+    scratch = Scratch(spark)
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "_block", "_hash")
     names = docs.columns
-    total = docs.count()
-    blocks = max(1, -(-total // block_rows))
+    text = F.coalesce("text", F.lit(""))
+    count, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    blocks = max(1, -(-count // block_rows), -(-size // BLOCK_BYTES))
     parts = max(1, min(blocks, 2 * shuffle_parts(spark)))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(parts, "block")
-    small = dealt.select("block", "doc_id", "text")
-
-    def distinct_grams(group: pa.Table) -> pa.Table:
-        _, texts = in_order(group)
-        found, twice = [np.zeros(0, U64)], [np.zeros(0, U64)]
-        for part in slices(map(len, texts), BATCH_BYTES):
-            found.append(Marks(texts[part], width, gram).grams)
-        keys, times = np.unique(np.concatenate(found), return_counts=True)
-        return pa.table({"block": np.full(len(keys), group["block"][0].as_py()), "gram": keys.view(np.int64), "twice": times > 1})
-
-    grams = small.groupBy("block").applyInArrow(distinct_grams, "block long, gram long, twice boolean")
-    keep = grams.groupBy("gram").agg(F.collect_list("block").alias("blocks"), F.max("twice").alias("twice")).filter((F.size("blocks") > 1) | F.col("twice"))
-    wanted = stored(keep.select("gram", F.explode("blocks").alias("block")), "grams")
-
-    def suffixes(group: pa.Table, own: pa.Table) -> pa.Table:
-        columns: list[list] = [[] for _ in range(9)]
-        if len(group) and len(own):
-            group, texts = in_order(group)
-            ids = group["doc_id"].to_pylist()
-            block = group["block"][0].as_py()
-            repeated = np.sort(own["gram"].to_numpy().view(U64))
-            known: set[int] = set()
-            for part in slices(map(len, texts), BATCH_BYTES):
-                marks = Marks(texts[part], width, gram)
-                spot = np.minimum(np.searchsorted(repeated, marks.grams), len(repeated) - 1)
-                use = np.flatnonzero(repeated[spot] == marks.grams)
-                around = marks.surroundings()[use]
-                for i, key in zip(use.tolist(), around.tolist(), strict=True):
-                    if key in known:
-                        continue
-                    known.add(key)
-                    doc = int(marks.text[i])
-                    low, high, place = int(marks.low[i]), int(marks.high[i]), int(marks.place[i])
-                    doc_id = ids[part.start + doc]
-                    row = (block, part.start + doc, marks.data[place : place + LEAD].tobytes(), doc_id or 0, doc_id is not None, low - int(marks.begins[doc]), place - low, high - low + 1, marks.data[low : high + width].tobytes())
-                    for column, value in zip(columns, row, strict=True):
-                        column.append(value)
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in SUFFIX_SCHEMA.split(", ")])
-
-    found = small.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(suffixes, SUFFIX_SCHEMA)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = list(batches)
-        if own:
-            bucket = pa.Table.from_batches(own)
-            if len(bucket):
-                rows, first, last = runs(*passages(bucket, width, gram))
-                out = bucket.select(["block", "doc", "start"]).take(pa.array(rows))
-                out = out.append_column("first", pa.array(first)).append_column("last", pa.array(last))
-                yield from out.to_batches()
-
-    # Sampled splitters need the suffixes twice, so they are written first.
-    buckets = stored(found, "suffixes").repartitionByRange(parts, "lead")
-    repeats = stored(buckets.mapInArrow(compare, "block long, doc int, start long, first long, last long"), "repeats")
+    # Rows are dealt by id and text, so that neither rows without an id nor copies gather in a block.
+    numbered = docs.withColumn("_hash", F.xxhash64(text)).withColumn("_block", F.pmod(F.xxhash64("doc_id", "_hash"), F.lit(blocks)))
+    dealt = numbered.repartition(parts, "_block")
+
+    rows = size / SPACING
+    buckets = max(2, math.ceil(rows / bucket_rows))
+    share = SAMPLES * buckets / max(1.0, min(rows, SAMPLES * count))
+    cuts = splitters(sampled_leads(numbered, share, width, gram), gram, buckets)
+    deal = max(1, min(buckets, 2 * shuffle_parts(spark)))
+    compared = leads_of(numbered, cuts, width, gram).repartition(deal, "bucket").groupBy("bucket")
+    leads = scratch.stored(compared.applyInArrow(lambda bucket: repeated_leads(bucket, gram), LEAD_SCHEMA), "leads")
+    ends = leads.filter(F.col("kind") != REPEATS)
+    parted = ends.groupBy("lead").agg(F.count("*").alias("n")).filter("n > 1")
+    across = ends.filter(F.col("kind") == OPEN).join(parted, "lead").select("block", "gram")
+    wanted = scratch.stored(leads.filter(F.col("kind") == REPEATS).select("block", "gram").unionByName(across).distinct(), "grams")
+
+    sends = wanted.count()
+    buckets = max(2, math.ceil(sends / bucket_rows))
+    shown = leads.filter((F.col("kind") == REPEATS) & F.col("lead").isNotNull())
+    sample = shown.sample(min(1.0, 64 * SAMPLES * buckets / max(1, sends)), 5)
+    cuts = splitters(sample.select("lead", "block", F.lit(1.0).alias("weight")).toArrow(), gram, buckets)
+    deal = max(1, min(buckets, 2 * shuffle_parts(spark)))
+    compared = suffixes_of(dealt, wanted, cuts, width, gram).repartition(deal, "bucket").groupBy("bucket")
+    found = scratch.stored(compared.applyInArrow(lambda bucket: repeated_passages(bucket, width, gram), FOUND_SCHEMA), "passages")
+    columns = ["block", "doc", "start", "first", "last"]
+    handed = found.filter("passage is not null").withColumn("place", F.struct("known", "doc_id", "hash", "at"))
+    firsts = handed.groupBy("passage").agg(F.min("place").alias("earliest"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = handed.join(firsts, "passage").filter("place > earliest").select(*columns)
+    repeats = found.filter("passage is null").select(*columns).unionByName(later)
+    return cut_out(dealt, names, repeats, wanted, width, gram, text_out)
+
+
+def cut_out(dealt: DataFrame, names: list[str], repeats: DataFrame, wanted: DataFrame, width: int, gram: int, text_out: bool) -> DataFrame:
+    """The documents of each block without the passages that repeat those of other blocks (``repeats``)
+    or earlier ones of their own, which are known by the surroundings of their marked strings."""
     result = [x for x in names if x != "text"]
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
+    fields = {f.name: f.dataType.simpleString() for f in dealt.schema}
     schema = ", ".join(f"`{n}` {fields[n]}" for n in result) + (", " if result else "") + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if text_out else "")
+    none = no_rows(schema)
 
-    def cut(group: pa.Table, own: pa.Table, wanted: pa.Table) -> pa.Table:
+    def cut(group: pa.Table, more: pa.Table) -> pa.Table:
+        if not len(group):
+            return none
         group, texts = in_order(group)
-        repeated = np.sort(wanted["gram"].to_numpy().view(U64))
-        doc, start = own["doc"].to_numpy(), own["start"].to_numpy()
-        first, last = own["first"].to_numpy(), own["last"].to_numpy()
-        by = np.lexsort((start, doc))
-        doc, start, first, last = doc[by], start[by], first[by], last[by]
-        spot = doc.astype(np.int64) << 40 | start
-        known: dict[int, int] = {}
+        is_gram = more["gram"].is_valid()
+        repeated = np.sort(more.filter(is_gram)["gram"].to_numpy().view(U64))
+        own = more.filter(pc.invert(is_gram)).sort_by("doc")
+        doc, start, first, last = (own[c].to_numpy().astype(np.int64) for c in ("doc", "start", "first", "last"))
+        seen = Seen()
         sizes: list[tuple[int, int, int, str]] = []
-        kept_texts: list[str] = []
+        kept: list[str] = []
         for part in slices(map(len, texts), BATCH_BYTES):
             marks = Marks(texts[part], width, gram)
-            change = np.zeros(len(marks.data) + 1, np.int64)
-
-            def gone(low: np.ndarray, high: np.ndarray, change: np.ndarray = change) -> None:
-                """Passages that start from low to high are repeats."""
-                np.add.at(change, low, 1)
-                np.add.at(change, high + width, -1)
-
-            if len(repeated):
-                near = np.minimum(np.searchsorted(repeated, marks.grams), len(repeated) - 1)
-                use = np.flatnonzero(repeated[near] == marks.grams)
-                around = marks.surroundings()[use]
-                seen_here = []
-                for i, key in zip(use.tolist(), around.tolist(), strict=True):
-                    if key in known:
-                        seen_here.append(i)
-                    else:
-                        known[key] = i
-                again = np.array(seen_here, np.int64)
-                gone(marks.low[again], marks.high[again])
-            if len(spot):
-                # Each reported run starts at a suffix's first passage; several runs may share it.
-                own_docs = (doc >= part.start) & (doc < part.stop)
-                base = marks.begins[doc[own_docs] - part.start] + start[own_docs]
-                gone(base + first[own_docs], base + last[own_docs])
+            use = np.flatnonzero(among(marks.grams, repeated))
+            use = use[~seen.first(marks.surroundings()[use])]
+            here = slice(*np.searchsorted(doc, [part.start, part.stop]))
+            base = marks.begins[doc[here] - part.start] + start[here]
+            low = np.concatenate([marks.low[use], base + first[here]])
+            high = np.concatenate([marks.high[use], base + last[here]])
+            change = np.bincount(low, minlength=len(marks.data) + 1) - np.bincount(high + width, minlength=len(marks.data) + 1)
             removed = np.cumsum(change)[:-1] > 0
-            per_doc = np.add.reduceat(np.concatenate([removed, [False]]), np.minimum(marks.begins[:-1], len(removed)), dtype=np.int64)
-            for i in range(part.stop - part.start):
-                lo, hi = int(marks.begins[i]), int(marks.begins[i + 1])
-                text = texts[part.start + i]
-                if hi == lo or not per_doc[i]:
-                    sizes.append((hi - lo, 0, 0, hashlib.sha256(text).hexdigest()))
-                else:
-                    mask = removed[lo:hi]
-                    text = marks.data[lo:hi][~mask].tobytes()
+            upto = np.concatenate([[0], np.cumsum(removed)])
+            gone = upto[marks.begins[1:]] - upto[marks.begins[:-1]]
+            for i, n in enumerate(gone.tolist()):
+                text, spans = texts[part.start + i], 0
+                size = len(text)
+                if n:
+                    mask = removed[marks.begins[i] : marks.begins[i + 1]]
+                    text = marks.data[marks.begins[i] : marks.begins[i + 1]][~mask].tobytes()
                     spans = int(np.count_nonzero(mask[1:] & ~mask[:-1]) + mask[0])
-                    sizes.append((hi - lo, int(mask.sum()), spans, hashlib.sha256(text).hexdigest()))
+                sizes.append((size, n, spans, hashlib.sha256(text).hexdigest()))
                 if text_out:
-                    kept_texts.append(text.decode("utf-8", "ignore"))
+                    kept.append(text.decode("utf-8", "ignore"))
         columns = [pa.array(c, t) for c, t in zip(zip(*sizes, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
         out = group.select(result)
         for name, column in zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), columns, strict=True):
             out = out.append_column(name, column)
-        return out.append_column("text", pa.array(kept_texts, pa.string())) if text_out else out
-
-    return _three(dealt, repeats, wanted, cut, schema)
-
-
-def _three(dealt: DataFrame, repeats: DataFrame, wanted: DataFrame, cut, schema: str) -> DataFrame:
-    """Cogroups blocks with two smaller tables, put together as one."""
-    both = repeats.select("block", "doc", "start", "first", "last", F.lit(None).cast("long").alias("gram")).unionByName(wanted.select("block", "gram"), allowMissingColumns=True)
-
-    def apply(group: pa.Table, more: pa.Table) -> pa.Table:
-        if not len(group):
-            return pa.table({n: pa.array([], t) for n, t in zip(*_empty(schema), strict=True)})
-        is_gram = more["gram"].is_valid()
-        return cut(group, more.filter(pc.invert(is_gram)), more.filter(is_gram))
+        return out.append_column("text", pa.array(kept, pa.string())) if text_out else out
 
-    return dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(apply, schema)
+    both = repeats.withColumn("gram", F.lit(None).cast("long")).unionByName(wanted.select("block", "gram"), allowMissingColumns=True)
+    return dealt.groupBy("_block").cogroup(both.groupBy("block")).applyInArrow(cut, schema)
 
 
-def _empty(schema: str) -> tuple[list[str], list[pa.DataType]]:
+def no_rows(schema: str) -> pa.Table:
+    """An empty table of a schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-    return arrow.names, arrow.types
+    return to_arrow_schema(_parse_datatype_string(schema)).empty_table()
 
 
 def op8_suffix_dedup(docs: DataFrame) -> DataFrame:
