@@ -2,8 +2,9 @@
 
 Method: first-fit decreasing over a tournament tree of bin capacities, run independently in
 randomised groups of documents. A document longer than a sequence is cut into whole sequences and a
-rest; only rests take part in the fitting, so a group's work is bounded by its number of documents.
-Group numbers come from a hash, so a lost task is redone with the same result.
+rest; only rests take part in the fitting. Whole sequences have groups of their own, so that neither many
+documents nor long ones make a large group. Group numbers come from a hash of the piece and the number of
+its partition, so a lost task is redone with the same result and repeated rows are dealt out like others.
 """
 
 from __future__ import annotations
@@ -74,7 +75,8 @@ def token_pieces(docs: DataFrame, *, capacity: int = 1024, tokenizer: str = "byt
     """Each document's ids (then ``end_id``) cut into pieces of at most ``capacity``.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, and ids (array<int>) if ``with_ids``.
-    Null text counts as empty and so has the end id alone. Null doc_ids are kept.
+    Null text counts as empty and so has the end id alone. Null doc_ids are kept. A text of any length is
+    encoded as a whole, and its pieces take a row each. Other columns are not read.
     """
     small_batches(docs.sparkSession)
 
@@ -127,22 +129,25 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def pack(pieces: DataFrame, *, rests: int | None = None, capacity: int = 1024, group_rows: int = GROUP_ROWS, seed: int = 0) -> DataFrame:
+def pack(pieces: DataFrame, *, rests: int | None = None, wholes: int | None = None, capacity: int = 1024, group_rows: int = GROUP_ROWS, seed: int = 0) -> DataFrame:
     """Places pieces (see token_pieces) into sequences: adds sequence_id and offset.
 
-    Pieces as long as a sequence stand alone. The others are dealt to groups by a seeded hash of
-    doc_id, start and ids, about ``group_rows`` in each, and every group is packed by itself.
-    ``rests`` is the number of pieces shorter than a sequence, or of documents; unset, pieces are
-    counted, which computes them once more. All other columns pass through. An empty table gives an
-    empty table. Equal rows are packed as different pieces. Sequence ids are distinct but not
-    consecutive.
+    Pieces as long as a sequence stand alone. The others are dealt to groups by a seeded hash, about
+    ``group_rows`` in each, and every group is packed by itself. ``rests`` is the number of pieces shorter
+    than a sequence (or of documents), ``wholes`` that of the others, each an upper bound perhaps; if one is
+    unset, pieces are counted, which computes them once more. All other columns pass through, columns
+    named like the results are replaced. An empty table gives an empty table. Equal rows are packed as
+    different pieces. Sequence ids are distinct but not consecutive.
     """
     parts = shuffle_parts(pieces.sparkSession)
+    pieces = pieces.drop("sequence_id", "offset", "_group")
     names = pieces.columns
-    total = pieces.filter(F.col("length") < capacity).count() if rests is None else rests
-    groups = max(1, -(-total // group_rows))
+    if rests is None or wholes is None:
+        rests, wholes = pieces.agg(F.count_if(F.col("length") < capacity), F.count_if(F.col("length") >= capacity)).first()
+    groups, more = max(1, -(-rests // group_rows)), max(1, -(-wholes // group_rows))
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups))
+    spot = F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed), F.spark_partition_id())
+    key = F.when(F.col("length") < capacity, F.pmod(spot, F.lit(groups))).otherwise(groups + F.pmod(spot, F.lit(more)))
 
     def place(group: pa.Table) -> pa.Table:
         ids = group["doc_id"].fill_null(-1)
@@ -155,9 +160,11 @@ def pack(pieces: DataFrame, *, rests: int | None = None, capacity: int = 1024, g
         number = group["_group"][0].as_py()
         return group.select(names).append_column("sequence_id", pa.array(number * (1 << 32) + bins)).append_column("offset", pa.array(offsets))
 
-    return pieces.withColumn("_group", key).repartition(min(parts, groups), "_group").groupBy("_group").applyInArrow(place, out_schema)
+    return pieces.withColumn("_group", key).repartition(min(parts, groups + more), "_group").groupBy("_group").applyInArrow(place, out_schema)
 
 
 def op5_packing(docs: DataFrame) -> DataFrame:
     """The contract's digest: one row per piece."""
-    return pack(token_pieces(docs), rests=docs.count())
+    # A token has a byte at least, mostly about four.
+    documents, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return pack(token_pieces(docs), rests=documents, wholes=size // 4096)

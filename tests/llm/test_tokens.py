@@ -149,3 +149,27 @@ def test_samples_do_not_depend_on_what_was_forgotten(monkeypatch):
 
     texts = odd_texts(80)
     assert drawn(texts, 500) == drawn(texts, 1 << 30)
+
+
+def test_packing_edges(spark):
+    rows = [(1, "hot row again")] * 300 + [(2, "long " * 40_000), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("offset", F.lit("clash")).repartition(6)
+    pieces = packing.token_pieces(df).withColumn("sequence_id", F.lit("clash")).withColumn("more", F.lit(5))
+    got = packing.pack(pieces, group_rows=20)
+    assert got.columns[-3:] == ["more", "sequence_id", "offset"] and dict(got.dtypes)["sequence_id"] == "bigint"
+    sequences = defaultdict(list)
+    for r in got.collect():
+        sequences[r["sequence_id"]].append((r["offset"], r["length"], r["doc_id"]))
+    ends = {s: sum(n for _, n, _ in own) for s, own in sequences.items()}
+    assert sum(len(own) for own in sequences.values()) == 300 + 2 + 40 and max(ends.values()) <= 1024
+    assert all(sorted(own)[0][0] == 0 for own in sequences.values())
+    assert sum(d == 2 and n == 1024 for own in sequences.values() for _, n, d in own) == 39
+    assert len({s >> 32 for s, own in sequences.items() if any(d == 1 for _, _, d in own)}) > 1
+
+
+def test_count_edges(spark):
+    long = "abc" * 300_000
+    rows = [(None, "a b"), (None, "a b"), (1, None), (1, long)]
+    got = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").withColumn("best_score", F.lit("clash")), model_path=MODEL).collect()
+    assert len(got) == 4 and len({r["n_tokens"] for r in got if r["doc_id"] is None}) == 1
+    assert sorted(r["n_tokens"] > 100_000 for r in got if r["doc_id"] == 1) == [False, True]
