@@ -19,7 +19,8 @@ passages have their suffixes at the same place in them and no match is lost. The
 
 A block sends one suffix for each surrounding however many copies it holds, and a lead that many blocks
 have is spread over as many buckets as its rows need, so no list or bucket grows with a hot passage.
-Blocks and buckets hold a bounded share of bytes and rows. Of a marked string and of a passage, 64-bit
+Blocks and buckets hold a bounded share of bytes and rows. What one run of texts sends to one bucket, or one
+bucket to one block, travels as one row of packed numbers. Of a marked string and of a passage, 64-bit
 hashes of the bytes are compared. Documents are read whole; a document's block must fit into a worker.
 """
 
@@ -31,7 +32,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +44,8 @@ GRAM = 40
 #: Documents and bytes of a block, on average.
 BLOCK_ROWS, BLOCK_BYTES = 1500, 4 << 20
 BATCH_BYTES = 1 << 21
-#: Suffixes of a bucket, and samples that its splitters are taken from, on average.
+#: Suffixes of a bucket, and samples that its splitters are taken from, on average. A bucket of suffixes
+#: with their passages holds a tenth as many.
 BUCKET_ROWS, SAMPLES = 250_000, 64
 #: Bytes of text that give one marked suffix, about.
 SPACING = 23
@@ -174,6 +175,23 @@ def bytes_of(column: pa.ChunkedArray | pa.Array, length: int) -> np.ndarray:
     return np.frombuffer(whole.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].reshape(len(whole), length)
 
 
+def packed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Different keys, and for each column (fixed-size items, sorted by key) the bytes that belong to each key."""
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    bounds = np.append(new, len(keys))
+    out = []
+    for column in columns:
+        data = np.ascontiguousarray(column)
+        size = data.nbytes // max(1, len(data))
+        out.append(pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer((bounds * size).astype(np.int32)), pa.py_buffer(data.tobytes())]))
+    return keys[new], out
+
+
+def unpacked(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
+    """The items packed in all rows of a column."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
 def words_of(rows: np.ndarray) -> np.ndarray:
     """Rows of bytes as big-endian words of eight, filled up with zeros, in byte order."""
     width = -(-rows.shape[1] // 8) * 8
@@ -204,8 +222,8 @@ def splitters(sample: pa.Table, gram: int, buckets: int) -> np.ndarray:
     return np.unique(keys[order][np.minimum(at, len(order) - 1)])
 
 
-def bucket_of(cuts: np.ndarray, leads: np.ndarray, blocks: np.ndarray) -> pa.Array:
-    return pa.array(np.searchsorted(cuts, spread(leads, blocks), "right").astype(np.int32))
+def bucket_of(cuts: np.ndarray, leads: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    return np.searchsorted(cuts, spread(leads, blocks), "right").astype(np.int32)
 
 
 def leads_at(marks: Marks, place: np.ndarray) -> np.ndarray:
@@ -219,47 +237,50 @@ def binaries(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-#: Kinds of the rows that a bucket of leads gives: a lead that repeats, one at an end of the bucket that
-#: does not repeat in it, and one at an end that does.
-REPEATS, OPEN, WITNESS = 0, 1, 2
-LEAD_SCHEMA = "block long, gram long, kind int, lead binary"
+#: Kinds of the rows that a bucket of leads gives: marked strings of a block that repeat (packed), a lead at
+#: an end of the bucket that does not repeat in it, one that does, and a sample of those that repeat.
+REPEATS, OPEN, WITNESS, SAMPLE = 0, 1, 2, 3
+LEAD_SCHEMA = "block long, grams binary, kind int, lead binary"
 
 
 def repeated_leads(bucket: pa.Table, gram: int) -> pa.Table:
-    """Sorts a bucket's suffixes and compares neighbours. One row for each suffix whose lead repeats (with
-    the lead for one in 64 of them), and one for the run at each end of the bucket."""
-    leads, block = bytes_of(bucket["lead"], gram), bucket["block"].to_numpy()
+    """Sorts a bucket's suffixes and compares neighbours: the hashes of leads that repeat, by block, one in
+    64 of them as a sample, and the lead of the run at each end of the bucket."""
+    leads = unpacked(bucket["leads"], np.uint8).reshape(-1, gram)
+    marked = unpacked(bucket["blocks"], np.int64)
+    block, twice = marked >> 1, marked & 1
     keys = words_of(leads)
     order, shared = multikey_sort(keys)
     run = np.cumsum(shared < keys.shape[1]) - 1
-    many = (np.bincount(run) > 1) | (np.bincount(run, bucket["many"].to_numpy(zero_copy_only=False)[order]) > 0)
-    rows = order[many[run]]
-    ends = order[np.unique([0, np.searchsorted(run, run[-1])])]
-    kind = np.where(many[[0, -1]][: len(ends)] if len(ends) > 1 else many[:1], WITNESS, OPEN)
-    both = np.concatenate([rows, ends])
-    grams = hash_of(leads[both])
-    shown = np.concatenate([mix(grams[: len(rows)] ^ mix(block[rows].view(U64))) % U64(64) == 0, np.ones(len(ends), bool)])
-    lead = pc.if_else(pa.array(shown), binaries(leads[both]), pa.scalar(None, pa.binary()))
-    kinds = np.concatenate([np.full(len(rows), REPEATS), kind]).astype(np.int32)
-    return pa.table({"block": block[both], "gram": grams.view(np.int64), "kind": kinds, "lead": lead})
-
-
-SUFFIX_SCHEMA = "bucket int, block long, doc int, known boolean, doc_id long, hash long, start long, before int, windows int, context binary"
-#: Runs of repeated passages of a suffix, or (with ``passage``) the first place of a passage in a bucket.
-FOUND_SCHEMA = "block long, doc int, start long, first long, last long, passage long, known boolean, doc_id long, hash long, at long"
+    many = (np.bincount(run) > 1) | (np.bincount(run, twice[order]) > 0)
+    rows, ends = order[many[run]], order[np.unique([0, np.searchsorted(run, run[-1])])]
+    grams, block_of = hash_of(leads[rows]), block[rows]
+    some = rows[mix(grams ^ mix(block_of.view(U64))) % U64(64) == 0]
+    by = np.lexsort((grams, block_of))
+    blocks, (repeats,) = packed(block_of[by], grams[by])
+    shown = np.concatenate([ends, some])
+    kind = np.concatenate([np.where(many[run[[0, -1]]][-len(ends) :], WITNESS, OPEN), np.full(len(some), SAMPLE)])
+    singles = binaries(np.ascontiguousarray(hash_of(leads[shown])).view(np.uint8).reshape(-1, 8))
+    columns = [np.concatenate([blocks, block[shown]]), pa.concat_arrays([repeats, singles]), np.concatenate([np.full(len(blocks), REPEATS), kind]).astype(np.int32), pa.concat_arrays([pa.nulls(len(blocks), pa.binary()), binaries(leads[shown])])]
+    return pa.table(columns, ["block", "grams", "kind", "lead"])
+
+
+#: A suffix that a block sends: where it is, how many bytes of its context come before it, how many
+#: passages it marks, and the length of the context, which begins with the first passage.
+SUFFIX = np.dtype([("block", "i8"), ("doc", "i4"), ("known", "?"), ("doc_id", "i8"), ("hash", "i8"), ("start", "i8"), ("before", "i4"), ("windows", "i4"), ("size", "i4")])
+SUFFIX_SCHEMA = "bucket int, suffixes binary, contexts binary"
+#: A run of passages of a suffix that repeat; rows hold a block's runs, or (with ``passage``) the first
+#: place of a passage in a bucket.
+RUN = np.dtype([("doc", "i4"), ("start", "i8"), ("first", "i4"), ("last", "i4")])
+FOUND_SCHEMA = "block long, runs binary, passage long, known boolean, doc_id long, hash long, at long"
 
 
 def repeated_passages(bucket: pa.Table, width: int, gram: int) -> pa.Table:
     """Sorts a bucket's suffixes, and within each run of equal leads finds the passages that an earlier
-    suffix has too.
-
-    ``context`` holds the bytes from the first passage's start; ``before`` how many of them come before the
-    suffix; ``windows`` how many passages it marks. Rows are told apart by (doc_id, hash, start).
-    """
-    before, windows = bucket["before"].to_numpy().astype(np.int64), bucket["windows"].to_numpy().astype(np.int64)
-    whole = bucket["context"].combine_chunks()
-    begins = np.frombuffer(whole.buffers()[1], np.int32, len(whole) + 1, 4 * whole.offset).astype(np.int64)[:-1]
-    data = np.frombuffer(whole.buffers()[2], np.uint8)
+    suffix (by doc_id, hash of the text, start) has too."""
+    suffixes, data = unpacked(bucket["suffixes"], SUFFIX), unpacked(bucket["contexts"], np.uint8)
+    before, windows, size = (suffixes[c].astype(np.int64) for c in ("before", "windows", "size"))
+    begins = np.cumsum(size) - size
     keys = words_of(data[(begins + before)[:, None] + np.arange(gram)[None, :]])
     order, shared = multikey_sort(keys)
     run = np.cumsum(shared < keys.shape[1]) - 1
@@ -276,28 +297,43 @@ def repeated_passages(bucket: pa.Table, width: int, gram: int) -> pa.Table:
     start = begins[row] + offset
     # A passage is known by its bytes and where the marked string lies in it.
     passage = mix((sums[start + width] - sums[start]) * down[start]) ^ mix((before[row] - offset).astype(U64) + U64(1))
-    place = bucket["start"].to_numpy()[row] + offset
-    doc_id, text = bucket["doc_id"].to_numpy()[row], bucket["hash"].to_numpy()[row]
-    known = bucket["known"].to_numpy(zero_copy_only=False)[row]
-    order = np.lexsort((place, text, doc_id, known, passage))
+    at = suffixes["start"][row] + offset
+    # Only passages that are there more than once, or at an end of the bucket, need an order.
+    keep = np.flatnonzero(edge | ~lone(passage))
+    row, offset, passage, at, edge = row[keep], offset[keep], passage[keep], at[keep], edge[keep]
+    order = np.lexsort((at, suffixes["hash"][row], suffixes["doc_id"][row], suffixes["known"][row], passage))
     again = np.zeros(len(order), bool)
     again[order[1:]] = passage[order[1:]] == passage[order[:-1]]
     found, first, last = runs(row[again], offset[again])
     handed = np.flatnonzero(edge & ~again)
-    out = bucket.select(["block", "doc", "start"])
-    repeats = out.take(pa.array(found)).append_column("first", pa.array(first)).append_column("last", pa.array(last))
-    ends = out.take(pa.array(row[handed])).append_column("first", pa.array(offset[handed])).append_column("last", pa.array(offset[handed]))
-    more = {"passage": passage[handed].view(np.int64), "known": known[handed], "doc_id": doc_id[handed], "hash": text[handed], "at": place[handed]}
-    for name, values in more.items():
+    both = np.concatenate([found, row[handed]])
+    out = np.zeros(len(both), RUN)
+    out["doc"], out["start"] = suffixes["doc"][both], suffixes["start"][both]
+    out["first"], out["last"] = np.concatenate([first, offset[handed]]), np.concatenate([last, offset[handed]])
+    block = suffixes["block"][found]
+    by = np.argsort(block, kind="stable")
+    blocks, (packed_runs,) = packed(block[by], out[: len(found)][by])
+    own, none = row[handed], len(blocks)
+    singles = binaries(np.ascontiguousarray(out[len(found) :]).view(np.uint8).reshape(-1, RUN.itemsize))
+    ends = {"passage": passage[handed].view(np.int64), "known": suffixes["known"][own], "doc_id": suffixes["doc_id"][own], "hash": suffixes["hash"][own], "at": at[handed]}
+    columns = [np.concatenate([blocks, suffixes["block"][own]]), pa.concat_arrays([packed_runs, singles])]
+    for name, values in ends.items():
         kind = pa.bool_() if name == "known" else pa.int64()
-        repeats = repeats.append_column(name, pa.nulls(len(repeats), kind))
-        ends = ends.append_column(name, pa.array(values, kind))
-    return pa.concat_tables([repeats, ends])
+        columns.append(pa.concat_arrays([pa.nulls(none, kind), pa.array(np.ascontiguousarray(values), kind)]))
+    return pa.table(columns, ["block", "runs", *ends])
+
+
+def lone(keys: np.ndarray) -> np.ndarray:
+    """Which keys surely occur once: no other key falls into their place of a table."""
+    bits = max(10, int(len(keys) * 4).bit_length())
+    place = (keys >> U64(64 - bits)).astype(np.int64)
+    return (np.bincount(place, minlength=1 << bits) == 1)[place]
 
 
 def leads_of(docs: DataFrame, cuts: np.ndarray, width: int, gram: int) -> DataFrame:
-    """bucket, lead, block and many (whether it is there twice) of the marked suffixes of documents (_block,
-    text), once for each block that a run of texts holds. Nothing but these rows is shuffled."""
+    """bucket, leads and blocks (packed; the lowest bit of a block tells whether it has the lead twice) of the
+    marked suffixes of documents (_block, text), once for each block that a run of texts holds. Nothing but
+    these rows is shuffled."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,10 +347,13 @@ def leads_of(docs: DataFrame, cuts: np.ndarray, width: int, gram: int) -> DataFr
                 key, own = marks.grams[order], block[order]
                 new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])]))
                 times = np.diff(np.concatenate([new, [len(order)]]))
-                leads = leads_at(marks, marks.place[order[new]])
-                yield pa.RecordBatch.from_arrays([bucket_of(cuts, leads, own[new]), binaries(leads), pa.array(own[new]), pa.array(times > 1)], ["bucket", "lead", "block", "many"])
+                leads, own = leads_at(marks, marks.place[order[new]]), own[new] * 2 + (times > 1)
+                bucket = bucket_of(cuts, leads, own >> 1)
+                by = np.argsort(bucket, kind="stable")
+                buckets, columns = packed(bucket[by], leads[by], own[by])
+                yield pa.RecordBatch.from_arrays([pa.array(buckets), *columns], ["bucket", "leads", "blocks"])
 
-    return docs.select("_block", "text").mapInArrow(marked, "bucket int, lead binary, block long, many boolean")
+    return docs.select("_block", "text").mapInArrow(marked, "bucket int, leads binary, blocks binary")
 
 
 def sampled_leads(docs: DataFrame, share: float, width: int, gram: int) -> pa.Table:
@@ -333,7 +372,8 @@ def sampled_leads(docs: DataFrame, share: float, width: int, gram: int) -> pa.Ta
 
 
 def suffixes_of(docs: DataFrame, wanted: DataFrame, cuts: np.ndarray, width: int, gram: int) -> DataFrame:
-    """The suffixes of each block at the marked strings wanted, once for each different surrounding."""
+    """The suffixes of each block at the marked strings wanted, once for each different surrounding, packed by
+    bucket."""
     none = no_rows(SUFFIX_SCHEMA)
 
     def suffixes(group: pa.Table, own: pa.Table) -> pa.Table:
@@ -341,16 +381,26 @@ def suffixes_of(docs: DataFrame, wanted: DataFrame, cuts: np.ndarray, width: int
         if len(group) and len(own):
             group, texts = in_order(group)
             known, ids, hashes = (group["doc_id"].is_valid().to_numpy(), group["doc_id"].fill_null(0).to_numpy(), group["_hash"].to_numpy())
-            block, repeated, seen = group["_block"][0].as_py(), np.sort(own["gram"].to_numpy().view(U64)), Seen()
+            block, repeated, seen = group["_block"][0].as_py(), np.unique(unpacked(own["grams"], U64)), Seen()
             for part in slices(map(len, texts), BATCH_BYTES):
                 marks = Marks(texts[part], width, gram)
                 use = np.flatnonzero(among(marks.grams, repeated))
                 use = use[seen.first(marks.surroundings()[use])]
-                doc = marks.text[use] + part.start
-                low, high, place = marks.low[use], marks.high[use], marks.place[use]
-                columns = [bucket_of(cuts, leads_at(marks, place), np.full(len(use), block)), np.full(len(use), block), doc.astype(np.int32), known[doc], ids[doc], hashes[doc]]
-                columns += [low - marks.begins[marks.text[use]], (place - low).astype(np.int32), (high - low + 1).astype(np.int32), binary_of(marks.data, low, high + width - low)]
-                tables.append(pa.table(columns, none.schema.names).cast(none.schema))
+                bucket = bucket_of(cuts, leads_at(marks, marks.place[use]), np.full(len(use), block))
+                by = np.argsort(bucket, kind="stable")
+                use, bucket = use[by], bucket[by]
+                doc, low = marks.text[use] + part.start, marks.low[use]
+                rows = np.zeros(len(use), SUFFIX)
+                rows["block"], rows["doc"], rows["known"], rows["doc_id"], rows["hash"] = block, doc, known[doc], ids[doc], hashes[doc]
+                rows["start"], rows["before"] = low - marks.begins[marks.text[use]], marks.place[use] - low
+                rows["windows"], rows["size"] = marks.high[use] - low + 1, marks.high[use] + width - low
+                buckets, (heads,) = packed(bucket, rows)
+                # The contexts of a bucket follow each other.
+                upto = np.concatenate([[0], np.cumsum(rows["size"], dtype=np.int64)])
+                each = binary_of(marks.data, low, rows["size"].astype(np.int64))
+                bounds = upto[np.append(np.searchsorted(bucket, buckets), len(use))]
+                contexts = pa.Array.from_buffers(pa.binary(), len(buckets), [None, pa.py_buffer(bounds.astype(np.int32)), each.buffers()[2]])
+                tables.append(pa.table([pa.array(buckets), heads, contexts], none.schema.names))
         return pa.concat_tables(tables)
 
     small = docs.select("_block", "doc_id", "_hash", "text")
@@ -394,24 +444,22 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, blo
     deal = max(1, min(buckets, 2 * shuffle_parts(spark)))
     compared = leads_of(numbered, cuts, width, gram).repartition(deal, "bucket").groupBy("bucket")
     leads = scratch.stored(compared.applyInArrow(lambda bucket: repeated_leads(bucket, gram), LEAD_SCHEMA), "leads")
-    ends = leads.filter(F.col("kind") != REPEATS)
+    ends = leads.filter(F.col("kind").isin(OPEN, WITNESS))
     parted = ends.groupBy("lead").agg(F.count("*").alias("n")).filter("n > 1")
-    across = ends.filter(F.col("kind") == OPEN).join(parted, "lead").select("block", "gram")
-    wanted = scratch.stored(leads.filter(F.col("kind") == REPEATS).select("block", "gram").unionByName(across).distinct(), "grams")
+    across = ends.filter(F.col("kind") == OPEN).join(parted, "lead").select("block", "grams")
+    wanted = scratch.stored(leads.filter(F.col("kind") == REPEATS).select("block", "grams").unionByName(across), "grams")
 
-    sends = wanted.count()
-    buckets = max(2, math.ceil(sends / bucket_rows))
-    shown = leads.filter((F.col("kind") == REPEATS) & F.col("lead").isNotNull())
-    sample = shown.sample(min(1.0, 64 * SAMPLES * buckets / max(1, sends)), 5)
+    sends = (wanted.agg(F.sum(F.octet_length("grams")).alias("n")).first()["n"] or 0) // 8
+    buckets = max(2, math.ceil(10 * sends / bucket_rows))
+    sample = leads.filter(F.col("kind") == SAMPLE).sample(min(1.0, 64 * SAMPLES * buckets / max(1, sends)), 5)
     cuts = splitters(sample.select("lead", "block", F.lit(1.0).alias("weight")).toArrow(), gram, buckets)
     deal = max(1, min(buckets, 2 * shuffle_parts(spark)))
     compared = suffixes_of(dealt, wanted, cuts, width, gram).repartition(deal, "bucket").groupBy("bucket")
     found = scratch.stored(compared.applyInArrow(lambda bucket: repeated_passages(bucket, width, gram), FOUND_SCHEMA), "passages")
-    columns = ["block", "doc", "start", "first", "last"]
     handed = found.filter("passage is not null").withColumn("place", F.struct("known", "doc_id", "hash", "at"))
     firsts = handed.groupBy("passage").agg(F.min("place").alias("earliest"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = handed.join(firsts, "passage").filter("place > earliest").select(*columns)
-    repeats = found.filter("passage is null").select(*columns).unionByName(later)
+    later = handed.join(firsts, "passage").filter("place > earliest").select("block", "runs")
+    repeats = found.filter("passage is null").select("block", "runs").unionByName(later)
     return cut_out(dealt, names, repeats, wanted, width, gram, text_out)
 
 
@@ -427,10 +475,10 @@ def cut_out(dealt: DataFrame, names: list[str], repeats: DataFrame, wanted: Data
         if not len(group):
             return none
         group, texts = in_order(group)
-        is_gram = more["gram"].is_valid()
-        repeated = np.sort(more.filter(is_gram)["gram"].to_numpy().view(U64))
-        own = more.filter(pc.invert(is_gram)).sort_by("doc")
-        doc, start, first, last = (own[c].to_numpy().astype(np.int64) for c in ("doc", "start", "first", "last"))
+        repeated = np.unique(unpacked(more["grams"].drop_null(), U64))
+        own = unpacked(more["runs"].drop_null(), RUN)
+        own = own[np.argsort(own["doc"], kind="stable")]
+        doc, start, first, last = (own[c].astype(np.int64) for c in ("doc", "start", "first", "last"))
         seen = Seen()
         sizes: list[tuple[int, int, int, str]] = []
         kept: list[str] = []
@@ -462,7 +510,7 @@ def cut_out(dealt: DataFrame, names: list[str], repeats: DataFrame, wanted: Data
             out = out.append_column(name, column)
         return out.append_column("text", pa.array(kept, pa.string())) if text_out else out
 
-    both = repeats.withColumn("gram", F.lit(None).cast("long")).unionByName(wanted.select("block", "gram"), allowMissingColumns=True)
+    both = repeats.withColumn("grams", F.lit(None).cast("binary")).unionByName(wanted.select("block", "grams"), allowMissingColumns=True)
     return dealt.groupBy("_block").cogroup(both.groupBy("block")).applyInArrow(cut, schema)
 
 
