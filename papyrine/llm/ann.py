@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.llm._shared import Scratch, shuffle_parts, small_batches, stored
@@ -213,7 +213,7 @@ def search(df: DataFrame, is_query, *, k: int = 20, id_column: str = "vec_id", c
     scratch.drop()
     wanted = asked.select("ask", F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     pairs = found.join(distinct, "key").join(F.broadcast(wanted) if queries <= BROADCAST_QUERIES else wanted, "ask")
-    exact = pairs.select("query_id", "key", inner_product(F.col("q"), F.col("v")).alias("score"), "members")
+    exact = inner_products(pairs.select("query_id", "key", "q", "v", "members"))
     if asked.select("vec_id").distinct().count() < queries:
         exact = exact.groupBy("query_id", "key").agg(F.max("score").alias("score"), F.first("members").alias("members"))
     # Of vectors by falling score, then smallest id, the first k + 1 hold the k nearest rows.
@@ -225,9 +225,16 @@ def search(df: DataFrame, is_query, *, k: int = 20, id_column: str = "vec_id", c
     return best.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
 
-def inner_product(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+def inner_products(pairs: DataFrame) -> DataFrame:
+    """query_id, key, members and score, the inner product of q and v in double precision, of each pair."""
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                score = np.einsum("ij,ij->i", vectors_of(batch.column(2)), vectors_of(batch.column(3)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(score)], ["query_id", "key", "members", "score"])
+
+    return pairs.mapInArrow(scored, "query_id long, key long, members array<long>, score double")
 
 
 def op9_nearest_neighbours(embeddings: DataFrame) -> DataFrame:
