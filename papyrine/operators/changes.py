@@ -19,7 +19,7 @@ def check_snapshot(snapshot: DataFrame) -> DataFrame:
 
 def snapshot_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     """(path, change): added, modified, unchanged or removed. A file is unchanged only if its size is
-    equal and both modification times are known and equal."""
+    equal and both modification times are known and equal. See ordered_changes for checks and order."""
     a = previous.select("path", F.col("size_bytes").alias("_size"), F.col("modified_at").alias("_time"), F.lit(True).alias("_old"))
     b = current.select("path", "size_bytes", "modified_at", F.lit(True).alias("_new"))
     same = (F.col("_size") == F.col("size_bytes")) & F.coalesce(F.col("_time") == F.col("modified_at"), F.lit(False))
@@ -27,6 +27,11 @@ def snapshot_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", change.alias("change"))
 
 
+def ordered_changes(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """The changes between two checked snapshots, by path."""
+    return snapshot_diff(check_snapshot(previous), check_snapshot(current)).orderBy("path")
+
+
 def last_operations(events: DataFrame) -> DataFrame:
     """The last operation of each path: (root, path, kind, seq)."""
     return events.groupBy("root", "path").agg(F.max_by("kind", "seq").alias("kind"), F.max("seq").alias("seq"))
@@ -39,6 +44,15 @@ def recall_at_k(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return hits.groupBy("query").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall"))
 
 
+def retrieval_quality(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """One row over the labelled queries: queries, macro_recall (mean of the queries' recalls at ``k``) and
+    top1_hits (queries whose first result is relevant)."""
+    recalls = recall_at_k(results, relevant, k)
+    first = results.filter(F.col("rank") == 1).join(relevant, ["query", "document_id"], "left_semi").select("query").distinct()
+    marked = recalls.join(first.withColumn("top1", F.lit(1)), "query", "left")
+    return marked.agg(F.count("*").alias("queries"), F.avg("recall").alias("macro_recall"), F.count("top1").alias("top1_hits"))
+
+
 def percentile(values: DataFrame, column: str, p: int) -> DataFrame:
     """The value at index ceil((n - 1) * p / 100) of the sorted values, one row. The values are
     measurements of a harness, few by nature."""

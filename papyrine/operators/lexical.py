@@ -1,7 +1,9 @@
-"""Lexical search: phrase match, BM25 over two fields, filters, top-k; by scan or by postings."""
+"""Lexical search: phrase match, BM25 over two fields, filters, top-k; by a kept index or by scan."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +45,51 @@ def postings(documents: DataFrame) -> DataFrame:
     return both[0].unionByName(both[1]).select("term", "document_id", "field", "pos")
 
 
-def write_postings(documents: DataFrame, path: str, partitions: int) -> None:
-    """Stores the index range-partitioned and sorted by term, so that a term's lookup reads few row
-    groups; document lengths go beside it."""
-    postings(documents).repartitionByRange(partitions, "term", "document_id").sortWithinPartitions("term", "document_id", "field", "pos").write.mode("overwrite").parquet(f"{path}/postings")
+# -- the kept index
+
+@dataclass(frozen=True)
+class Index:
+    """A full-text index: postings (term, document_id, generation, title, body: positions), lengths
+    (document_id, length, generation), and the corpus' size. A posting counts only if its generation is
+    that of its document's row in ``lengths``, so documents are changed or removed by writing ``lengths``
+    anew and adding a segment of postings; old postings go when segments are merged."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    n_docs: int
+    n_tokens: int
+
+
+def index_postings(documents: DataFrame, generation: int, partitions: int) -> DataFrame:
+    """Postings of documents, range-partitioned and sorted by term, so that a term's rows lie together and
+    a look-up reads few row groups."""
+    both = postings(documents).repartitionByRange(partitions, "term", "document_id")
+    places = {f: F.array_sort(F.collect_list(F.when(F.col("field") == f, F.col("pos")))).alias(f) for f in ("title", "body")}
+    rows = both.groupBy("term", "document_id").agg(*places.values())
+    return rows.select("term", "document_id", F.lit(generation).cast("long").alias("generation"), "title", "body").sortWithinPartitions("term", "document_id")
+
+
+def index_lengths(documents: DataFrame, generation: int) -> DataFrame:
     t = tokenized(documents)
-    t.select("document_id", (F.size("title_tokens") + F.size("body_tokens")).alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
+    return t.select("document_id", (F.size("title_tokens") + F.size("body_tokens")).cast("long").alias("length"), F.lit(generation).cast("long").alias("generation"))
+
+
+def changed_lengths(lengths: DataFrame, documents: DataFrame, removed: DataFrame, generation: int) -> DataFrame:
+    """``lengths`` after ``documents`` were written and those of ``removed`` (document_id) taken away."""
+    new = index_lengths(documents, generation)
+    touched = new.select("document_id").unionByName(removed.select("document_id")).distinct()
+    return lengths.join(touched, "document_id", "left_anti").unionByName(new)
+
+
+def live_postings(index: Index) -> DataFrame:
+    """Postings that count, for merging segments."""
+    live = index.lengths.select("document_id", "generation")
+    return index.postings.join(live, ["document_id", "generation"], "left_semi").select(index.postings.columns)
+
+
+def corpus_size(lengths: DataFrame) -> dict[str, int]:
+    row = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("t")).first()
+    return {"n_docs": row["n"], "n_tokens": row["t"]}
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -88,8 +129,8 @@ def scored(documents: DataFrame, phrases: list[list[str]]) -> DataFrame:
 
 
 def scored_by_postings(index: DataFrame, lengths: DataFrame, documents: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """The same result from a stored index: only the query's terms are read (pushed to the scan), a
-    phrase is a chain of joins on the next position."""
+    """The same result from a table of single postings: only the query's terms are read (pushed to the
+    scan), a phrase is a chain of joins on the next position."""
     if any(not p for p in phrases):
         return documents.filter(F.lit(False)).withColumn("relevance", F.lit(None).cast("double"))
     stats = lengths.agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"))
@@ -101,7 +142,8 @@ def scored_by_postings(index: DataFrame, lengths: DataFrame, documents: DataFram
             found = found.join(more, ["document_id", "field", "pos"], "left_semi")
         hits = found.groupBy("document_id").agg(F.sum(F.when(F.col("field") == "title", TITLE_WEIGHT).otherwise(BODY_WEIGHT)).alias("hits"))
         part = hits.join(F.broadcast(hits.agg(F.count("*").alias("_df"))), how="cross").join(lengths, "document_id").join(F.broadcast(stats), how="cross")
-        part = part.select("document_id", (idf(F.col("_n"), F.col("_df")) * _weight(F.col("hits"), F.col("length"), F.col("_avg"))).alias(f"_s{number}"))
+        weight = _weight(F.col("hits"), F.col("length"), F.col("_avg"))
+        part = part.select("document_id", (idf(F.col("_n"), F.col("_df")) * weight).alias(f"_s{number}"))
         total = part if total is None else total.join(part, "document_id")
     score = F.col("_s0")
     for number in range(1, len(phrases)):
@@ -109,19 +151,74 @@ def scored_by_postings(index: DataFrame, lengths: DataFrame, documents: DataFram
     return documents.join(total.select("document_id", score.alias("relevance")), "document_id")
 
 
-def search(documents: DataFrame, files: DataFrame, query: str, limit: int = 100, *, snippets: bool = False) -> DataFrame:
+def scored_by_index(index: Index, phrases: list[list[str]]) -> DataFrame:
+    """(document_id, relevance) of the documents that hold every phrase, from the kept index: one scan of
+    the query's terms (pushed down), one aggregate by document, and the frequencies of the phrases as one
+    broadcast row."""
+    words = sorted({w for p in phrases for w in p})
+    if any(not p for p in phrases) or not index.n_docs:
+        return index.lengths.limit(0).select("document_id", F.lit(None).cast("double").alias("relevance"))
+    rows = index.postings.filter(F.col("term").isin(words)).join(index.lengths, ["document_id", "generation"])
+    none = F.array().cast("array<int>")
+
+    def places(field: str, word: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("term") == word, F.col(field))), none)
+
+    # A document has one row for each term, so a maximum is a choice.
+    own = {(f, w): f"_{f}{i}" for f in ("title", "body") for i, w in enumerate(words)}
+    found = rows.groupBy("document_id").agg(F.max("length").alias("_len"), *(places(*key).alias(name) for key, name in own.items()))
+
+    def moved(places: Column, by: int) -> Column:
+        return F.transform(places, lambda p: p - by)
+
+    def hits(phrase: list[str], field: str) -> Column:
+        at = F.col(own[field, phrase[0]])
+        for k, word in enumerate(phrase[1:], 1):
+            at = F.array_intersect(at, moved(F.col(own[field, word]), k))
+        return F.size(at)
+
+    counted = found.select("document_id", "_len", *((TITLE_WEIGHT * hits(p, "title") + BODY_WEIGHT * hits(p, "body")).alias(f"_h{i}") for i, p in enumerate(phrases)))
+    frequencies = counted.agg(*(F.count_if(F.col(f"_h{i}") > 0).alias(f"_df{i}") for i in range(len(phrases))))
+    average = F.lit(index.n_tokens / index.n_docs)
+    score = None
+    every = F.lit(True)
+    for i in range(len(phrases)):
+        part = idf(F.lit(index.n_docs), F.col(f"_df{i}")) * _weight(F.col(f"_h{i}"), F.col("_len"), average)
+        score, every = part if score is None else score + part, every & (F.col(f"_h{i}") > 0)
+    return counted.filter(every).join(F.broadcast(frequencies), how="cross").select("document_id", score.alias("relevance"))
+
+
+def search(documents: DataFrame, files: DataFrame, query: str, limit: int = 100, *, snippets: bool = False, index: Index | None = None, decimals: int | None = None) -> DataFrame:
     """Results of a query: relevance falling, then document_id (by bytes). Queries of filters only
-    have null relevance and go by document_id. Bodies are never returned."""
+    have null relevance and go by document_id. Bodies are never returned.
+
+    With an ``index`` texts are not read, but for the snippets of the results. ``decimals`` rounds the
+    relevance before results are ordered. A result of a foreign source kind fails the query."""
     check_limit(limit)
     parsed = parse_query(query)
-    found = scored(documents, phrase_lists(parsed)) if parsed.phrases else documents.withColumn("relevance", F.lit(None).cast("double"))
+    phrases = phrase_lists(parsed)
+    wanted = ["document_id", "source_kind", "source_path_display", "title", *(["body"] if snippets else [])]
+    wanted = [c for c in wanted if c in documents.columns]
+    if not parsed.phrases:
+        found = documents.select(wanted).withColumn("relevance", F.lit(None).cast("double"))
+    elif index is None:
+        found = scored(documents, phrases).select(*wanted, "relevance")
+    else:
+        found = scored_by_index(index, phrases)
+    if decimals is not None:
+        found = found.withColumn("relevance", F.round("relevance", decimals))
+    order = [F.col("relevance").desc(), "document_id"] if parsed.phrases else [F.col("document_id")]
+    if not (parsed.values or parsed.ranges):
+        # No filter looks at metadata, so only the results themselves are joined with them.
+        found = found.orderBy(*order).limit(limit)
+    if index is not None and parsed.phrases:
+        found = (documents.select(wanted).join(F.broadcast(found), "document_id") if not (parsed.values or parsed.ranges) else documents.select(wanted).join(found, "document_id"))
     kept = apply_filters(with_metadata(found, files), parsed)
-    order = [F.col("relevance").desc(), "document_id"] if parsed.phrases else ["document_id"]
     # The body goes through the top-k only where a snippet is wanted.
-    top = kept.select(*RESULT, *(["body"] if snippets else [])).orderBy(*order).limit(limit)
+    checked = [F.when(F.col("source_kind") == "local_file", F.col("document_id")).otherwise(F.raise_error(F.lit("search_result_source_unsupported"))).alias("document_id")] if "source_kind" in wanted else ["document_id"]
+    top = kept.orderBy(*order).limit(limit).select(*checked, *RESULT[1:], *(["body"] if snippets else []))
     if not snippets:
         return top
-    phrases = phrase_lists(parsed)
     return top.withColumn("snippet", best_snippet(phrases)("title", "body") if phrases else F.lit(None).cast("string")).drop("body")
 
 

@@ -44,18 +44,35 @@ def check_query_vector(vector: list[float], dimensions: int) -> None:
         raise SearchError("search_embedding_invalid")
 
 
-def nearest(embeddings: DataFrame, vector: list[float], limit: int, *, id_column: str = "document_id", vector_column: str = "vector") -> DataFrame:
+def nearest(embeddings: DataFrame, vector: list[float], limit: int, *, id_column: str = "document_id", vector_column: str = "vector", decimals: int | None = None) -> DataFrame:
     """Exact search by cosine: similarity falling, then id; unusable vectors are left out. The plan is
-    one scan with a bounded heap a task (TakeOrderedAndProject)."""
+    one scan with a bounded heap a task (TakeOrderedAndProject). ``decimals`` rounds first."""
     query = F.array(*[F.lit(float(x)) for x in vector])
     good = embeddings.filter(usable(F.col(vector_column), len(vector)))
-    return good.withColumn("similarity", cosine(F.col(vector_column), query)).orderBy(F.col("similarity").desc(), id_column).limit(limit)
+    similarity = cosine(F.col(vector_column), query)
+    return good.withColumn("similarity", similarity if decimals is None else F.round(similarity, decimals)).orderBy(F.col("similarity").desc(), id_column).limit(limit)
 
 
-def semantic_candidates(documents: DataFrame, files: DataFrame, embeddings: DataFrame, parsed: ParsedQuery, vector: list[float], limit: int) -> DataFrame:
-    """Nearest documents among those that meet the filters; there is no least similarity."""
-    kept = apply_filters(with_metadata(documents.drop("body"), files), parsed)
-    return nearest(kept.join(embeddings.select("document_id", "vector"), "document_id"), vector, limit).drop("vector")
+def semantic_candidates(documents: DataFrame, files: DataFrame, embeddings: DataFrame, parsed: ParsedQuery, vector: list[float], limit: int, decimals: int | None = None) -> DataFrame:
+    """(document_id, similarity): nearest documents among those that meet the filters; there is no least
+    similarity. Without filters no metadata are read."""
+    own = documents.select("document_id", "source_path_display")
+    if parsed.values or parsed.ranges:
+        own = apply_filters(with_metadata(own, files), parsed)
+    held = embeddings.select("document_id", "vector").join(own.select("document_id"), "document_id", "left_semi")
+    return nearest(held, vector, limit, decimals=decimals).drop("vector")
+
+
+def get_embedding(embeddings: DataFrame, document_id: str, model_id: str, model_version: str) -> list[float] | None:
+    """The vector of a document in a model, checked against its row's dimensions."""
+    own = (F.col("document_id") == document_id) & (F.col("model_id") == model_id) & (F.col("model_version") == model_version)
+    row = embeddings.filter(own).select("dimensions", "vector").first()
+    if row is None:
+        return None
+    vector = [float(x) for x in row["vector"] or []]
+    if len(vector) != row["dimensions"] or not all(map(math.isfinite, vector)) or sum(x * x for x in vector) <= EPSILON:
+        raise EmbeddingError("embedding_vector_invalid")
+    return vector
 
 
 def embed(documents: DataFrame, model_id: str, model_version: str, provider: Provider = embed_documents) -> tuple[DataFrame, DataFrame]:
@@ -86,6 +103,21 @@ def upsert_embeddings(stored: DataFrame, new: DataFrame, documents: DataFrame, d
     return stored.join(new, key, "left_anti").unionByName(new)
 
 
+def renewed(stored: DataFrame, documents: DataFrame, model_id: str, model_version: str, provider: Provider = embed_documents) -> tuple[DataFrame, DataFrame]:
+    """(embeddings, failures) of all documents in a model: a vector whose fingerprint is still that of its
+    document's title and body is kept, only the others are made anew."""
+    own = stored.filter((F.col("model_id") == model_id) & (F.col("model_version") == model_version))
+    prints = documents.select("document_id", fingerprint("title", "body").alias("source_fingerprint"))
+    kept = own.join(prints, ["document_id", "source_fingerprint"], "left_semi").select(stored.columns)
+    made, failed = embed(documents.join(kept.select("document_id"), "document_id", "left_anti"), model_id, model_version, provider)
+    return kept.unionByName(made), failed
+
+
+def embedding_summary(documents: DataFrame, made: DataFrame, failed: DataFrame) -> dict[str, int]:
+    """Counters of a job: documents received, embedded and failed."""
+    return {"documents_received": documents.count(), "embeddings_written": made.count(), "documents_failed": failed.count()}
+
+
 def guarded(embeddings: DataFrame, documents: DataFrame) -> DataFrame:
     """Embeddings of documents that exist."""
     return embeddings.join(documents.select("document_id"), "document_id", "left_semi")

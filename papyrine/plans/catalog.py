@@ -11,6 +11,8 @@ from papyrine.functions import text as X
 from papyrine.functions import vectors as V
 from papyrine.operators import changes, hybrid, lexical, semantic, store
 from papyrine.plans.query import candidate_limit, parse_query
+from papyrine.schema import LENGTHS, POSTINGS
+from papyrine.session import shared_folder
 from papyrine.sources.library import SQL, load
 from papyrine.sources.parsers import html_text, json_depths
 from papyrine.streaming import events as E
@@ -67,8 +69,22 @@ def filter_sql(where: str) -> str:
     return f"SELECT document_id FROM ({META}) WHERE {where}"
 
 
-def rounded(df: DataFrame, **columns: Column) -> DataFrame:
-    return df.withColumns(columns)
+_INDEXES: dict[tuple[str, str], lexical.Index] = {}
+
+
+def kept_index(t: Tables) -> lexical.Index:
+    """The full-text index of a data set, built and stored by the first query that needs it and kept for the
+    session, as a Library keeps its own with its tables."""
+    spark, docs = t["spark"], t["docs"]
+    key = (spark.sparkContext.applicationId, t["dir"])
+    if key not in _INDEXES:
+        folder = shared_folder(spark, "index")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        lexical.index_postings(docs, 0, parts).write.parquet(f"{folder}/postings")
+        lexical.index_lengths(docs, 0).write.parquet(f"{folder}/lengths")
+        lengths = spark.read.schema(LENGTHS).parquet(f"{folder}/lengths")
+        _INDEXES[key] = lexical.Index(spark.read.schema(POSTINGS).parquet(f"{folder}/postings"), lengths, **lexical.corpus_size(lengths))
+    return _INDEXES[key]
 
 
 # -- filters
@@ -123,21 +139,14 @@ def _(t):
     return lexical.postings(t["docs"])
 
 
-def _bm25(name: str, query: str) -> None:
+def _bm25(name: str, query: str, kept: bool = True) -> None:
     parsed = parse_query(query)
     phrases = lexical.phrase_lists(parsed)
     where = "extension = 'md'" if parsed.values else "TRUE"
     sql = f"SELECT m.*, s.relevance FROM scored s JOIN ({META}) m USING (document_id) WHERE {where} ORDER BY s.relevance DESC, document_id LIMIT {LIMIT}"
 
-    def run(t: Tables) -> DataFrame:
-        # Ties go by id after rounding, so that both engines cut the same rows.
-        from papyrine.plans.filters import apply_filters, with_metadata
-
-        found = lexical.scored(t["docs"], phrases).withColumn("relevance", F.round("relevance", 6))
-        kept = apply_filters(with_metadata(found.drop("body"), t["files"]), parsed)
-        return kept.select(*lexical.RESULT).orderBy(F.col("relevance").desc(), "document_id").limit(LIMIT)
-
-    register(name, sql, **bm25_sql(phrases))(run)
+    # Ties go by id after rounding, so that both engines cut the same rows.
+    register(name, sql, **bm25_sql(phrases))(lambda t: lexical.search(t["docs"], t["files"], query, LIMIT, index=kept_index(t) if kept else None, decimals=6))
 
 
 _bm25("bm25_single", "worthless")
@@ -145,6 +154,7 @@ _bm25("bm25_multi", "the with")
 _bm25("bm25_phrase", '"of the"')
 _bm25("bm25_filtered", "worthless ext:md")
 _bm25("search_topk", 'the "of the" and-or')
+_bm25("bm25_scan", "the with", kept=False)
 
 
 @register("phrase_match", f"SELECT document_id, {hits_sql('tt', ['doc', 'en'])} + 0 AS title_hits, {hits_sql('bt', ['of', 'the'])} AS body_hits FROM tok WHERE {hits_sql('bt', ['of', 'the'])} > 0", tok=TOK)
@@ -160,9 +170,23 @@ def _(t):
 
 @register("search_by_postings", "SELECT document_id, relevance FROM scored", **bm25_sql([["worthless"], ["of", "the"]]))
 def _(t):
-    docs = t["docs"]
-    lengths = lexical.tokenized(docs).select("document_id", (F.size("title_tokens") + F.size("body_tokens")).alias("length"))
-    return lexical.scored_by_postings(lexical.postings(docs), lengths, docs.select("document_id"), [["worthless"], ["of", "the"]]).select("document_id", F.round("relevance", 6).alias("relevance"))
+    return lexical.scored_by_index(kept_index(t), [["worthless"], ["of", "the"]]).select("document_id", F.round("relevance", 6).alias("relevance"))
+
+
+AFTER = {"docs": SQL["docs"] + " WHERE doc_id % 7 <> 0"}
+
+
+@register("index_maintenance", "SELECT document_id, relevance FROM scored", **(AFTER | bm25_sql([["worthless"], ["of", "the"]])))
+def _(t):
+    """An index of other texts, brought up to date by a segment: a fifth of the documents written anew, a
+    seventh removed."""
+    docs, number = t["docs"], F.substring("document_id", 5, 10).cast("long")
+    stale = docs.withColumn("body", F.when(number % 5 == 0, "worthless of the past").otherwise(F.col("body")))
+    written, removed = docs.filter((number % 5 == 0) & (number % 7 != 0)), docs.filter(number % 7 == 0)
+    lengths = lexical.changed_lengths(lexical.index_lengths(stale, 0), written, removed, 1)
+    postings = lexical.index_postings(stale, 0, 8).unionByName(lexical.index_postings(written, 1, 8))
+    index = lexical.Index(postings, lengths, **lexical.corpus_size(lengths))
+    return lexical.scored_by_index(index, [["worthless"], ["of", "the"]]).select("document_id", F.round("relevance", 6).alias("relevance"))
 
 
 # -- lookups
@@ -174,7 +198,7 @@ def _(t):
 
 @register("get_document", "SELECT document_id, title, length(body) AS n FROM docs WHERE document_id = 'doc:0000000042'")
 def _(t):
-    return store.get_by_key(t["docs"], "document_id", "doc:0000000042").select("document_id", "title", F.length("body").cast("long").alias("n"))
+    return store.get_document(t["docs"], "doc:0000000042").select("document_id", "title", F.length("body").cast("long").alias("n"))
 
 
 @register("list_for_path", "SELECT document_id FROM docs WHERE source_path_display = (SELECT source_path_display FROM docs WHERE document_id = 'doc:0000000007') ORDER BY document_id")
@@ -238,7 +262,7 @@ def _(t):
 # -- hybrid
 
 def _hybrid_parts(t: Tables) -> tuple[DataFrame, DataFrame]:
-    found = lexical.scored(t["docs"], [["the"], ["with"]]).select("document_id", F.round("relevance", 6).alias("relevance"))
+    found = lexical.scored_by_index(kept_index(t), [["the"], ["with"]]).select("document_id", F.round("relevance", 6).alias("relevance"))
     top = found.orderBy(F.col("relevance").desc(), "document_id").limit(candidate_limit(20))
     left = hybrid.ranked(top, "lexical_rank", F.col("relevance").desc(), "document_id")
     ids = _vectors(t).select(F.concat(F.lit("doc:"), F.lpad(F.col("vec_id").cast("string"), 10, "0")).alias("document_id"), "v")
@@ -259,19 +283,25 @@ FUSED = "SELECT coalesce(l.document_id, s.document_id) AS document_id, CAST(lexi
 
 @register("rrf_fusion", f"SELECT * FROM ({FUSED}) ORDER BY fusion_score DESC, document_id LIMIT 20", **HYBRID)
 def _(t):
-    return hybrid.fuse(*_hybrid_parts(t), 20).withColumn("fusion_score", F.round("fusion_score", 9))
+    left, right = _hybrid_parts(t)
+    return hybrid.fuse(left.drop("relevance"), right, 20).withColumn("fusion_score", F.round("fusion_score", 9))
 
 
 @register("hybrid_search", f"SELECT document_id, title, file_name, lexical_rank, semantic_rank, fusion_score FROM (SELECT * FROM ({FUSED}) ORDER BY fusion_score DESC, document_id LIMIT 20) JOIN ({META}) USING (document_id)", **HYBRID)
 def _(t):
-    fused = hybrid.fuse(*_hybrid_parts(t), 20).withColumn("fusion_score", F.round("fusion_score", 9))
-    return fused.join(hybrid.search_metadata(t["docs"], t["files"]), "document_id").select("document_id", "title", "file_name", "lexical_rank", "semantic_rank", "fusion_score")
+    models = t["spark"].createDataFrame([("test", "1", "test", 64)], MODELS_DDL)
+    ids = _vectors(t).select(F.concat(F.lit("doc:"), F.lpad(F.col("vec_id").cast("string"), 10, "0")).alias("document_id"), F.col("v").alias("vector"))
+    found = hybrid.hybrid_search(t["docs"], t["files"], ids, models, "the with", _first(t), "test", "1", 20, index=kept_index(t), decimals=6)
+    return found.select("document_id", "title", "file_name", "lexical_rank", "semantic_rank", F.round("fusion_score", 9).alias("fusion_score"))
+
+
+MODELS_DDL = "model_id string, model_version string, provider_kind string, dimensions long"
 
 
 @register("hybrid_fallback", f"SELECT document_id, lexical_rank, round(1.0 / (60 + lexical_rank), 9) AS fusion_score FROM (SELECT document_id, CAST(row_number() OVER (ORDER BY document_id) AS INTEGER) AS lexical_rank FROM ({META}) WHERE extension = 'md' ORDER BY document_id LIMIT 100) ORDER BY lexical_rank LIMIT 20")
 def _(t):
     spark = t["spark"]
-    models = spark.createDataFrame([], "model_id string, model_version string, provider_kind string, dimensions long")
+    models = spark.createDataFrame([], MODELS_DDL)
     found = hybrid.hybrid_search(t["docs"], t["files"], spark.createDataFrame([], "document_id string, vector array<float>"), models, "ext:md", None, "m", "1", 20)
     return found.select("document_id", "lexical_rank", F.round("fusion_score", 9).alias("fusion_score"))
 
@@ -280,7 +310,7 @@ def _(t):
 
 @register("snapshot_diff", "SELECT coalesce(p.path, s.path) AS path, CASE WHEN p.path IS NULL THEN 'added' WHEN s.path IS NULL THEN 'removed' WHEN p.size_bytes = s.size_bytes AND coalesce(p.modified_at = s.modified_at, FALSE) THEN 'unchanged' ELSE 'modified' END AS change FROM previous p FULL OUTER JOIN snapshot s ON p.path = s.path")
 def _(t):
-    return changes.snapshot_diff(t["previous"], t["snapshot"])
+    return changes.ordered_changes(t["previous"], t["snapshot"])
 
 
 @register("path_scope", "SELECT path_display FROM files WHERE path_display = '/library/src1' OR starts_with(path_display, '/library/src1/')")
@@ -374,33 +404,171 @@ def _(t):
     return t["spark"].sql(HEALTH).withColumn("state", changes.index_health())
 
 
-# -- rows only: no SQL for these
+# -- documents, embeddings and summaries
 
-@register("snippet")
+def _whole(df: DataFrame) -> DataFrame:
+    """Documents with the columns of a location."""
+    none = F.lit(None).cast("long")
+    return df.withColumns({"line_start": none, "line_end": none})
+
+
+def _own(t: Tables, divisor: int) -> DataFrame:
+    """New documents for every so many rows of the library."""
+    own = t["lib"].filter(F.col("doc_id") % divisor == 0)
+    return _whole(own.select("document_id", F.lit("local_file").alias("source_kind"), F.col("path_display").alias("source_path_display"), F.upper("file_name").alias("title"), "body"))
+
+
+@register("mutation_batch_documents", "SELECT document_id, file_name AS title FROM lib WHERE doc_id % 9 <> 0 AND source <> 'src4' UNION ALL SELECT document_id, upper(file_name) FROM lib WHERE doc_id % 9 = 0")
 def _(t):
-    return lexical.search(t["docs"], t["files"], "worthless", LIMIT, snippets=True).select("document_id", "snippet")
+    files = t["lib"].filter("doc_id % 9 = 0").select(t["files"].columns)
+    removed = t["spark"].sql("SELECT '/library/src4/' AS path")
+    return store.apply_mutations(t["files"], _whole(t["docs"]), files, _own(t, 9), removed)[1].select("document_id", "title")
 
 
-@register("html_text")
+@register("upsert_documents", "SELECT document_id, CASE WHEN doc_id % 6 = 0 THEN upper(file_name) ELSE file_name END AS title FROM lib")
 def _(t):
-    return t["spark"].read.parquet(f"{t['dir']}/pages.parquet").select("page_id", html_text("html").alias("text"))
+    return store.upsert_documents(_whole(t["docs"]), _own(t, 6)).select("document_id", "title")
 
 
-@register("document_id_fnv")
+@register("delete_document", "SELECT document_id FROM docs WHERE document_id <> 'doc:0000000042'")
+def _(t):
+    return store.delete_document(t["docs"], "doc:0000000042")[0].select("document_id")
+
+
+@register("upsert_summary", "SELECT count(*) AS received, count(*) FILTER (doc_id % 10 <> 3) AS written, count(*) FILTER (doc_id % 10 = 3) AS failed, CAST(ceil(count(*) FILTER (doc_id % 10 <> 3) / 128.0) AS BIGINT) AS batches FROM lib")
+def _(t):
+    new = t["lib"].withColumn("size_bytes", F.when(F.col("doc_id") % 10 == 3, -1).otherwise(F.col("size_bytes")))
+    return store.upsert_files(t["files"], new.select(t["files"].columns), 128)[1]
+
+
+def _stored_vectors(t: Tables) -> DataFrame:
+    ids = F.concat(F.lit("doc:"), F.lpad(F.col("vec_id").cast("string"), 10, "0")).alias("document_id")
+    vectors = _vectors(t).select(ids, F.lit("test").alias("model_id"), F.lit("1").alias("model_version"), F.lit(64).cast("long").alias("dimensions"), F.unhex(F.lit("00" * 16)).alias("source_fingerprint"), F.col("v").cast("array<float>").alias("vector"))
+    return semantic.guarded(vectors, t["docs"])
+
+
+IDS = "SELECT concat('doc:', lpad(CAST(vec_id AS VARCHAR), 10, '0')) AS document_id, vec_id, embedding FROM embeddings WHERE concat('doc:', lpad(CAST(vec_id AS VARCHAR), 10, '0')) IN (SELECT document_id FROM docs)"
+
+
+@register("get_embedding", "SELECT CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, unnest(embedding) AS value FROM ids WHERE document_id = 'doc:0000000007'", ids=IDS)
+def _(t):
+    found = semantic.get_embedding(_stored_vectors(t), "doc:0000000007", "test", "1") or []
+    return t["spark"].createDataFrame(list(enumerate(found)), "pos int, value float")
+
+
+@register("embedding_upsert", "SELECT document_id, CASE WHEN vec_id % 4 = 0 THEN -embedding[1] ELSE embedding[1] END AS first FROM ids", ids=IDS)
+def _(t):
+    held = _stored_vectors(t)
+    new = held.filter(F.substring("document_id", 5, 10).cast("long") % 4 == 0).withColumn("vector", F.transform("vector", lambda x: -x))
+    return semantic.upsert_embeddings(held, new, t["docs"], 64).select("document_id", F.get("vector", 0).alias("first"))
+
+
+@register("embedding_invalidate", "SELECT document_id FROM ids WHERE vec_id % 3 <> 0", ids=IDS)
+def _(t):
+    touched = t["docs"].filter(F.substring("document_id", 5, 10).cast("long") % 3 == 0)
+    return semantic.invalidate(_stored_vectors(t), touched).select("document_id")
+
+
+@register("embedding_refresh", "SELECT document_id, CAST(256 AS BIGINT) AS dimensions FROM docs WHERE starts_with(source_path_display, '/library/src2/')")
+def _(t):
+    paths = t["docs"].filter(F.col("source_path_display").startswith("/library/src2/")).select("source_path_display")
+    return semantic.refresh(t["docs"], paths.unionByName(paths), "local-feature-hash", "1")[0].select("document_id", "dimensions")
+
+
+#: Bytes of a text as numbers, and the hash of a list of them from a start, modulo 2 ** 64.
+BYTES = "list_transform(regexp_extract_all(hex(encode({c})), '..'), lambda h: CAST('0x' || h AS HUGEINT))"
+FNV = "list_reduce(list_prepend(CAST({start} AS HUGEINT), {b}), lambda h, x: (xor(h, x) * 1099511628211) % 18446744073709551616)"
+LITTLE = "array_to_string(list_reverse(regexp_extract_all(lpad(hex({h}), 16, '0'), '..')), '')"
+
+
+def _fnv(column: str, start: str) -> str:
+    return FNV.format(start=start, b=BYTES.format(c=column))
+
+
+def _print(seed: int) -> str:
+    step = f"({_fnv('title', str(seed))} * 1099511628211) % 18446744073709551616"
+    return LITTLE.format(h=_fnv("body", step))
+
+
+@register("document_id_fnv", f"SELECT path_display, concat('file:', lower(lpad(hex({_fnv('path_display', str(V.FNV_SEED))}), 16, '0'))) AS document_id FROM files")
 def _(t):
     return t["files"].select("path_display", V.path_document_id(F.col("path_display")).alias("document_id"))
 
 
-@register("fingerprint")
+@register("fingerprint", f"SELECT document_id, concat({_print(V.FNV_SEED)}, {_print(V.SECOND_SEED)}) AS fingerprint FROM docs")
 def _(t):
     return t["docs"].select("document_id", F.hex(V.fingerprint("title", "body")).alias("fingerprint"))
 
 
-@register("json_depth")
+OPENED = "length(regexp_replace(substr(props, 1, i), '[^{\\[]', '', 'g')) - length(regexp_replace(substr(props, 1, i), '[^}\\]]', '', 'g'))"
+
+
+@register("json_depth", f"SELECT event_id, CAST(list_max(list_transform(range(1, length(props) + 1), lambda i: {OPENED})) AS INTEGER) AS depth FROM events")
 def _(t):
     return t["spark"].read.parquet(f"{t['dir']}/events.parquet").select("event_id", json_depths("props").alias("depth"))
 
 
+#: The engine's vectors over title and body: words and runs of three characters, hashed byte by byte.
+GRAMS = """SELECT document_id, unnest(list_concat(list_transform(w, lambda x: {{'s': x, 'wt': {wt}}}),
+ flatten(list_transform(list_filter(w, lambda x: length(x) >= 3), lambda x: list_transform(range(1, length(x) - 1), lambda i: {{'s': substr(x, i, 3), 'wt': {wt} / 2}}))))) AS f
+ FROM (SELECT document_id, regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+') AS w FROM docs)"""
+COUNTED = f"SELECT document_id, f.s AS s, sum(f.wt) AS wt FROM ({GRAMS.format(c='title', wt='2.0')} UNION ALL {GRAMS.format(c='body', wt='1.0')}) GROUP BY 1, 2"
+DISTINCT = f"SELECT s, list_reduce(list_prepend(37, b), lambda h, x: (xor(h, x) * 179) & 255) AS bucket, list_reduce(list_prepend(1, list_transform(b, lambda x: x & 1)), lambda p, x: xor(p, x)) AS parity FROM (SELECT s, list_transform({BYTES.format(c='s')}, lambda x: CAST(x AS BIGINT)) AS b FROM (SELECT DISTINCT s FROM counted))"
+SUMMED = "SELECT document_id, bucket, sum(CASE WHEN parity = 0 THEN wt ELSE -wt END) AS v FROM counted JOIN distinct_grams USING (s) GROUP BY 1, 2"
+
+
+@register("embedding_weights", "SELECT document_id, CAST(bucket AS INTEGER) AS bucket, CAST(v / sqrt(sum(v * v) OVER (PARTITION BY document_id)) AS FLOAT) AS weight FROM summed WHERE v <> 0", counted=COUNTED, distinct_grams=DISTINCT, summed=SUMMED)
+def _(t):
+    made = semantic.embed(t["docs"], "local-feature-hash", "1")[0]
+    return made.select("document_id", F.posexplode("vector").alias("bucket", "weight")).filter("weight <> 0")
+
+
+@register("out_of_root_events", "SELECT count(*) FILTER (path IS NULL OR seq % 4 = 0) AS dropped, count(*) FILTER (path IS NOT NULL AND seq % 4 <> 0) AS kept FROM (SELECT seq, CASE WHEN seq % 9 = 0 THEN NULL ELSE path END AS path FROM file_events)")
+def _(t):
+    lost = F.when(F.col("seq") % 4 == 0, F.concat(F.lit("/else"), "path")).otherwise(F.col("path"))
+    raw = t["file_events"].withColumn("path", F.when(F.col("seq") % 9 == 0, F.lit(None)).otherwise(lost))
+    normal = E.normalise(raw)
+    return normal.agg(F.count_if(E.is_outside()).alias("dropped"), F.count_if(~E.is_outside()).alias("kept"))
+
+
+OPERATED = "SELECT root, seq, ts, path, CASE kind WHEN 'removed' THEN 'remove' ELSE 'upsert' END AS op FROM file_events"
+SESSIONS = "SELECT *, sum(fresh) OVER (PARTITION BY root ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(running) OVER (PARTITION BY root ORDER BY seq) >= INTERVAL 1 HOUR THEN 1 ELSE 0 END AS fresh FROM (SELECT *, max(ts) OVER (PARTITION BY root ORDER BY seq ROWS UNBOUNDED PRECEDING) AS running FROM operated))"
+
+
+@register("coalesced_batches", "SELECT root, CAST(s AS BIGINT) AS number, path, arg_max(op, seq) AS op FROM sess GROUP BY root, s, path", operated=OPERATED, sess=SESSIONS)
+def _(t):
+    return E.coalesce(E.operations(E.pair_renames(E.normalise(t["file_events"]))), "1 hour", 1 << 30).select("root", "number", "path", "op")
+
+
+@register("flushed_batches")
+def _(t):
+    paired = E.pair_renames(E.normalise(t["file_events"].withColumn("root", F.lit("/watch"))))
+    return E.coalesce(E.operations(paired), "30 days")
+
+
+@register(
+    "retrieval_quality",
+    "SELECT count(*) AS queries, round(avg(recall), 9) AS macro_recall, count(*) FILTER (top1) AS top1_hits FROM (SELECT query, CAST(count(*) FILTER (rank <= 40) AS DOUBLE) / count(*) AS recall, bool_or(rank = 1) AS top1 FROM (SELECT lang AS query, document_id FROM lib WHERE doc_id % 20 = 0) g LEFT JOIN (SELECT lang AS query, document_id, row_number() OVER (PARTITION BY lang ORDER BY size_bytes DESC, document_id) AS rank FROM lib) r USING (query, document_id) GROUP BY query)",
+)
+def _(t):
+    relevant = t["lib"].filter("doc_id % 20 = 0").select(F.col("lang").alias("query"), "document_id")
+    order = Window.partitionBy("lang").orderBy(F.col("size_bytes").desc(), "document_id")
+    results = t["lib"].select(F.col("lang").alias("query"), "document_id", F.row_number().over(order).alias("rank"))
+    return changes.retrieval_quality(results, relevant, 40).withColumn("macro_recall", F.round("macro_recall", 9))
+
+
+# -- rows only: no SQL for these
+
+@register("snippet")
+def _(t):
+    return lexical.search(t["docs"], t["files"], "worthless", LIMIT, snippets=True).select("document_id", "snippet")
+
+
+@register("html_text")
+def _(t):
+    return t["spark"].read.parquet(f"{t['dir']}/pages.parquet").select("page_id", html_text("html").alias("text"))
+
+
 @register("document_embeddings")
 def _(t):
     return semantic.embed(t["docs"], "local-feature-hash", "1")[0].select("document_id", "dimensions", "vector")

@@ -26,8 +26,14 @@ FILES = _struct(("path_key", B, False), ("path_display", S, False), ("file_name"
 DOCUMENTS = _struct(("document_id", S, False), ("source_kind", S, False), ("source_path_key", B, False), ("source_path_display", S, False), ("title", S, False), ("body", S, False), ("line_start", L, True), ("line_end", L, True))
 MODELS = _struct(("model_id", S, False), ("model_version", S, False), ("provider_kind", S, False), ("dimensions", L, False))
 EMBEDDINGS = _struct(("document_id", S, False), ("model_id", S, False), ("model_version", S, False), ("dimensions", L, False), ("source_fingerprint", B, False), ("vector", T.ArrayType(T.FloatType(), False), False))
-POSTINGS = _struct(("term", S, False), ("document_id", S, False), ("field", S, False), ("pos", T.IntegerType(), False))
+POSITIONS = T.ArrayType(T.IntegerType(), False)
+#: The kept full-text index: a term's places in a document, and each document's length. A posting counts
+#: only if its generation is the document's own.
+POSTINGS = _struct(("term", S, False), ("document_id", S, False), ("generation", L, False), ("title", POSITIONS, False), ("body", POSITIONS, False))
+LENGTHS = _struct(("document_id", S, False), ("length", L, False), ("generation", L, False))
 EVENTS = _struct(("seq", L, False), ("ts", T.TimestampType(), False), ("kind", S, False), ("root", S, False), ("path", S, True), ("path_to", S, True), ("is_dir", T.BooleanType(), True))
+#: The tables of a store.
+TABLES = {"files": FILES, "documents": DOCUMENTS, "postings": POSTINGS, "lengths": LENGTHS, "models": MODELS, "embeddings": EMBEDDINGS}
 
 #: File types by extension.
 FILE_TYPES = {

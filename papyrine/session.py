@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -13,6 +15,17 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder that the driver and all executors see, below spark.checkpoint.dir; a temporary one only
+    where that is unset and everything runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/papyrine-kept"
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once per application."""
     context = spark.sparkContext

@@ -1,8 +1,10 @@
-"""File events: normalisation, rename pairing and debounced coalescing, batch and streaming."""
+"""File events: normalisation, rename pairing and debounced batches, for finite sets and streams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,9 +13,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from papyrine.functions.text import in_scope
 
-#: Quiet time that closes a batch, and the most paths of a batch.
-DEBOUNCE, MOST_PATHS = "250 milliseconds", 128
+#: Quiet time that closes a batch (also in milliseconds), and the most paths of a batch.
+DEBOUNCE, DEBOUNCE_MS, MOST_PATHS = "250 milliseconds", 250, 128
 NORMAL = "seq long, ts timestamp, root string, kind string, path string, path_to string, is_dir boolean"
+BATCH = "root string, number long, start timestamp, end timestamp, path string, op string"
 
 
 def normalise(raw: DataFrame) -> DataFrame:
@@ -25,9 +28,20 @@ def normalise(raw: DataFrame) -> DataFrame:
     return raw.select("seq", "ts", "root", mapped.alias("kind"), "path", F.col("is_dir") if "is_dir" in raw.columns else F.lit(None).cast("boolean").alias("is_dir"))
 
 
+def is_outside():
+    """Whether an event has an empty path or one outside its root (a rescan has neither)."""
+    lost = (F.coalesce("path", F.lit("")) == "") | ~in_scope(F.col("path"), F.col("root"))
+    return (F.col("kind") != "rescan_required") & lost
+
+
 def outside(events: DataFrame) -> DataFrame:
-    """Events with an empty path or one outside their root; these are dropped and counted."""
-    return events.filter((F.col("kind") != "rescan_required") & ((F.coalesce("path", F.lit("")) == "") | ~in_scope(F.col("path"), F.col("root"))))
+    """Events that are dropped and counted."""
+    return events.filter(is_outside())
+
+
+def inside(events: DataFrame) -> DataFrame:
+    """The events that go on."""
+    return events.filter(~is_outside())
 
 
 def pair_renames(events: DataFrame) -> DataFrame:
@@ -46,41 +60,51 @@ def pair_renames(events: DataFrame) -> DataFrame:
     return out.filter("kind is not null")
 
 
-def _pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = state.get if state.exists else None
-    out: list[tuple] = []
+@dataclass
+class Pairing:
+    """One root's waiting rename: (seq, microseconds, path)."""
 
-    def let_go(kind: str = "removed") -> None:
-        nonlocal held
-        if held:
-            out.append((held[0], pd.Timestamp(held[1], unit="us"), key[0], kind, held[2], None, False))
-        held = None
+    held: tuple | None = None
 
-    if state.hasTimedOut:
-        let_go()
-        state.remove()
-    rows = pd.concat(list(frames)) if not state.hasTimedOut else pd.DataFrame()
-    for e in rows.sort_values("seq").itertuples() if len(rows) else ():
-        ts = pd.Timestamp(e.ts)
-        if e.kind == "rename_from":
-            let_go()
-            held = (int(e.seq), int(ts.value // 1000), e.path)
-        elif e.kind == "rename_to":
-            out.append((e.seq, ts, key[0], "renamed" if held else "created", held[2] if held else e.path, e.path if held else None, e.is_dir))
-            held = None
-        elif e.kind == "rescan_required":
-            held = None
-            out.append((e.seq, ts, key[0], e.kind, e.path, None, e.is_dir))
-        else:
-            let_go()
-            if e.kind != "other":
-                out.append((e.seq, ts, key[0], e.kind, e.path, None, e.is_dir))
-    if held:
-        state.update(held)
+    def let_go(self) -> list[tuple]:
+        """What a waiting rename becomes when nothing follows it."""
+        held, self.held = self.held, None
+        return [(held[0], held[1], "removed", held[2], None, False)] if held else []
+
+    def feed(self, seq: int, us: int, kind: str, path: str, is_dir: bool | None) -> list[tuple]:
+        """Events (seq, us, kind, path, path_to, is_dir) that the next one gives."""
+        if kind == "rename_from":
+            out, self.held = self.let_go(), (seq, us, path)
+            return out
+        if kind == "rename_to":
+            held, self.held = self.held, None
+            return [(seq, us, "renamed" if held else "created", held[2] if held else path, path if held else None, is_dir)]
+        if kind == "rescan_required":
+            self.held = None
+            return [(seq, us, kind, path, None, is_dir)]
+        out = self.let_go()
+        return out if kind == "other" else [*out, (seq, us, kind, path, None, is_dir)]
+
+
+def rows_of(frames: Iterable[pd.DataFrame]) -> Iterator[tuple]:
+    """(seq, us, kind, path, is_dir) of events, by seq."""
+    found = list(frames)
+    rows = pd.concat(found) if found else pd.DataFrame()
+    if len(rows):
+        for e in rows.sort_values("seq").itertuples():
+            yield int(e.seq), int(pd.Timestamp(e.ts).value // 1000), e.kind, e.path, None if pd.isna(e.is_dir) else bool(e.is_dir)
+
+
+def _pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    pairing = Pairing(tuple(state.get) if state.exists else None)
+    out = pairing.let_go() if state.hasTimedOut else [x for e in rows_of(frames) for x in pairing.feed(*e)]
+    if pairing.held:
+        state.update(pairing.held)
         state.setTimeoutDuration(1000)
     elif state.exists:
         state.remove()
-    yield pd.DataFrame(out, columns=["seq", "ts", "root", "kind", "path", "path_to", "is_dir"])
+    rows = [(seq, pd.Timestamp(us, unit="us"), key[0], kind, path, to, is_dir) for seq, us, kind, path, to, is_dir in out]
+    yield pd.DataFrame(rows, columns=["seq", "ts", "root", "kind", "path", "path_to", "is_dir"])
 
 
 def pair_renames_stream(events: DataFrame) -> DataFrame:
@@ -98,22 +122,107 @@ def operations(events: DataFrame) -> DataFrame:
     return events.select("root", "seq", "ts", F.explode(both).alias("o")).select("root", "seq", "ts", "o.path", "o.op")
 
 
-def coalesce(ops: DataFrame, gap: str = DEBOUNCE) -> DataFrame:
-    """Batches of a root closed by a quiet time: (root, start, end, path, op) with the last operation
-    of each path; a rescan stands alone for its batch. Events exactly one gap apart fall in one batch.
-
-    Works on streams with a watermark on ts (a batch is final once the watermark has passed it) and
-    on finite sets alike; ties of seq cannot occur within a root."""
-    last = ops.groupBy("root", F.session_window("ts", gap).alias("w")).agg(F.collect_list(F.struct("seq", "path", "op")).alias("all"), F.max(F.col("op") == "rescan").alias("rescan"))
-    # A batch holds what one root sees between two quiet times, not the stream.
-    by_path = F.when(F.col("rescan"), F.array(F.struct(F.col("root").alias("path"), F.lit("rescan").alias("op")))).otherwise(_last_by_path(F.col("all")))
-    return last.select("root", "w.start", "w.end", F.explode(by_path).alias("o")).select("root", "start", "end", "o.path", "o.op")
-
-
-def _last_by_path(ops):
-    ordered = F.array_sort(ops)
-    latest = F.filter(ordered, lambda x, i: ~F.exists(F.slice(ordered, i + 2, F.size(ordered)), lambda y: y["path"] == x["path"]))
-    return F.transform(latest, lambda x: F.struct(x["path"].alias("path"), x["op"].alias("op")))
+def operations_of(root: str, kind: str, path: str, path_to: str | None, is_dir: bool | None) -> list[tuple[str, str]]:
+    """The same for one paired event."""
+    if kind == "rescan_required" or (is_dir and kind != "removed"):
+        return [(root, "rescan")]
+    if kind == "renamed":
+        return [(path, "remove"), (path_to, "upsert")]
+    return [(path, "remove" if kind == "removed" else "upsert")]
+
+
+@dataclass
+class Batcher:
+    """One root's open batch: the last operation of each path, at most ``most`` paths. A rescan takes the
+    place of everything until the batch is closed by a quiet time."""
+
+    root: str
+    gap_us: int = DEBOUNCE_MS * 1000
+    most: int = MOST_PATHS
+    number: int = 0
+    first: int = 0
+    last: int = 0
+    rescan: bool = False
+    ops: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def open(self) -> bool:
+        return self.rescan or bool(self.ops)
+
+    def flush(self) -> list[tuple]:
+        """Rows (root, number, start, end, path, op) of the batch, by path; it is closed."""
+        ops = {self.root: "rescan"} if self.rescan else self.ops
+        start, end = pd.Timestamp(self.first, unit="us"), pd.Timestamp(self.last, unit="us")
+        out = [(self.root, self.number, start, end, path, ops[path]) for path in sorted(ops)]
+        self.number, self.rescan, self.ops = self.number + bool(out), False, {}
+        return out
+
+    def feed(self, us: int, path: str, op: str) -> list[tuple]:
+        """Rows of the batch that ends before this operation or with it."""
+        out = self.flush() if self.open and us - self.last >= self.gap_us else []
+        if not self.open:
+            self.first = us
+        self.last = max(us, self.last) if self.open else us
+        if op == "rescan":
+            self.rescan, self.ops = True, {}
+        elif not self.rescan:
+            self.ops[path] = op
+        return out + self.flush() if len(self.ops) >= self.most else out
+
+
+def _gap_us(gap: str) -> int:
+    return int(pd.Timedelta(gap).value // 1000)
+
+
+def coalesce(ops: DataFrame, gap: str = DEBOUNCE, most_paths: int = MOST_PATHS) -> DataFrame:
+    """Batches of a finite set of operations: (root, number, start, end, path, op) with the last operation
+    of each path, by path; a batch ends at a quiet time of ``gap`` or at ``most_paths`` paths, and a rescan
+    stands alone for its batch. A root's operations go by seq through one open batch, so a task holds no
+    more than that, however long a root is never quiet."""
+    gap_us = _gap_us(gap)
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: Batcher | None = None
+        for frame in frames:
+            out: list[tuple] = []
+            for e in frame.itertuples():
+                if now is None or e.root != now.root:
+                    out += now.flush() if now else []
+                    now = Batcher(e.root, gap_us, most_paths)
+                out += now.feed(int(pd.Timestamp(e.ts).value // 1000), e.path, e.op)
+            yield pd.DataFrame(out, columns=["root", "number", "start", "end", "path", "op"])
+        if now:
+            yield pd.DataFrame(now.flush(), columns=["root", "number", "start", "end", "path", "op"])
+
+    ordered = ops.select("root", "seq", "ts", "path", "op").repartition("root").sortWithinPartitions("root", "seq", "op")
+    return ordered.mapInPandas(batches, BATCH)
+
+
+def batches_stream(events: DataFrame, gap: str = DEBOUNCE, most_paths: int = MOST_PATHS) -> DataFrame:
+    """Batches of a stream of normalised events, as coalesce gives them: renames are paired and operations
+    gathered in one state for each root (a waiting rename and at most ``most_paths`` operations). Quiet
+    time is measured between events, and by the clock where no event follows."""
+    gap_us = _gap_us(gap)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = json.loads(state.get[0]) if state.exists else {}
+        pairing, batch = Pairing(tuple(kept["held"]) if kept.get("held") else None), Batcher(key[0], gap_us, most_paths, **kept.get("batch", {}))
+        if state.hasTimedOut:
+            found = pairing.let_go()
+        else:
+            found = [x for e in rows_of(frames) for x in pairing.feed(*e)]
+        out: list[tuple] = []
+        for _, us, kind, path, to, is_dir in found:
+            for where, op in operations_of(key[0], kind, path, to, is_dir):
+                out += batch.feed(us, where, op)
+        if state.hasTimedOut:
+            out += batch.flush()
+        state.update((json.dumps({"held": pairing.held, "batch": {k: getattr(batch, k) for k in ("number", "first", "last", "rescan", "ops")}}),))
+        if pairing.held or batch.open:
+            state.setTimeoutDuration(max(1, gap_us // 1000))
+        yield pd.DataFrame(out, columns=["root", "number", "start", "end", "path", "op"])
+
+    return events.groupBy("root").applyInPandasWithState(step, BATCH, "kept string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def sessions(events: DataFrame, gap: str) -> DataFrame:
