@@ -154,65 +154,187 @@ def parse_docx(data: bytes, max_entry: int, max_output: int) -> str:
 
 
 _PDF_OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
-_PDF_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
-_PDF_TEXT = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\b(?:TJ|Tj|Td|TD|Tm|ET|BT)\b|T\*|['\"]", re.S)
-_PDF_ESCAPES = {b"n": "\n", b"r": "\r", b"t": "\t", b"b": "\b", b"f": "\f"}
+_PDF_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
+_PDF_TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<<|>>|<[0-9A-Fa-f\s]*>|/[^\s/<>()\[\]{}%]+|[-+]?\d*\.?\d+|[A-Za-z*'\"]+|\[|\]", re.S)
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+_REF = rb"(\d+)\s+\d+\s+R"
+#: Thousandths of an em by which a text is moved on that count as a blank.
+PDF_GAP = 200
+
+
+@dataclass
+class _Font:
+    """How a font's codes are read: bytes of a code, and the text of those that are mapped."""
+
+    size: int = 1
+    texts: dict[int, str] | None = None
+
+    def read(self, data: bytes) -> str:
+        if self.texts is None:
+            return data.decode("cp1252", "replace")
+        codes = (int.from_bytes(data[i : i + self.size], "big") for i in range(0, len(data), self.size))
+        return "".join(self.texts.get(c, "") for c in codes)
+
+
+class _Pdf:
+    """The objects of a file, those in object streams included, read by number."""
+
+    def __init__(self, data: bytes, max_stream: int):
+        self.max_stream = max_stream
+        self.objects = {int(m[1]): m[3] for m in _PDF_OBJECT.finditer(data)}
+        for body in list(self.objects.values()):
+            if re.search(rb"/Type\s*/ObjStm\b", body):
+                self._unpack(body)
+
+    def _unpack(self, body: bytes) -> None:
+        count, first = (re.search(rb"/%s\s+(\d+)" % key, body) for key in (b"N", b"First"))
+        content = self.stream(body)
+        if not (count and first and content):
+            return
+        head = [int(x) for x in content[: int(first[1])].split()[: 2 * int(count[1])]]
+        starts = [int(first[1]) + at for at in head[1::2]]
+        for number, start, end in zip(head[::2], starts, [*starts[1:], len(content)], strict=True):
+            self.objects.setdefault(number, content[start:end])
+
+    def stream(self, body: bytes) -> bytes:
+        """The bytes of an object's stream; b"" without one or with a filter that is not known."""
+        found = _PDF_STREAM.search(body)
+        if not found:
+            return b""
+        head, raw = body[: found.start()], found[1]
+        filters = re.findall(rb"/(\w+Decode)\b", head)
+        if filters not in ([], [b"FlateDecode"]):
+            return b""
+        if filters:
+            try:
+                raw = zlib.decompressobj().decompress(raw, self.max_stream + 1)
+            except zlib.error:
+                raise ParseError("parse_pdf_invalid") from None
+        if len(raw) > self.max_stream:
+            raise ParseError("parse_pdf_content_too_large")
+        return raw
+
+    def value(self, body: bytes, key: bytes) -> bytes:
+        """The value of a key: a dictionary, an array, or what a reference names."""
+        found = re.search(rb"/%s(?![A-Za-z])\s*" % key, body)
+        if not found:
+            return b""
+        rest = body[found.end() :]
+        if ref := re.match(_REF, rest):
+            return self.objects.get(int(ref[1]), b"")
+        if rest.startswith(b"<<"):
+            depth = 0
+            for m in re.finditer(rb"<<|>>", rest):
+                depth += 1 if m[0] == b"<<" else -1
+                if not depth:
+                    return rest[: m.end()]
+        if rest.startswith(b"["):
+            return rest[: rest.find(b"]") + 1]
+        return re.match(rb"/?[^\s/<>\[\]]*", rest)[0]
+
+    def pages(self) -> list[tuple[bytes, bytes]]:
+        """(page, resources) in order: from the root down the tree, or by number where there is no root."""
+        is_page = lambda body: re.search(rb"/Type\s*/Page\b(?!s)", body)
+        roots = [body for _, body in sorted(self.objects.items()) if re.search(rb"/Type\s*/Pages\b", body) and b"/Parent" not in body]
+        out, seen = [], set()
+        todo = [(body, b"") for body in reversed(roots)]
+        while todo:
+            body, above = todo.pop()
+            resources = self.value(body, b"Resources") or above
+            if is_page(body):
+                out.append((body, resources))
+                continue
+            kids = [int(x) for x in re.findall(_REF, self.value(body, b"Kids"))]
+            fresh = [k for k in kids if k not in seen]
+            seen.update(fresh)
+            todo += [(self.objects[k], resources) for k in reversed(fresh) if k in self.objects]
+        return out or [(body, self.value(body, b"Resources")) for _, body in sorted(self.objects.items()) if is_page(body)]
+
+    def fonts(self, resources: bytes) -> dict[bytes, _Font]:
+        names = re.findall(rb"/([^\s/<>\[\]()]+)\s+" + _REF, self.value(resources, b"Font"))
+        return {name: self.font(self.objects.get(int(number), b"")) for name, number in names}
+
+    def font(self, body: bytes) -> _Font:
+        """A font with a table from codes to text, or one of Latin text."""
+        table = self.stream(self.value(body, b"ToUnicode"))
+        if not table:
+            return _Font()
+        spaces = re.search(rb"begincodespacerange\s*<([0-9A-Fa-f]+)>", table)
+        texts: dict[int, str] = {}
+        text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+        for part in re.findall(rb"beginbfchar(.*?)endbfchar", table, re.S):
+            for code, to in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
+                texts[int(code, 16)] = text(to)
+        for part in re.findall(rb"beginbfrange(.*?)endbfrange", table, re.S):
+            for low, high, to, several in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[(.*?)\])", part, re.S):
+                codes = range(int(low, 16), min(int(high, 16), int(low, 16) + 0xFFFF) + 1)
+                ends = [text(x) for x in re.findall(rb"<([0-9A-Fa-f]+)>", several)] if several else [text(to)[:-1] + chr(ord(text(to)[-1]) + i) for i in range(len(codes))]
+                texts.update(zip(codes, ends, strict=False))
+        return _Font(len(spaces[1]) // 2 if spaces else 1, texts)
+
+    def text(self, page: bytes, resources: bytes) -> str:
+        contents = self.value(page, b"Contents")
+        if contents.startswith(b"["):
+            data = b"\n".join(self.stream(self.objects.get(int(n), b"")) for n in re.findall(_REF, contents))
+        else:
+            data = self.stream(contents)
+        fonts, font = self.fonts(resources), _Font()
+        out, operands, inside = "", [], False
+        for m in _PDF_TOKEN.finditer(data):
+            token = m[0]
+            if token[:1] in b"(</[]" or re.fullmatch(rb"[-+]?\d*\.?\d+", token):
+                operands.append(token)
+                continue
+            if token == b"Tf" and len(operands) > 1:
+                font = fonts.get(operands[-2][1:], _Font())
+            elif token in (b"Td", b"TD", b"T*", b"'", b'"', b"Tm", b"ET") and out and not out.endswith("\n"):
+                # A line moved to its own height is a new one; one moved along goes on after a blank.
+                along = token in (b"Td", b"TD") and len(operands) > 1 and float(operands[-1]) == 0
+                out += " " if along else "\n"
+            inside = (inside or token == b"BT") and token != b"ET"
+            if inside and token in (b"Tj", b"TJ", b"'", b'"'):
+                for x in operands:
+                    if x[:1] in b"(<" and x[:2] != b"<<":
+                        out += font.read(_pdf_string(x))
+                    elif token == b"TJ" and x[:1] not in b"/[]<>" and float(x) <= -PDF_GAP and out and not out.endswith((" ", "\n")):
+                        out += " "
+            operands = []
+        return out
+
+
+def _pdf_string(token: bytes) -> bytes:
+    """The bytes of a literal or hexadecimal string."""
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+
+    def plain(e: re.Match) -> bytes:
+        if e[1][:1].isdigit():
+            return bytes([int(e[1], 8) & 255])
+        return b"" if e[1] in (b"\n", b"\r\n") else _PDF_ESCAPES.get(e[1], e[1])
+
+    return re.sub(rb"\\([0-7]{1,3}|\r\n|.)", plain, token[1:-1], flags=re.S)
 
 
 def parse_pdf(data: bytes, max_stream: int, max_output: int) -> str:
-    """Text of plain PDF files: pages in order, trimmed, empty pages dropped, a blank line between.
-    Knows Flate streams and literal or hexadecimal strings in Latin text; nothing is decrypted."""
+    """Text of PDF files: pages in order, trimmed, empty pages dropped, a blank line between. Knows object
+    streams, Flate streams, and fonts with a table to Unicode or of Latin text; nothing is decrypted."""
     if not data.lstrip()[:5] == b"%PDF-":
         raise ParseError("parse_pdf_invalid")
-    objects = {int(m[1]): m[3] for m in _PDF_OBJECT.finditer(data)}
-    pages = [body for _, body in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b(?!s)", body)]
-    order = [int(x) for body in objects.values() for k in re.findall(rb"/Kids\s*\[(.*?)\]", body, re.S) for x in re.findall(rb"(\d+)\s+\d+\s+R", k)]
-    if order:
-        pages = [objects[i] for i in order if i in objects and re.search(rb"/Type\s*/Page\b(?!s)", objects[i])]
-    if not pages:
-        raise ParseError("parse_pdf_parser_failed")
-    out = []
-    for page in pages:
-        found = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", page, re.S)
-        text = ""
-        for number in re.findall(rb"(\d+)\s+\d+\s+R", found[1]) if found else ():
-            body = objects.get(int(number), b"")
-            stream = _PDF_STREAM.search(body)
-            if stream:
-                text += _pdf_stream(stream[1], b"/FlateDecode" in body, max_stream)
-        if text.strip():
-            out.append(text.strip())
-    result = "\n\n".join(out)
-    if len(result.encode()) > max_output:
+    try:
+        pdf = _Pdf(data, max_stream)
+        pages = pdf.pages()
+        if not pages or re.search(rb"/Encrypt\b", data):
+            raise ParseError("parse_pdf_parser_failed")
+        texts = (pdf.text(*page).strip() for page in pages)
+        result = "\n\n".join(t for t in texts if t)
+    except (ValueError, IndexError, OverflowError):
+        raise ParseError("parse_pdf_parser_failed") from None
+    if len(result.encode("utf-8", "surrogatepass")) > max_output:
         raise ParseError("parse_output_too_large")
     return result
 
 
-def _pdf_stream(raw: bytes, packed: bool, most: int) -> str:
-    if packed:
-        inflate = zlib.decompressobj()
-        try:
-            raw = inflate.decompress(raw, most + 1)
-        except zlib.error:
-            raise ParseError("parse_pdf_invalid") from None
-    if len(raw) > most:
-        raise ParseError("parse_pdf_content_too_large")
-    text, held = "", ""
-    for m in _PDF_TEXT.finditer(raw):
-        t = m[0]
-        if t[:1] == b"(":
-            held += re.sub(rb"\\([0-7]{1,3}|.)", lambda e: bytes([int(e[1], 8) & 255]) if e[1].isdigit() else _PDF_ESCAPES.get(e[1], e[1].decode("latin-1")).encode("latin-1"), t[1:-1], flags=re.S).decode("cp1252", "replace")
-        elif t[:1] == b"<":
-            digits = re.sub(rb"\s", b"", t[1:-1])
-            held += bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("cp1252", "replace")
-        elif t in (b"Tj", b"TJ"):
-            text, held = text + held, ""
-        else:
-            text += ("\n" if t in (b"Td", b"TD", b"T*", b"'", b'"', b"ET") and text and not text.endswith("\n") else "") + held
-            held = ""
-    return text + held
-
-
 def parse(name: str, data: bytes, options: ParseOptions) -> str:
     """Text of a file by its extension (any case)."""
     ext = name.rsplit(".", 1)[-1].lower() if "." in name[1:] else ""
@@ -276,11 +398,14 @@ def html_text(pages: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.IntegerType())
 def json_depths(texts: pd.Series) -> pd.Series:
-    """Depth of JSON strings; null where invalid."""
+    """Depth of JSON strings; null where invalid, as NaN and the infinities are."""
+
+    def refuse(_: str):
+        raise ValueError
 
     def one(text: str | None) -> int | None:
         try:
-            return None if text is None else json_depth(json.loads(text))
+            return None if text is None else json_depth(json.loads(text, parse_constant=refuse))
         except (ValueError, RecursionError):
             return None
 

@@ -1,4 +1,4 @@
-"""Directory scan as a Python data source: one partition for each entry of the root."""
+"""Directory scan as a Python data source, in partitions of entries a few folders deep."""
 
 from __future__ import annotations
 
@@ -25,9 +25,13 @@ def _row(path: bytes, status: str, reason: str | None = None, info: os.stat_resu
     return (path, path.decode("utf-8", "replace"), name, *times, status, reason)
 
 
-class _Entry(InputPartition):
-    def __init__(self, path: bytes):
-        super().__init__(path)
+#: Entries that the scan begins from, if there are folders to open, and the most partitions.
+ENTRIES, PARTITIONS = 64, 256
+
+
+class _Entries(InputPartition):
+    def __init__(self, paths: list[bytes]):
+        super().__init__(paths)
 
 
 class _Reader(DataSourceReader):
@@ -42,19 +46,43 @@ class _Reader(DataSourceReader):
         if not os.path.isdir(self.root):
             raise ScanError("scan_root_invalid")
         if self._ignores(self.root):
-            return [_Entry(b"")]
+            return [_Entries([])]
         try:
-            return [_Entry(os.path.join(self.root, n)) for n in sorted(os.listdir(self.root))] or [_Entry(b"")]
+            found = [os.path.join(self.root, n) for n in sorted(os.listdir(self.root))]
         except OSError:
             raise ScanError("scan_open_root") from None
+        if self.follow:
+            return [_Entries(found)]  # folders already visited are known to one task only
+        found = self._opened(found)
+        count = max(1, min(PARTITIONS, len(found)))
+        return [_Entries(found[i::count]) for i in range(count)]
+
+    def _opened(self, found: list[bytes]) -> list[bytes]:
+        """The entries, with folders opened level by level until there are enough for many tasks. Links,
+        ignored folders and such that cannot be read are left to the tasks."""
+        while len(found) < ENTRIES:
+            level, opened = [], False
+            for path in found:
+                try:
+                    if self._ignores(path) or not stat.S_ISDIR(os.lstat(path).st_mode):
+                        level.append(path)
+                        continue
+                    level += [os.path.join(path, n) for n in sorted(os.listdir(path))]
+                    opened = True
+                except OSError:
+                    level.append(path)
+            found = level
+            if not opened:
+                break
+        return found
 
     def _ignores(self, path: bytes) -> bool:
         return any(path == i or path.startswith(i + b"/") for i in self.ignored)
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         """Depth first, one entry at a time; an error on an entry is a row, not the end."""
-        todo = [partition.value] if partition.value else []
-        seen: set[str] = {os.path.realpath(self.root).decode("utf-8", "replace")}
+        todo = list(reversed(partition.value))
+        seen: set[bytes] = {os.path.realpath(self.root)}
         while todo:
             path = todo.pop()
             if self._ignores(path):
@@ -71,7 +99,7 @@ class _Reader(DataSourceReader):
                 yield _row(path, "failed", "scan_read_entry_metadata")
                 continue
             if stat.S_ISDIR(info.st_mode):
-                real = os.path.realpath(path).decode("utf-8", "replace")
+                real = os.path.realpath(path)
                 if real in seen:
                     yield _row(path, "skipped", "already_visited_directory")
                     continue
@@ -101,7 +129,7 @@ class DirectorySource(DataSource):
 def scan_directory(spark: SparkSession, root: str, *, ignored: list[str] | None = None, follow_symlinks: bool = False) -> DataFrame:
     """Files below ``root`` with sizes and times (epoch ms), and what was skipped or failed.
 
-    Paths are raw bytes in path_key. When links are followed, a folder met twice by one partition is
-    visited once."""
+    Paths are raw bytes in path_key. When links are followed, each folder is visited once, and the scan is
+    one task, which knows the folders it has seen."""
     spark.dataSource.register(DirectorySource)
     return spark.read.format("directory_scan").option("ignored", "\n".join(ignored or [])).option("followSymlinks", str(follow_symlinks)).load(root)
