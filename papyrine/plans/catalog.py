@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from papyrine.functions import labels as B
 from papyrine.functions import text as X
 from papyrine.functions import vectors as V
 from papyrine.operators import changes, hybrid, lexical, semantic, store
@@ -557,6 +558,16 @@ def _(t):
     return changes.retrieval_quality(results, relevant, 40).withColumn("macro_recall", F.round("macro_recall", 9))
 
 
+LABELS = " ".join(f"WHEN '{e}' THEN '{label}'" for e, label in B.TYPES.items())
+
+
+@register("result_labels", f"SELECT document_id, CASE ltrim(lower(extension), '.') {LABELS} ELSE CASE WHEN starts_with(file_type, 'text/') THEN '{B.TEXT}' ELSE '{B.OTHER}' END END AS type_label, coalesce('{B.CHANGED}' || strftime(make_timestamp(modified_at * 1000), '%Y/%m/%d'), '{B.UNKNOWN_DATE}') AS date_label FROM (SELECT document_id, extension, file_type, CASE WHEN document_id LIKE '%5' THEN NULL ELSE modified_at END AS modified_at FROM ({META}))")
+def _(t):
+    found = lexical.with_metadata(t["docs"].drop("body"), t["files"])
+    modified = F.when(~F.col("document_id").endswith("5"), F.col("modified_at"))
+    return found.select("document_id", B.type_label(F.col("extension"), F.col("file_type")).alias("type_label"), B.date_label(modified).alias("date_label"))
+
+
 # -- rows only: no SQL for these
 
 @register("snippet")

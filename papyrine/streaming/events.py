@@ -226,5 +226,12 @@ def batches_stream(events: DataFrame, gap: str = DEBOUNCE, most_paths: int = MOS
 
 
 def sessions(events: DataFrame, gap: str) -> DataFrame:
-    """(root, start, end, n_events, n_paths) of each batch."""
-    return events.groupBy("root", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_events"), F.size(F.collect_set("path")).cast("long").alias("n_paths"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).drop("w")
+    """(root, n_events, n_paths, first_ts, last_ts) of each run of a root's events without a pause longer
+    than ``gap``. Runs are numbered by a sorted window and paths counted by aggregates, so that no run is
+    gathered in memory."""
+    order = Window.partitionBy("root").orderBy("ts", "seq")
+    pause = F.col("ts") - F.lag("ts").over(order) > F.expr(f"INTERVAL '{_gap_us(gap) / 1e6:.6f}' SECOND")
+    numbered = events.withColumn("_fresh", F.coalesce(pause.cast("int"), F.lit(0))).withColumn("_run", F.sum("_fresh").over(order))
+    by_path = numbered.groupBy("root", "_run", "path").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    found = by_path.groupBy("root", "_run").agg(F.sum("n").alias("n_events"), F.count("path").alias("n_paths"), F.min("a").alias("first_ts"), F.max("b").alias("last_ts"))
+    return found.drop("_run")

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from tests.conftest import SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["bm25_filtered", "bm25_phrase", "filter_date_range", "cosine_knn", "rrf_fusion", "snapshot_diff", "rescan_stale_files", "session_coalesce", "rename_pairing", "feature_hash_embedding"]
+CHECKED = ["bm25_filtered", "bm25_phrase", "filter_date_range", "cosine_knn", "rrf_fusion", "snapshot_diff", "rescan_stale_files", "session_coalesce", "rename_pairing", "feature_hash_embedding", "bm25_scan", "index_maintenance", "hybrid_search", "coalesced_batches", "fingerprint", "embedding_weights", "mutation_batch_documents", "retrieval_quality", "result_labels"]
 
 
 def clean(v):
