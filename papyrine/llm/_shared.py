@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch sent to a Python worker.
-ARROW_ROWS, ARROW_BYTES = 1000, "8m"
+ARROW_ROWS, ARROW_BYTES = 1000, "4m"
 #: Application and path of every shared folder made and not yet deleted.
 _MADE: list[tuple[str, str]] = []
 
@@ -87,6 +90,24 @@ def clean(spark: SparkSession) -> None:
             drop_dir(spark, path)
 
 
+def trimmed(function: Callable) -> Callable:
+    """A function of batches that gives memory it no longer needs back to the system when its partition is
+    done, so that workers that wait for their next task do not hold on to it."""
+
+    @functools.wraps(function)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not the GNU library
+            pass
+
+    return run
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,6 +12,7 @@ any length are read whole, a run of texts (or one long text) at a time.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,19 +20,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm._shared import small_batches
+from papyrine.llm._shared import small_batches, trimmed
 from papyrine.llm._text import PRIME, U64, alpha_table, code_points, mix, slices
 
 DIMENSIONS = 1024
 #: Characters and texts handled at once by a worker.
-BATCH_CHARS, BATCH_TEXTS = 1 << 20, 256
+BATCH_CHARS, BATCH_TEXTS = 1 << 18, 256
 #: Trigrams whose vectors are made at once, and the most codes that are counted by a plain table.
-BATCH_GRAMS, TABLE = 4096, 1 << 22
+BATCH_GRAMS, TABLE = 4096, 1 << 20
 #: How sharply differences of cosines turn into the score.
 SHARPNESS = 40.0
 UNKNOWN = "und"
 
 
+@functools.cache
+def numbers(size: int) -> np.ndarray:
+    """Room for the number of each value below ``size``; only what is written just before is read."""
+    return np.zeros(size, np.int32)
+
+
 def letter_vectors(letters: np.ndarray, dims: int, seed: int) -> np.ndarray:
     """A row of +1 and -1 for each code point (0 stands for a blank), the same on every worker."""
     words = np.arange(-(-dims // 64), dtype=U64)
@@ -57,13 +64,17 @@ class Grams:
         seen[letters] = True
         self.alphabet = np.flatnonzero(seen)
         size = len(self.alphabet)
-        local = (np.cumsum(seen) - 1)[letters]
+        number = numbers(0x110000)
+        number[self.alphabet] = np.arange(size)
+        local = number[letters].astype(np.int64)
         codes = (local[:-2] * size + local[1:-1]) * size + local[2:]
         inside = letters[1:-1] != 0
         codes, self.owner = codes[inside], owner[:-1][inside]
         if size**3 <= TABLE:
-            present = np.bincount(codes, minlength=1) > 0
-            self.codes, self.gram = np.flatnonzero(present), (np.cumsum(present) - 1)[codes]
+            number = numbers(TABLE)
+            self.codes = np.flatnonzero(np.bincount(codes, minlength=1))
+            number[self.codes] = np.arange(len(self.codes))
+            self.gram = number[codes].astype(np.int64)
         else:
             self.codes, self.gram = np.unique(codes, return_inverse=True)
 
@@ -109,7 +120,7 @@ def train(docs: DataFrame, *, dims: int = DIMENSIONS, seed: int = 7) -> dict[str
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total.tolist()], pa.list_(pa.float64()))], ["lang", "bundle"])
 
     known = docs.filter(F.col("lang").isNotNull()).select("text", F.col("lang").cast("string"))
-    partial = known.mapInArrow(bundle, "lang string, bundle array<double>")
+    partial = known.mapInArrow(trimmed(bundle), "lang string, bundle array<double>")
     sums = partial.select("lang", F.posexplode("bundle").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
     rows = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v")).collect()
     return {r["lang"]: np.array(r["v"]) for r in rows}
@@ -159,7 +170,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, seed: int =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     schema = docs.schema
-    return docs.mapInArrow(predict, type(schema)(list(schema.fields)).add("lang_pred", "string").add("score", "double"))
+    return docs.mapInArrow(trimmed(predict), type(schema)(list(schema.fields)).add("lang_pred", "string").add("score", "double"))
 
 
 def held_out() -> Column:

@@ -3,7 +3,8 @@
 Method: n-grams (n = 5) of the bytes of trusted texts (UTF-8, lower case, all digits as one, white space as
 single blanks) are counted, so that every script is told apart exactly in one alphabet of 256. They are smoothed by modified Kneser-Ney with three discounts an order, and give each document a perplexity;
 thresholds are quantiles of the perplexities of trusted documents, language by language, shifted by what
-held-out ones score above those that a model has seen: a second model learns without them.
+held-out ones score above those that a model has seen: a second model learns without them. Both models
+lie in the same tables, told apart by a bit of their n-grams, so they are made and asked in one go.
 
 The model is one table of weights, so that a text's log-probability is the sum of the weights of its
 n-grams of all orders: an n-gram seen in training adds log p - log backoff - log p(shorter), and one
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm._shared import Scratch, small_batches, stored, table
+from papyrine.llm._shared import Scratch, small_batches, stored, table, trimmed
 from papyrine.llm._text import MIX_A, U64, slices
 
 ORDER = 5
 #: Bits of a symbol: a byte of the text; 0 stands before a text, the last (in no UTF-8 text) after it.
 BITS = 8
 ALPHABET = 1 << BITS
+#: Marks the n-grams of the second model.
+SECOND = 1 << 62
 #: 5-grams whose weights are broadcast (16 bytes each): a fixed number.
 HEAD = 1 << 19
 #: Quantile of the trusted perplexities of a language, and what it is multiplied by; chosen on the
@@ -45,9 +48,9 @@ PRIOR = 50
 SHRINK = 40
 #: Trusted ids up to this number are broadcast (8 bytes each); more are joined by shuffling.
 BROADCAST_IDS = 2_000_000
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 #: Distinct n-grams that a worker holds before it passes its counts on.
-HOLD = 2_000_000
+HOLD = 1_000_000
 
 
 @functools.cache
@@ -108,25 +111,44 @@ def count_grams(texts: DataFrame) -> DataFrame:
         if len(keys):
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["g", "c"])
 
-    return texts.select("text").mapInArrow(counted, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(trimmed(counted), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+
+
+def mark_of() -> Column:
+    """The bit of g's model."""
+    return F.col("g").bitwiseAND(F.lit(SECOND))
 
 
 def tail_of(m: int) -> Column:
-    """The last m symbols of g."""
-    return F.col("g").bitwiseAND(F.lit((1 << BITS * m) - 1).cast("long"))
+    """The last m symbols of g, in its model."""
+    return F.col("g").bitwiseAND(F.lit((1 << BITS * m) - 1 | SECOND))
+
+
+def context_of() -> Column:
+    """All symbols of g but the last, in its model."""
+    return F.shiftright(F.col("g").bitwiseAND(F.lit(SECOND - 1)), BITS).bitwiseOR(mark_of())
+
+
+def discounts(counts: DataFrame) -> list[Column]:
+    """Modified Kneser-Ney discounts for counts of one, two, and three or more, from the numbers of n-grams
+    seen once to four times in each model."""
+    seen = counts.groupBy(mark_of().alias("model")).agg(*(F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).collect()
+    by_model = {bool(r["model"]): discounts_of(r["n1"], r["n2"], r["n3"], r["n4"]) for r in seen}
+    first, second = (by_model.get(x, (0.5, 0.75, 0.75)) for x in (False, True))
+    return [F.when(mark_of() != 0, F.lit(y)).otherwise(F.lit(x)) for x, y in zip(first, second, strict=True)]
 
 
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts from the numbers of n-grams seen once to four times."""
-    n1, n2, n3, n4 = counts.agg(*(F.count_if(F.col("c") == k) for k in (1, 2, 3, 4))).first()
+def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     if not (n1 and n2):
         return 0.5, 0.75, 0.75
     y = n1 / (n1 + 2 * n2)
-    return tuple(min(max(d, 0.1), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3 if n3 else 1.5)))
+    raw = ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3 if n3 else 1.5))
+    return tuple(min(max(d, 0.1), k - 0.05) for k, d in raw)
 
 
-def model_weights(grams5: DataFrame, scratch: Scratch) -> tuple[dict[int, DataFrame], float]:
-    """(g, w) for each order 1 to 5, from the counts of 5-grams, and what every symbol has besides."""
+def model_weights(grams5: DataFrame, scratch: Scratch) -> tuple[dict[int, DataFrame], dict[bool, float]]:
+    """(g, w) for each order 1 to 5, from the counts of 5-grams, and what every symbol has besides in each
+    model (second: True)."""
     stored = scratch.stored
     counts = {ORDER: grams5}
     for m in range(ORDER - 1, 0, -1):
@@ -138,11 +160,13 @@ def model_weights(grams5: DataFrame, scratch: Scratch) -> tuple[dict[int, DataFr
     seen: dict[int, DataFrame] = {}
     for m in range(1, ORDER + 1):
         d1, d2, d3 = discounts(counts[m])
-        context = F.shiftright("g", BITS)
-        contexts = counts[m].groupBy(context.alias("context")).agg(F.sum("c").alias("total"), *(F.count_if(x).alias(n) for n, x in (("n1", F.col("c") == 1), ("n2", F.col("c") == 2), ("n3", F.col("c") >= 3))))
-        contexts = contexts.select("context", "total", ((F.col("n1") * d1 + F.col("n2") * d2 + F.col("n3") * d3) / F.col("total")).alias("left"))
+        kinds = (("n1", F.col("c") == 1), ("n2", F.col("c") == 2), ("n3", F.col("c") >= 3))
+        contexts = counts[m].groupBy(context_of().alias("context")).agg(F.sum("c").alias("total"), *(F.count_if(x).alias(n) for n, x in kinds))
+        contexts = contexts.withColumn("g", F.col("context"))  # discounts go by the model of g
+        left = (F.col("n1") * d1 + F.col("n2") * d2 + F.col("n3") * d3) / F.col("total")
+        contexts = contexts.select("context", "total", left.alias("left"))
         backoffs[m] = contexts.select(F.col("context").alias("g"), F.log("left").alias("w"))
-        own = counts[m].withColumn("context", context).join(contexts, "context")
+        own = counts[m].withColumn("context", context_of()).join(contexts, "context")
         discount = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         own = own.withColumn("direct", (F.col("c") - discount) / F.col("total"))
         if m == 1:
@@ -156,8 +180,8 @@ def model_weights(grams5: DataFrame, scratch: Scratch) -> tuple[dict[int, DataFr
     for m in range(1, ORDER + 1):
         both = seen[m] if m == ORDER else seen[m].unionByName(backoffs[m + 1])
         weights[m] = both if m == ORDER else both.groupBy("g").agg(F.sum("w").alias("w"))
-    rest = backoffs[1].first()
-    return weights, (rest["w"] if rest else 0.0) - math.log(ALPHABET)
+    rest = {bool(r["g"]): r["w"] for r in backoffs[1].collect()}
+    return weights, {x: rest.get(x, 0.0) - math.log(ALPHABET) for x in (False, True)}
 
 
 def gram_scores(distinct: DataFrame, weights: dict[int, DataFrame]) -> DataFrame:
@@ -225,8 +249,9 @@ class HeadTable:
 
 def score(docs: DataFrame, grams5: DataFrame, *, head: int = HEAD, scratch: Scratch | None = None) -> DataFrame:
     """All columns of ``docs`` plus n_symbols, log_prob and perplexity (per symbol, the end of the text
-    counted). Null text counts as empty. Columns already so named are replaced. What is computed on the
-    way is kept in ``scratch``, and is needed until the result has been."""
+    counted). Null text counts as empty. Columns already so named are replaced. Rows whose column _second is
+    true are scored by the second model. What is computed on the way is kept in ``scratch``, and is needed
+    until the result has been."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     weights, each = model_weights(grams5, scratch)
@@ -234,18 +259,21 @@ def score(docs: DataFrame, grams5: DataFrame, *, head: int = HEAD, scratch: Scra
     top = gram_scores(commonest(grams5, head), weights).toArrow()
     known = spark.sparkContext.broadcast((top["g"].to_numpy(), top["score"].to_numpy()))
     docs = docs.drop("n_symbols", "log_prob", "perplexity")
+    docs = docs if "_second" in docs.columns else docs.withColumn("_second", F.lit(False))
     names = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    place = names.index("text")
+    place, marked = names.index("text"), names.index("_second")
     keep = [i for i in range(len(names)) if i != place]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = HeadTable(*known.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
+            marks = batch.column(marked).to_numpy(zero_copy_only=False).astype(np.int64) << 62
             parts: list[tuple] = []
             for part in slices(map(len, texts), BATCH_CHARS):
                 codes, owner, predicts = grams(texts[part])
+                codes = codes | marks[part][owner]
                 n = part.stop - part.start
                 found, hit = lookup.look_up(codes)
                 rest_owner, rest = owner[~hit], codes[~hit]
@@ -259,12 +287,14 @@ def score(docs: DataFrame, grams5: DataFrame, *, head: int = HEAD, scratch: Scra
             columns = [batch.column(i) for i in keep] + [pa.array(n_symbols), pa.array(found), pa.ListArray.from_arrays(offsets, pa.array(rest)), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))]
             yield pa.RecordBatch.from_arrays(columns, [*(names[i] for i in keep), "n_symbols", "_head", "_rest", "_times"])
 
-    rows = docs.mapInArrow(scored, f"{fields}{', ' if fields else ''}n_symbols long, _head double, _rest array<long>, _times array<int>").withColumn("_row", F.monotonically_increasing_id())
+    rows = docs.mapInArrow(trimmed(scored), f"{fields}, n_symbols long, _head double, _rest array<long>, _times array<int>").withColumn("_row", F.monotonically_increasing_id())
     rows = scratch.stored(rows, "scored")
+    known.destroy()
     rest = rows.select("_row", F.explode(F.arrays_zip(F.col("_rest").alias("g"), F.col("_times").alias("n"))).alias("x")).select("_row", "x.g", "x.n")
     scores = gram_scores(rest.select("g").distinct(), weights)
     sums = rest.join(scores, "g").groupBy("_row").agg(F.sum(F.col("n") * F.col("score")).alias("_tail"))
-    log_prob = F.col("_head") + F.coalesce("_tail", F.lit(0.0)) + F.col("n_symbols") * each
+    besides = F.when(F.col("_second"), F.lit(each[True])).otherwise(F.lit(each[False]))
+    log_prob = F.col("_head") + F.coalesce("_tail", F.lit(0.0)) + F.col("n_symbols") * besides
     out = rows.drop("_rest", "_times").join(sums, "_row", "left").withColumn("log_prob", log_prob)
     return out.withColumn("perplexity", F.exp(-F.col("log_prob") / F.col("n_symbols"))).drop("_row", "_head", "_tail")
 
@@ -299,10 +329,13 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE,
     known = docs.join(ids, "doc_id", "left_semi").select("lang", "text")
     held = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)) == 0
     learnt = scratch.stored(count_grams(known.filter(~held)), "learnt5")
-    grams5 = learnt.unionByName(count_grams(known.filter(held))).groupBy("g").agg(F.sum("c").alias("c"))
-    grams5 = scratch.stored(grams5, "grams5")
-    rows = stored(score(docs, grams5, head=head, scratch=scratch), "perplexity")
-    unseen = scratch.stored(score(known.filter(held), learnt, head=head, scratch=scratch), "held_out")
+    whole = learnt.unionByName(count_grams(known.filter(held))).groupBy("g").agg(F.sum("c").alias("c"))
+    second = learnt.select(F.col("g").bitwiseOR(F.lit(SECOND)).alias("g"), "c")
+    grams5 = scratch.stored(whole.unionByName(second), "grams5")
+    asked = known.filter(held).select("lang", "text", F.lit(True).alias("_second"))
+    asked = docs.withColumn("_second", F.lit(False)).unionByName(asked, allowMissingColumns=True)
+    scored = stored(score(asked, grams5, head=head, scratch=scratch), "perplexity")
+    rows, unseen = scored.filter(~F.col("_second")), scored.filter("_second")
     seen = rows.join(ids, "doc_id", "left_semi")
     # Judged by perplexity drawn towards the median: a short text's own says little.
     half = seen.agg(F.percentile_approx("perplexity", 0.5, 10_000).alias("m")).first()["m"]
