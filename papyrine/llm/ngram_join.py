@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm._shared import Scratch, small_batches, stored
+from papyrine.llm._shared import Scratch, small_batches, stored, trimmed
 from papyrine.llm._text import PRIME, U64, mix, shingles, slices
 
 WORDS, THRESHOLD = 5, 0.8
@@ -38,7 +38,7 @@ STEP, TOLERANCE = 32, 1e-7
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 #: Candidate classes up to this number are broadcast (40 bytes each); more are joined by shuffling.
 BROADCAST_ROWS = 300_000
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 18
 
 
 def minhashes(hashes: np.ndarray, begins: np.ndarray, count: int = BANDS * ROWS) -> np.ndarray:
@@ -75,7 +75,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start).cast(pa.int64()), batch.column(2).slice(part.start, part.stop - part.start), pa.array(keys.view(np.int64)), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64)))], ["doc_id", "_text", "key", "n_shingles", "bands"])
 
-    return docs.select("doc_id", "text", "_text").mapInArrow(sketch, "doc_id long, _text long, key long, n_shingles long, bands array<long>")
+    return docs.select("doc_id", "text", "_text").mapInArrow(trimmed(sketch), "doc_id long, _text long, key long, n_shingles long, bands array<long>")
 
 
 def set_keys(hashes: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -290,7 +290,7 @@ def contents(docs: DataFrame, members: DataFrame, few: bool) -> DataFrame:
                 columns = [own.column(c).take(pa.array(ours)) for c in range(len(carried))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(content, pa.binary())], [*carried, "content"])
 
-    return text.mapInArrow(sets, "key long, component long, size long, weight long, copies long, content binary")
+    return text.mapInArrow(trimmed(sets), "key long, component long, size long, weight long, copies long, content binary")
 
 
 def small_units(shingled: DataFrame, shares: int, block: int) -> DataFrame:

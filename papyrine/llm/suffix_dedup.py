@@ -34,8 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from papyrine.llm._shared import Scratch, shuffle_parts, small_batches
+from papyrine.llm._shared import Scratch, shuffle_parts, small_batches, trimmed
 from papyrine.llm._text import PRIME, U64, byte_values, mix, powers, slices
 
 WIDTH = 100
@@ -43,7 +44,7 @@ WIDTH = 100
 GRAM = 40
 #: Documents and bytes of a block, on average.
 BLOCK_ROWS, BLOCK_BYTES = 1500, 4 << 20
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 19
 #: Suffixes of a bucket, and samples that its splitters are taken from, on average. A bucket of suffixes
 #: with their passages holds a tenth as many.
 BUCKET_ROWS, SAMPLES = 250_000, 64
@@ -67,18 +68,16 @@ class Marks:
         self.grams = np.zeros(0, U64)
         if n < width:
             return
-        at = np.arange(n - gram + 1)
-        hashes = self.hash(at, gram)
+        hashes = mix((self.sums[gram:] - self.sums[: n - gram + 1]) * self.down[: n - gram + 1])
         # Largest key in a window: hash bits above, place below, so that of equal hashes the last wins.
         bits = U64(32)
-        keys = (hashes >> bits << bits) | at.astype(U64)
+        keys = (hashes >> bits << bits) | np.arange(n - gram + 1, dtype=U64)
         window = width - gram + 1
-        top = sliding_max(keys, window)
-        chosen = (top & ((U64(1) << bits) - U64(1))).astype(np.int64)  # of each window start
-        starts = np.arange(len(chosen))
-        owner = np.repeat(np.arange(len(texts)), np.diff(self.begins))
-        ok = owner[starts] == owner[starts + width - 1]
-        starts, chosen = starts[ok], chosen[ok]
+        chosen = sliding_max(keys, window).astype(np.uint32).astype(np.int64)  # of each window start
+        del keys
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.begins))
+        starts = np.flatnonzero(owner[: len(chosen)] == owner[width - 1 : width - 1 + len(chosen)])
+        chosen = chosen[starts]
         if not len(starts):
             return
         new = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (starts[1:] != starts[:-1] + 1)]))
@@ -353,7 +352,7 @@ def leads_of(docs: DataFrame, cuts: np.ndarray, width: int, gram: int) -> DataFr
                 buckets, columns = packed(bucket[by], leads[by], own[by])
                 yield pa.RecordBatch.from_arrays([pa.array(buckets), *columns], ["bucket", "leads", "blocks"])
 
-    return docs.select("_block", "text").mapInArrow(marked, "bucket int, leads binary, blocks binary")
+    return docs.select("_block", "text").mapInArrow(trimmed(marked), "bucket int, leads binary, blocks binary")
 
 
 def sampled_leads(docs: DataFrame, share: float, width: int, gram: int) -> pa.Table:
@@ -443,7 +442,8 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, blo
     cuts = splitters(sampled_leads(numbered, share, width, gram), gram, buckets)
     deal = max(1, min(buckets, 2 * shuffle_parts(spark)))
     compared = leads_of(numbered, cuts, width, gram).repartition(deal, "bucket").groupBy("bucket")
-    leads = scratch.stored(compared.applyInArrow(lambda bucket: repeated_leads(bucket, gram), LEAD_SCHEMA), "leads")
+    early = Scratch(spark)
+    leads = early.stored(compared.applyInArrow(lambda bucket: repeated_leads(bucket, gram), LEAD_SCHEMA), "leads")
     ends = leads.filter(F.col("kind").isin(OPEN, WITNESS))
     parted = ends.groupBy("lead").agg(F.count("*").alias("n")).filter("n > 1")
     across = ends.filter(F.col("kind") == OPEN).join(parted, "lead").select("block", "grams")
@@ -453,6 +453,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, blo
     buckets = max(2, math.ceil(10 * sends / bucket_rows))
     sample = leads.filter(F.col("kind") == SAMPLE).sample(min(1.0, 64 * SAMPLES * buckets / max(1, sends)), 5)
     cuts = splitters(sample.select("lead", "block", F.lit(1.0).alias("weight")).toArrow(), gram, buckets)
+    early.drop()
     deal = max(1, min(buckets, 2 * shuffle_parts(spark)))
     compared = suffixes_of(dealt, wanted, cuts, width, gram).repartition(deal, "bucket").groupBy("bucket")
     found = scratch.stored(compared.applyInArrow(lambda bucket: repeated_passages(bucket, width, gram), FOUND_SCHEMA), "passages")
@@ -467,8 +468,11 @@ def cut_out(dealt: DataFrame, names: list[str], repeats: DataFrame, wanted: Data
     """The documents of each block without the passages that repeat those of other blocks (``repeats``)
     or earlier ones of their own, which are known by the surroundings of their marked strings."""
     result = [x for x in names if x != "text"]
-    fields = {f.name: f.dataType.simpleString() for f in dealt.schema}
-    schema = ", ".join(f"`{n}` {fields[n]}" for n in result) + (", " if result else "") + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if text_out else "")
+    schema = dealt.select(*result).schema
+    for name in ("n_bytes", "n_removed", "n_spans"):
+        schema = schema.add(name, "long")
+    schema = schema.add("kept_sha256", "string")
+    schema = schema.add("text", "string") if text_out else schema
     none = no_rows(schema)
 
     def cut(group: pa.Table, more: pa.Table) -> pa.Table:
@@ -514,12 +518,11 @@ def cut_out(dealt: DataFrame, names: list[str], repeats: DataFrame, wanted: Data
     return dealt.groupBy("_block").cogroup(both.groupBy("block")).applyInArrow(cut, schema)
 
 
-def no_rows(schema: str) -> pa.Table:
+def no_rows(schema: str | StructType) -> pa.Table:
     """An empty table of a schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    return to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema).empty_table()
 
 
 def op8_suffix_dedup(docs: DataFrame) -> DataFrame:
