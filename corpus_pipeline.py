@@ -22,50 +22,68 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``rejected`` (doc_id, _text) does not name."""
     gone = stored(rejected.select("doc_id", "_text").distinct(), "rejected")
     few = gone.count() <= BROADCAST_ROWS
-    marked = docs.withColumn("_text", text_hash())
-    right = gone.withColumnRenamed("doc_id", "_id")
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (marked["_text"] == right["_text"])
-    return marked.join(F.broadcast(right) if few else right, on, "left_anti").select(docs.columns)
+    right = gone.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"))
+    own = docs.select("doc_id", text_hash().alias("_text"), F.struct(*docs.columns).alias("_row"))
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
+    return own.join(F.broadcast(right) if few else right, on, "left_anti").select("_row.*")
 
 
 def text_hash():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """What operators read, and the hash that tells rows of one id apart."""
+    return docs.select("doc_id", "text", "lang", text_hash().alias("_text"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be told (no text or no letter), and gives those
-    without a language the predicted one. Profiles are learnt from all documents with a language."""
+    """Drops documents in which no language can be told (no text, null or empty, or no letter), and gives
+    those without a language (null) the predicted one; a language that is given stays. Profiles are learnt
+    from all documents with a language; without any every document is dropped unless it has one and a letter.
+    Ties between languages go to the first by name. Repeated rows and null ids stay as they are."""
     small_batches(spark)
-    found = langid.identify(docs, langid.train(docs))
+    found = langid.identify(docs.select("text", F.struct(*docs.columns).alias("_row")), langid.train(docs))
     kept = found.filter(F.col("lang_pred") != langid.UNKNOWN)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    lang = F.coalesce("_row.lang", "lang_pred").alias("lang")
+    return kept.select(*(lang if c == "lang" else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of too high a perplexity for their language."""
-    found = quality.classify(docs.withColumn("_text", text_hash()), table(spark, sf_dir, "labels"), carry=("_text",))
+    """Drops documents of too high a perplexity for their language (null is one of its own); a perplexity
+    equal to the threshold stays, and without trusted documents all stay. A null text counts as empty, a
+    null id is never trusted; rows of one id and text have one fate."""
+    found = quality.classify(hashed(docs), table(spark, sf_dir, "labels"), carry=("_text",))
     return without(docs, found.filter(~F.col("keep")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near copies the row with the smallest doc_id (null is the largest), then
-    text hash, once."""
-    found = ngram_join.join(docs, texts=True)
-    kept = without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id")) | (F.col("_text") != F.col("class_text"))))
+    text hash, once; of rows that tie in both any one. Texts without words, null as empty, are copies only
+    of equal ones."""
+    found = ngram_join.join(hashed(docs), texts=True)
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("_text") == F.col("class_text"))
+    kept = without(docs, found.filter(~first))
     # Rows of one id and text are copies too; texts are only dealt where there are such rows.
-    marked = kept.withColumn("_text", text_hash())
+    marked = kept.select("doc_id", text_hash().alias("_text"), F.struct(*docs.columns).alias("_row"))
     repeated = marked.groupBy("doc_id", "_text").count().filter("count > 1").limit(1).count()
-    return (marked.dropDuplicates(["doc_id", "_text"]) if repeated else marked).select(docs.columns)
+    return (marked.dropDuplicates(["doc_id", "_text"]) if repeated else marked).select("_row.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 100 bytes and more that an earlier place has too; characters cut in two go."""
-    cut = suffix_dedup.remove_repeats(docs, text_out=True)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Cuts passages of 100 bytes and more that an earlier place (doc_id, null first, then hash of the text)
+    has too; characters cut in two go. A null text becomes empty; a text of which nothing is left stays as
+    an empty one. n_chars is counted anew."""
+    row = F.struct(*(c for c in docs.columns if c != "text")).alias("_row")
+    cut = suffix_dedup.remove_repeats(docs.select("doc_id", "text", row), text_out=True)
+    size = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    new = {"text": F.col("text"), "n_chars": size}
+    return cut.select(*(new.get(c, F.col("_row")[c].alias(c)) for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document in a sequence of at most 1024 tokens."""
+    """One row for each piece of a document in a sequence of at most 1024 tokens; a null or empty text has
+    the end id alone. Repeated rows are packed as different pieces."""
     return packing.op5_packing(docs)
 
 
