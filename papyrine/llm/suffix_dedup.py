@@ -47,7 +47,7 @@ BLOCK_ROWS, BLOCK_BYTES = 1500, 4 << 20
 BATCH_BYTES = 1 << 19
 #: Suffixes of a bucket, and samples that its splitters are taken from, on average. A bucket of suffixes
 #: with their passages holds a tenth as many.
-BUCKET_ROWS, SAMPLES = 250_000, 64
+BUCKET_ROWS, SAMPLES = 125_000, 64
 #: Bytes of text that give one marked suffix, about.
 SPACING = 23
 
