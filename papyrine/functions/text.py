@@ -42,6 +42,13 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(f"({TOKEN})"), F.lit(1))
 
 
+def token_count(c: Column) -> Column:
+    """How many tokens a text has. Letters are folded to letters, so that only marks matter here."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    bare = F.when(F.octet_length(low) == F.length(low), low).otherwise(F.regexp_replace(low, "[\\u0300-\\u036F]", ""))
+    return F.regexp_count(bare, F.lit(TOKEN))
+
+
 def fold_query(text: str) -> list[str]:
     """The tokens of a query phrase, by the same rules on the driver."""
     table = str.maketrans(*fold_table())

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyrine.functions import labels as B
 from papyrine.functions import text as X
@@ -13,7 +14,7 @@ from papyrine.functions import vectors as V
 from papyrine.operators import changes, hybrid, lexical, semantic, store
 from papyrine.plans.query import candidate_limit, parse_query
 from papyrine.schema import LENGTHS, POSTINGS
-from papyrine.session import shared_folder
+from papyrine.session import shared_folder, small_batches
 from papyrine.sources.library import SQL, load
 from papyrine.sources.parsers import html_text, json_depths
 from papyrine.streaming import events as E
@@ -40,6 +41,7 @@ def register(name: str, sql: str | None = None, **more: str):
     def keep(f: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            small_batches(spark)
             return f(load(spark, sf_dir) | {"spark": spark, "dir": sf_dir})
 
         QUERIES[name] = run
@@ -73,18 +75,22 @@ def filter_sql(where: str) -> str:
 _INDEXES: dict[tuple[str, str], lexical.Index] = {}
 
 
+def _stored(spark: SparkSession, what: str, df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows written once to the shared folder and read from there."""
+    folder = shared_folder(spark, what)
+    df.write.options(**lexical.PLAIN).parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
 def kept_index(t: Tables) -> lexical.Index:
     """The full-text index of a data set, built and stored by the first query that needs it and kept for the
     session, as a Library keeps its own with its tables."""
     spark, docs = t["spark"], t["docs"]
     key = (spark.sparkContext.applicationId, t["dir"])
     if key not in _INDEXES:
-        folder = shared_folder(spark, "index")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        lexical.index_postings(docs, 0, parts).write.parquet(f"{folder}/postings")
-        lexical.index_lengths(docs, 0).write.parquet(f"{folder}/lengths")
-        lengths = spark.read.schema(LENGTHS).parquet(f"{folder}/lengths")
-        _INDEXES[key] = lexical.Index(spark.read.schema(POSTINGS).parquet(f"{folder}/postings"), lengths, **lexical.corpus_size(lengths))
+        postings = _stored(spark, "postings", lexical.index_postings(docs, 0), POSTINGS)
+        lengths = _stored(spark, "lengths", lexical.lengths_of_postings(docs, postings, 0), LENGTHS)
+        _INDEXES[key] = lexical.Index(postings, lengths, **lexical.corpus_size(lengths))
     return _INDEXES[key]
 
 

@@ -12,6 +12,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows and bytes of one Arrow batch sent to a Python worker.
+ARROW_ROWS, ARROW_BYTES = 1000, "4m"
 _SHIPPED: set[str] = set()
 
 
@@ -26,6 +28,13 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds each Arrow batch, so that a worker's memory follows a batch, not a partition. Results are
+    computed after an operator has returned, so these settings of the session stay."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once per application."""
     context = spark.sparkContext
