@@ -190,8 +190,10 @@ def _(t):
     docs, number = t["docs"], F.substring("document_id", 5, 10).cast("long")
     stale = docs.withColumn("body", F.when(number % 5 == 0, "worthless of the past").otherwise(F.col("body")))
     written, removed = docs.filter((number % 5 == 0) & (number % 7 != 0)), docs.filter(number % 7 == 0)
-    lengths = lexical.changed_lengths(lexical.index_lengths(stale, 0), written, removed, 1)
-    postings = lexical.index_postings(stale, 0, 8).unionByName(lexical.index_postings(written, 1, 8))
+    old = _stored(t["spark"], "postings", lexical.index_postings(stale, 0), POSTINGS)
+    new = _stored(t["spark"], "postings", lexical.index_postings(written, 1), POSTINGS)
+    lengths = lexical.changed_lengths(lexical.lengths_of_postings(stale, old, 0), written, removed, 1)
+    lengths, postings = _stored(t["spark"], "lengths", lengths, LENGTHS), old.unionByName(new)
     index = lexical.Index(postings, lengths, **lexical.corpus_size(lengths))
     return lexical.scored_by_index(index, [["worthless"], ["of", "the"]]).select("document_id", F.round("relevance", 6).alias("relevance"))
 
