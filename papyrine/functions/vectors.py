@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMENSIONS = 256
+#: Words whose features a worker keeps (some 150 bytes each), and the most that are added at once.
+WORDS = 1 << 18
 #: FNV-1a seeds and multiplier.
 FNV_SEED, SECOND_SEED, FNV_PRIME = 0xCBF29CE484222325, 0x9E3779B97F4A7C15, 0x100000001B3
 #: Smallest squared norm of a usable vector (single-precision epsilon).
@@ -88,30 +92,58 @@ def embed_text(text: str) -> list[float] | None:
     return (sums / norm).tolist() if norm > 0 else None
 
 
+class _Features:
+    """Buckets and signed weights of words that were seen, one after the other; at most WORDS of them."""
+
+    def __init__(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.ends, self.buckets, self.weights = array("q", [0]), array("B"), array("d")
+
+    def code(self, word: str) -> int:
+        found = self.codes.get(word)
+        if found is None:
+            sums = hash_words([word], [1.0])
+            at = np.flatnonzero(sums)
+            self.buckets.frombytes(at.astype(np.uint8).tobytes())
+            self.weights.frombytes(sums[at].tobytes())
+            self.ends.append(len(self.buckets))
+            found = self.codes[word] = len(self.codes)
+        return found
+
+    def add(self, sums: np.ndarray, words_: list[str], weight: float) -> None:
+        """Adds the features of words to a row of sums, each word once with its count."""
+        for i in range(0, len(words_), WORDS):
+            counts = Counter(words_[i : i + WORDS])
+            if len(self.codes) > WORDS:
+                self.__init__()
+            code = np.fromiter(map(self.code, counts), np.int64, len(counts))
+            many = np.fromiter(counts.values(), np.float64, len(counts)) * weight
+            sums += self._summed(code, many)
+
+    def _summed(self, code: np.ndarray, many: np.ndarray) -> np.ndarray:
+        # Views of the arrays must be gone before these grow, so they live in this call only.
+        ends = np.frombuffer(self.ends, np.int64)
+        begin, size = ends[code], ends[code + 1] - ends[code]
+        spots = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+        return np.bincount(np.frombuffer(self.buckets, np.uint8)[spots], np.frombuffer(self.weights)[spots] * np.repeat(many, size), DIMENSIONS)
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def embed_documents(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Document vectors with each word hashed once a worker: the fast form for long bodies."""
+    """Document vectors with each word hashed once a worker: the fast form for long bodies. Sums are
+    multiples of one half, so their order does not matter."""
     import re
 
-    memo: dict[str, np.ndarray] = {}
-
-    def vector(word: str) -> np.ndarray:
-        if word not in memo:
-            if len(memo) > 50_000:
-                memo.clear()
-            memo[word] = hash_words([word], [1.0])
-        return memo[word]
-
+    seen = _Features()
     for titles, bodies in batches:
         out = []
         for title, body in zip(titles, bodies, strict=True):
             sums = np.zeros(DIMENSIONS)
             for text, weight in ((title or "", 2.0), (body or "", 1.0)):
-                for word in re.findall(r"\w+", text.lower()):
-                    sums += weight * vector(word)
+                seen.add(sums, re.findall(r"\w+", text.lower()), weight)
             norm = np.sqrt((sums**2).sum())
-            out.append((sums / norm).tolist() if norm > 0 else None)
-        yield pd.Series(out)
+            out.append(sums / norm if norm > 0 else None)
+        yield pd.Series(out, dtype=object)
 
 
 def fnv1a(values: list[bytes], seeds: np.ndarray) -> np.ndarray:

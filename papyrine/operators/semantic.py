@@ -13,6 +13,7 @@ from papyrine.functions.vectors import EPSILON, cosine, embed_documents, fingerp
 from papyrine.plans.filters import apply_filters, with_metadata
 from papyrine.plans.query import ParsedQuery
 from papyrine.schema import MAX_DIMENSIONS
+from papyrine.session import small_batches
 
 #: A provider makes a vector column of title and body columns.
 Provider = Callable[[Column, Column], Column]
@@ -78,8 +79,11 @@ def get_embedding(embeddings: DataFrame, document_id: str, model_id: str, model_
 def embed(documents: DataFrame, model_id: str, model_version: str, provider: Provider = embed_documents) -> tuple[DataFrame, DataFrame]:
     """(embeddings, failures) of documents: one pass; a document without features or with a blank
     title fails alone."""
+    small_batches(documents.sparkSession)
     made = documents.select("document_id", "title", F.when(F.trim("title") != "", provider(F.col("title"), F.col("body"))).alias("vector"), fingerprint("title", "body").alias("source_fingerprint"))
-    good = made.filter("vector is not null").select("document_id", F.lit(model_id).alias("model_id"), F.lit(model_version).alias("model_version"), F.size("vector").cast("long").alias("dimensions"), "source_fingerprint", F.col("vector").cast("array<float>").alias("vector"))
+    # A filter on the vectors would be pushed below them and have them made twice; an empty list has no rows.
+    held = made.select("document_id", "source_fingerprint", F.explode(F.when(F.col("vector").isNotNull(), F.array("vector"))).alias("vector"))
+    good = held.select("document_id", F.lit(model_id).alias("model_id"), F.lit(model_version).alias("model_version"), F.size("vector").cast("long").alias("dimensions"), "source_fingerprint", F.col("vector").cast("array<float>").alias("vector"))
     failed = made.filter("vector is null").select("document_id", F.when(F.trim("title") == "", "embedding_title_empty").otherwise("embedding_zero_norm").alias("kind"))
     return good, failed
 

@@ -1,8 +1,11 @@
 """Work and memory that follow a batch or a partition, not the whole table."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from papyrine.operators import lexical
+from papyrine.functions import vectors
+from papyrine.operators import lexical, semantic
 from papyrine.sources.library import load
 from tests.conftest import SMALL
 
@@ -27,3 +30,26 @@ def test_postings_are_made_without_a_shuffle(spark, monkeypatch):
     lengths = {tuple(r) for r in slow.collect()}
     for found in (lexical.index_lengths(whole, 3), lexical.lengths_of_postings(whole, made, 3)):
         assert {tuple(r) for r in found.select("document_id", "length").collect()} == lengths
+
+
+def test_vectors_are_made_in_small_batches(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        rows = F.pandas_udf(lambda a, b: pd.Series([[float(len(a))] for _ in a]), "array<double>")
+        docs = spark.range(0, 5000, 1, 1).select(F.col("id").cast("string").alias("document_id"), F.lit("t").alias("title"), F.lit("b").alias("body"), F.lit("/p").alias("source_path_display"))
+        for made in (semantic.embed(docs, "m", "1", rows), semantic.refresh(docs, docs, "m", "1", rows)):
+            assert max(r["vector"][0] for r in made[0].select("vector").collect()) <= 1000
+            assert plan(made[0].select("dimensions", "vector")).count("ArrowEvalPython [") <= 1
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_features_of_many_words(monkeypatch):
+    monkeypatch.setattr(vectors, "WORDS", 7)
+    seen = vectors._Features()
+    for words in (["alpha", "a", "\u00e9t\u00e9", "alpha"] * 3, [f"w{i}" for i in range(40)], []):
+        sums = np.zeros(vectors.DIMENSIONS)
+        seen.add(sums, words, 2.0)
+        assert (sums == vectors.hash_words(words, [2.0] * len(words))).all()
