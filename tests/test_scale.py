@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from papyrine.functions import vectors
 from papyrine.operators import lexical, semantic
 from papyrine.sources.library import load
@@ -53,3 +54,10 @@ def test_features_of_many_words(monkeypatch):
         sums = np.zeros(vectors.DIMENSIONS)
         seen.add(sums, words, 2.0)
         assert (sums == vectors.hash_words(words, [2.0] * len(words))).all()
+
+
+def test_registered_queries_send_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    found = entry.queries()["fingerprint"](spark, SMALL)
+    assert found.count() and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
