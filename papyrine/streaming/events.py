@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -12,9 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from papyrine.functions.text import in_scope
+from papyrine.streaming import runs
 
 #: Quiet time that closes a batch (also in milliseconds), and the most paths of a batch.
 DEBOUNCE, DEBOUNCE_MS, MOST_PATHS = "250 milliseconds", 250, 128
+#: Microseconds of a time that is null.
+NO_TIME = -9223372036854776
 NORMAL = "seq long, ts timestamp, root string, kind string, path string, path_to string, is_dir boolean"
 BATCH = "root string, number long, start timestamp, end timestamp, path string, op string"
 
@@ -49,9 +53,10 @@ def pair_renames(events: DataFrame) -> DataFrame:
 
     A rename_from directly before a rename_to becomes one renamed event (at the later's place); alone
     it becomes removed. A rename_to without its from becomes created. Before a rescan a waiting from is
-    dropped."""
-    w = Window.partitionBy("root").orderBy("seq")
-    both = events.withColumns({"_next": F.lead("kind").over(w), "_before": F.lag("kind").over(w), "_from": F.lag("path").over(w)})
+    dropped. A root's events go by chunks, each with its neighbours' nearest rows."""
+    rows = runs.with_edges(runs.chunked(events.select("seq", "ts", "root", "kind", "path", "is_dir"))[0], "kind", "path")
+    w = Window.partitionBy("chunk", "root").orderBy("seq")
+    both = rows.withColumns({"_next": F.lead("kind").over(w), "_before": F.lag("kind").over(w), "_from": F.lag("path").over(w)}).filter("not _near")
     alone = (F.col("kind") == "rename_from") & (F.coalesce("_next", F.lit("")) != "rename_to") & (F.coalesce("_next", F.lit("")) != "rescan_required")
     paired = (F.col("kind") == "rename_to") & (F.coalesce("_before", F.lit("")) == "rename_from")
     kind = F.when(alone, "removed").when(paired, "renamed").when(F.col("kind") == "rename_to", "created").when(F.col("kind").isin("rename_from", "other"), F.lit(None)).otherwise(F.col("kind"))
@@ -145,6 +150,8 @@ class Batcher:
     rescan: bool = False
     ops: dict[str, str] = field(default_factory=dict)
 
+    time = staticmethod(functools.partial(pd.Timestamp, unit="us"))
+
     @property
     def open(self) -> bool:
         return self.rescan or bool(self.ops)
@@ -152,7 +159,7 @@ class Batcher:
     def flush(self) -> list[tuple]:
         """Rows (root, number, start, end, path, op) of the batch, by path; it is closed."""
         ops = {self.root: "rescan"} if self.rescan else self.ops
-        start, end = pd.Timestamp(self.first, unit="us"), pd.Timestamp(self.last, unit="us")
+        start, end = self.time(self.first), self.time(self.last)
         out = [(self.root, self.number, start, end, path, ops[path]) for path in sorted(ops)]
         self.number, self.rescan, self.ops = self.number + bool(out), False, {}
         return out
@@ -170,6 +177,12 @@ class Batcher:
         return out + self.flush() if len(self.ops) >= self.most else out
 
 
+class MicrosBatcher(Batcher):
+    """The same with times in microseconds."""
+
+    time = int
+
+
 def _gap_us(gap: str) -> int:
     return int(pd.Timedelta(gap).value // 1000)
 
@@ -177,25 +190,11 @@ def _gap_us(gap: str) -> int:
 def coalesce(ops: DataFrame, gap: str = DEBOUNCE, most_paths: int = MOST_PATHS) -> DataFrame:
     """Batches of a finite set of operations: (root, number, start, end, path, op) with the last operation
     of each path, by path; a batch ends at a quiet time of ``gap`` or at ``most_paths`` paths, and a rescan
-    stands alone for its batch. A root's operations go by seq through one open batch, so a task holds no
-    more than that, however long a root is never quiet."""
-    gap_us = _gap_us(gap)
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now: Batcher | None = None
-        for frame in frames:
-            out: list[tuple] = []
-            for e in frame.itertuples():
-                if now is None or e.root != now.root:
-                    out += now.flush() if now else []
-                    now = Batcher(e.root, gap_us, most_paths)
-                out += now.feed(int(pd.Timestamp(e.ts).value // 1000), e.path, e.op)
-            yield pd.DataFrame(out, columns=["root", "number", "start", "end", "path", "op"])
-        if now:
-            yield pd.DataFrame(now.flush(), columns=["root", "number", "start", "end", "path", "op"])
-
-    ordered = ops.select("root", "seq", "ts", "path", "op").repartition("root").sortWithinPartitions("root", "seq", "op")
-    return ordered.mapInPandas(batches, BATCH)
+    stands alone for its batch. A root's operations go by seq (then op and path) through chunks that are worked
+    on side by side, so no task sees the whole of a long root (``runs``)."""
+    us = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(NO_TIME))
+    made = runs.batches(ops.select("root", "seq", us.alias("us"), "path", "op"), _gap_us(gap), most_paths, MicrosBatcher)
+    return made.select("root", "number", *(F.timestamp_micros(c).alias(c) for c in ("start", "end")), "path", "op")
 
 
 def batches_stream(events: DataFrame, gap: str = DEBOUNCE, most_paths: int = MOST_PATHS) -> DataFrame:
