@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ DIMENSIONS = 256
 WORDS = 1 << 18
 #: FNV-1a seeds and multiplier.
 FNV_SEED, SECOND_SEED, FNV_PRIME = 0xCBF29CE484222325, 0x9E3779B97F4A7C15, 0x100000001B3
+#: Bytes of a string that are hashed at once.
+PIECE = 1 << 16
 #: Smallest squared norm of a usable vector (single-precision epsilon).
 EPSILON = 2.0**-23
 
@@ -146,26 +149,61 @@ def embed_documents(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[
         yield pd.Series(out, dtype=object)
 
 
+def slices(sizes: list[int], most: int) -> Iterator[slice]:
+    """Runs of rows whose sizes add up to at most ``most`` (or one row)."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > most:
+            yield slice(start, i)
+            start, total = i, 0
+        total += n
+    if sizes:
+        yield slice(start, len(sizes))
+
+
+@functools.cache
+def _fnv_powers() -> np.ndarray:
+    """FNV_PRIME ** i modulo 2 ** 64 for i <= PIECE."""
+    steps = np.full(PIECE + 1, FNV_PRIME, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+def _fnv_step(states: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """FNV-1a states after so many bytes each (1 to PIECE), without a loop over bytes.
+
+    An exclusive or with a byte adds a number to the state that the state's low byte tells, so with all low
+    bytes known the state is a sum of these numbers times powers of the multiplier. A low byte follows from
+    the one before it bit by bit: each bit is flipped by the data's bit and by what lower bits carry."""
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    low, mixed = (states & np.uint64(255)).astype(np.uint8), np.zeros(len(data), np.uint8)
+    one, factor = np.uint8(1), np.uint8(FNV_PRIME & 255)
+    for bit in map(np.uint8, range(8)):
+        own = (data >> bit) & one
+        flip = own ^ (((mixed * factor) >> bit) & one)
+        before = np.bitwise_xor.accumulate(flip) ^ flip
+        mixed |= (before ^ own ^ np.repeat(before[begins] ^ ((low >> bit) & one), sizes)) << bit
+    added = mixed.astype(np.int64) - (mixed ^ data)
+    powers = _fnv_powers()
+    added = added.view(np.uint64) * powers[np.repeat(ends, sizes) - np.arange(len(data))]
+    return states * powers[sizes] + np.add.reduceat(added, begins)
+
+
 def fnv1a(values: list[bytes], seeds: np.ndarray) -> np.ndarray:
-    """FNV-1a of many byte strings at once, each from its own seed: byte by byte over all that are as long,
-    so the work in Python follows the longest value, not all bytes."""
+    """FNV-1a of many byte strings at once, each from its own seed: pieces of at most PIECE bytes go on from
+    the state of the piece before, and at most about twice as many bytes are worked on at once."""
     out = np.array(seeds, np.uint64)
     sizes = np.array([len(v) for v in values], np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    data = np.frombuffer(b"".join(values[i] for i in order), np.uint8).astype(np.uint64)
-    begins = np.concatenate([[0], np.cumsum(sizes[order])])[:-1]
-    state, prime = out[order], np.uint64(FNV_PRIME)
-    bounds = np.searchsorted(-sizes[order], -np.arange(1, sizes.max(initial=0) + 1), "right")
-    for step, n in enumerate(bounds.tolist()):
-        if n < 4:  # the last long ones one after the other
-            for i in range(n):
-                h = int(state[i])
-                for b in data[begins[i] + step : begins[i] + sizes[order[i]]].tolist():
-                    h = (h ^ b) * FNV_PRIME & (1 << 64) - 1
-                state[i] = h
-            break
-        state[:n] = (state[:n] ^ data[begins[:n] + step]) * prime
-    out[order] = state
+    done = 0
+    while len(left := np.flatnonzero(sizes > done)):
+        now = np.minimum(sizes[left] - done, PIECE)
+        group = (np.cumsum(now) - 1) // PIECE
+        for own in np.split(np.arange(len(left)), np.flatnonzero(np.diff(group)) + 1):
+            at = left[own]
+            data = np.frombuffer(b"".join(memoryview(values[i])[done : done + PIECE] for i in at), np.uint8)
+            out[at] = _fnv_step(out[at], data, now[own])
+        done += PIECE
     return out
 
 
@@ -182,13 +220,14 @@ def path_document_id(paths: pd.Series) -> pd.Series:
 def fingerprint(titles: pd.Series, bodies: pd.Series) -> pd.Series:
     """Sixteen bytes that tell whether a document's embedding input changed: two hashes with a step
     between title and body, little-endian."""
-    first, second = ([(x or "").encode("utf-8", "surrogatepass") for x in column] for column in (titles, bodies))
-    parts = []
-    for seed in (FNV_SEED, SECOND_SEED):
-        h = fnv1a(first, np.full(len(first), seed, np.uint64)) * np.uint64(FNV_PRIME)
-        parts.append(fnv1a(second, h).astype("<u8").view(np.uint8).reshape(-1, 8))
-    both = np.concatenate(parts, axis=1)
-    return pd.Series([row.tobytes() for row in both], titles.index)
+    first = [(x or "").encode("utf-8", "surrogatepass") for x in titles]
+    states = [fnv1a(first, np.full(len(first), seed, np.uint64)) * np.uint64(FNV_PRIME) for seed in (FNV_SEED, SECOND_SEED)]
+    found = np.zeros((len(first), 2), "<u8")
+    for own in slices([len(x or "") for x in bodies], PIECE):
+        second = [(x or "").encode("utf-8", "surrogatepass") for x in bodies.iloc[own]]
+        for column, state in enumerate(states):
+            found[own, column] = fnv1a(second, state[own])
+    return pd.Series([row.tobytes() for row in found], titles.index)
 
 
 def encode_vector(vector: list[float]) -> bytes:

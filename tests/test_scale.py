@@ -61,3 +61,29 @@ def test_registered_queries_send_small_batches(spark):
     found = entry.queries()["fingerprint"](spark, SMALL)
     assert found.count() and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+
+
+def test_hashes_go_piece_by_piece(monkeypatch):
+    import tracemalloc
+
+    def plain(value, h):
+        for b in value:
+            h = (h ^ b) * vectors.FNV_PRIME & (1 << 64) - 1
+        return h
+
+    rng = np.random.default_rng(5)
+    values = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 7, 300, 0, 8, 15, 16, 17, 64, 2, 0)]
+    seeds = rng.integers(0, 1 << 63, len(values)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    wanted = [plain(v, int(s)) for v, s in zip(values, seeds, strict=True)]
+    assert vectors.fnv1a(values, seeds).tolist() == wanted and vectors.fnv1a([], seeds[:0]).tolist() == []
+    monkeypatch.setattr(vectors, "PIECE", 8)
+    vectors._fnv_powers.cache_clear()
+    assert vectors.fnv1a(values, seeds).tolist() == wanted
+    monkeypatch.undo()
+    vectors._fnv_powers.cache_clear()
+    many = [bytes(4000)] * 1000
+    tracemalloc.start()
+    vectors.fnv1a(many, np.full(1000, vectors.FNV_SEED, np.uint64))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12_000_000  # four million bytes were spread over eight times as many
