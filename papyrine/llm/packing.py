@@ -13,6 +13,7 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,55 +21,192 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.llm._shared import shuffle_parts, small_batches
+from papyrine.llm._text import MIX_A, MIX_B, PRIME
 
 #: Target number of rests in one randomised group.
 GROUP_ROWS = 4096
-#: Words whose ids a worker remembers; beyond, it forgets all and starts again.
-MEMO = 400_000
+#: Segments whose ids a task remembers (64 bytes each in a table half full, and their ids); beyond, it
+#: forgets all and starts again.
+MEMO = 1 << 20
+#: Bytes of text encoded at a time, more only where a longer text cannot be cut.
+BLOCK = 1 << 18
+#: Segments of up to this many bytes are remembered: with their length they fill three words.
+KEY_BYTES = 23
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class BytePairEncoder:
-    """Ids of a byte-level vocabulary as little-endian unsigned 32-bit bytes.
+    """Ids of a byte-level vocabulary for a whole Arrow column at once.
 
     Ids equal those of the vocabulary's own tokenizer with special strings taken as ordinary text.
-    Pre-tokens never join across a single blank or line break between other characters, so such
-    texts are cut there and each part is looked up; texts with other white space are encoded whole.
+    Pre-tokens never go on from a character that is not white space to one that is, nor from a letter to
+    anything but a letter, and what precedes such a place does not change how the rest is split. Texts are
+    cut into segments at those of these places that bytes alone show; each different segment goes through
+    the tokenizer once. Segments are looked up by their bytes and length, compared in full, in an open
+    hash table of numpy arrays; longer ones go through the tokenizer each time.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, memo: int = MEMO):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._model = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._odd = re.compile(r"\s\s|[^\S \n]|\s\Z|\A\s")
-        encode = self._model.encode_ordinary
-
-        class Memo(dict):
-            def __init__(self, lead: str):
-                super().__init__()
-                self.lead = lead
-
-            def __missing__(self, word: str) -> bytes:
-                if len(self) > MEMO:
-                    self.clear()
-                ids = np.array(encode(self.lead + word), "<u4").tobytes()
-                if len(word) < 64:
-                    self[word] = ids
-                return ids
-
-        self._bare, self._led = Memo(""), Memo(" ")
-        self._line = np.array(encode("\n"), "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if self._odd.search(text):
-            return np.array(self._model.encode_ordinary(text), "<u4").tobytes()
-        lines = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            lines.append(self._bare[first] + b"".join(map(self._led.__getitem__, rest)))
-        return self._line.join(lines)
+        self._widths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self._widths[list(ranks.values())] = [len(piece) for piece in ranks]
+        self._letter = np.zeros(256, bool)
+        self._letter[65:91] = self._letter[97:123] = True
+        masks = (b"\xff" * n + b"\0" * (24 - n) for n in range(KEY_BYTES + 1))
+        self._masks = np.frombuffer(b"".join(masks), "<u8").reshape(-1, 3)
+        self._plain = re.compile(r"[ \n]?\S+").fullmatch
+        self._memo, self._bits = memo, (2 * memo - 1).bit_length()
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty table: a key (the last is 0 where there is none), place and number of its ids."""
+        self._keys = np.zeros((1 << self._bits, 3), np.uint64)
+        self._at, self._count = np.zeros(1 << self._bits, np.int32), np.zeros(1 << self._bits, np.int32)
+        self._ids = np.zeros(1 << 16, np.uint32)
+        self._used = self._known = 0
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty) in a row, and where each text's begin (one entry more)."""
+        texts = texts.cast(pa.large_string())
+        if texts.null_count:
+            texts = texts.fill_null("")
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        begins, parts, total = np.zeros(len(offsets), np.int64), [np.zeros(0, np.uint32)], 0
+        a, size = 0, BLOCK
+        while a < len(data):
+            b = min(a + size, len(data))
+            lo, hi = np.searchsorted(offsets, (a, b))
+            starts = self._cuts(data[a:b], offsets[lo:hi] - a)
+            if b < offsets[hi]:
+                # The last segment may go on.
+                if len(starts) == 1:
+                    size *= 2
+                    continue
+                b, starts = a + int(starts[-1]), starts[:-1]
+            if len(starts) > self._memo:
+                b, starts = a + int(starts[self._memo]), starts[: self._memo]
+            hi = np.searchsorted(offsets, b)
+            ids, ends = self._segments(data[a:b], starts)
+            begins[lo:hi] = total + np.append(0, ends)[np.searchsorted(starts, offsets[lo:hi] - a)]
+            parts.append(ids)
+            total += len(ids)
+            a, size = b, BLOCK
+        begins[np.searchsorted(offsets, len(data)) :] = total
+        return np.concatenate(parts), begins
+
+    def _cuts(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where segments begin: at 0 and ``begins``, at a blank or line break after a character that is
+        not white space, and at any other ASCII character but a letter after an ASCII letter."""
+        last, this = data[:-1], data[1:]
+        cut = np.zeros(len(data), bool)
+        cut[1:] = self._letter[last] & ~self._letter[this] & (this < 128)
+        blank = np.flatnonzero((this == 32) | (this == 10)) + 1
+        good = data[blank - 1] > 32
+        wide = np.flatnonzero(data[blank - 1] > 127)
+        if len(wide):
+            # White space of two and three bytes, and a few others.
+            ends = blank[wide]
+            one, two, three = data[ends - 1], data[np.maximum(ends - 2, 0)], data[np.maximum(ends - 3, 0)]
+            space = (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
+            space |= (three == 0xE1) & (two == 0x9A) | (three == 0xE3) & (two == 0x80)
+            space |= (three == 0xE2) & (two <= 0x81) & ((one <= 0x8A) | (one == 0x9F) | (one >= 0xA8))
+            good[wide] = ~space
+        cut[blank[good]] = True
+        cut[0] = True
+        cut[begins] = True
+        return np.flatnonzero(cut)
+
+    def _segments(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all segments in a row, and where each segment's end."""
+        if self._known + len(starts) > self._memo:
+            self._forget()
+        sizes = np.diff(starts, append=len(data))
+        short = np.flatnonzero(sizes <= KEY_BYTES)
+        own, width = starts[short], sizes[short]
+        padded = np.zeros(len(data) + 24, np.uint8)
+        padded[: len(data)] = data
+        keys = np.ndarray(len(data), "V24", padded, strides=(1,))[own].view("<u8").reshape(-1, 3)
+        keys &= self._masks[width]
+        keys[:, 2] |= width.astype(np.uint64) << np.uint64(56)
+        hashes = keys[:, 0] * PRIME + keys[:, 1] * MIX_A + keys[:, 2] * MIX_B
+        hashes = (hashes ^ (hashes >> np.uint64(32))) * PRIME
+        spots = (hashes >> np.uint64(64 - self._bits)).astype(np.int64)
+        found = self._find(keys, spots)
+        lost = np.flatnonzero(found < 0)
+        while len(lost):
+            # One of each hash; another segment of the same hash takes one more round.
+            new = lost[np.unique(hashes[lost], return_index=True)[1]]
+            self._learn(keys[new], spots[new], [data[x : x + n].tobytes().decode() for x, n in zip(own[new].tolist(), width[new].tolist(), strict=True)])
+            found[lost] = self._find(keys[lost], spots[lost])
+            lost = lost[found[lost] < 0]
+        counts, at = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        counts[short], at[short] = self._count[found], self._at[found]
+        long = {}
+        for i in np.flatnonzero(sizes > KEY_BYTES).tolist():
+            long[i] = self._model.encode_ordinary(data[starts[i] : starts[i] + sizes[i]].tobytes().decode())
+            counts[i] = len(long[i])
+        ends = np.cumsum(counts)
+        ids = self._ids.take(np.repeat(at - ends + counts, counts) + np.arange(ends[-1]), mode="clip")
+        for i, own_ids in long.items():
+            ids[ends[i] - counts[i] : ends[i]] = own_ids
+        return ids, ends
+
+    def _find(self, keys: np.ndarray, spots: np.ndarray) -> np.ndarray:
+        """The place of each key in the table, or -1. Keys lie at their spot or at the next free one."""
+        found, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        while len(left):
+            there = self._keys[spots]
+            other = there ^ keys
+            hit = (other[:, 0] | other[:, 1] | other[:, 2]) == 0
+            found[left[hit]] = spots[hit]
+            on = np.flatnonzero(~hit & (there[:, 2] != 0))
+            left, keys, spots = left[on], keys[on], (spots[on] + 1) & (len(self._keys) - 1)
+        return found
+
+    def _learn(self, keys: np.ndarray, spots: np.ndarray, texts: list[str]) -> None:
+        """Puts different keys that the table has not into it, with the ids of their texts."""
+        ids, ends = self._tokens(texts)
+        while self._used + len(ids) > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
+        self._ids[self._used : self._used + len(ids)] = ids
+        counts, left = np.diff(ends, prepend=0), np.arange(len(keys))
+        while len(left):
+            free = np.flatnonzero(self._keys[spots, 2] == 0)
+            # Of those that want one free place the last gets it.
+            self._at[spots[free]] = left[free]
+            won = free[self._at[spots[free]] == left[free]]
+            place, key = spots[won], left[won]
+            self._keys[place], self._count[place] = keys[key], counts[key]
+            self._at[place] = self._used + ends[key] - counts[key]
+            rest = np.ones(len(left), bool)
+            rest[won] = False
+            left, spots = left[rest], (spots[rest] + 1) & (len(self._keys) - 1)
+        self._used += len(ids)
+        self._known += len(keys)
+
+    def _tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's end. Texts whose only white space is one
+        blank or line break before the rest go through the tokenizer together, a line break between them:
+        it is a pre-token of its own there."""
+        plain = np.array([self._plain(t) is not None for t in texts], bool)
+        lines = [t for t, p in zip(texts, plain, strict=True) if p]
+        ids = self._model.encode_to_numpy("\n".join(lines))
+        breaks = np.cumsum([len(t.encode()) + 1 for t in lines])[:-1]
+        at = np.searchsorted(np.cumsum(self._widths[ids]), breaks)
+        ends = np.append(at, len(ids)) - np.arange(len(at) + 1)
+        ids = np.delete(ids, at)
+        if plain.all():
+            return ids, ends
+        each = iter(np.split(ids, ends[:-1]))
+        found = [next(each) if p else np.array(self._model.encode_ordinary(t), np.uint32) for t, p in zip(texts, plain, strict=True)]
+        return np.concatenate(found), np.cumsum([len(x) for x in found])
 
 
 def token_pieces(docs: DataFrame, *, capacity: int = 1024, tokenizer: str = "byte_bpe_50k", end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -84,20 +222,22 @@ def token_pieces(docs: DataFrame, *, capacity: int = 1024, tokenizer: str = "byt
         import public_tokenizers
 
         coder = BytePairEncoder(public_tokenizers.path(f"{tokenizer}.tiktoken"), public_tokenizers.PATTERN)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = coder.encode(text or "") + end
-                total = len(ids) // 4
-                for at in range(0, total, capacity):
-                    part = ids[4 * at : 4 * (at + capacity)]
-                    for column, value in zip(rows, (doc_id, at, len(part) // 4, zlib.crc32(part), total, np.frombuffer(part, "<u4").astype("<i4") if with_ids else None), strict=True):
-                        column.append(value)
-            columns = [pa.array(c, pa.int64()) for c in rows[:5]]
+            ids, begins = coder.encode(batch.column(1))
+            ids = np.insert(ids, begins[1:], end_id).astype("<u4", copy=False)
+            begins += np.arange(len(begins))
+            totals = np.diff(begins)
+            pieces = -(-totals // capacity)
+            row = np.repeat(np.arange(len(totals)), pieces)
+            starts = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+            # Pieces follow each other without a gap.
+            edges = np.append(begins[row] + starts, len(ids))
+            data = memoryview(ids).cast("B")
+            sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in pairwise(edges.tolist())]
+            columns = [batch.column(0).cast(pa.int64()).take(pa.array(row)), *(pa.array(c, pa.int64()) for c in (starts, np.diff(edges), sums, totals[row]))]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             if with_ids:
-                columns.append(pa.array(rows[5], pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.view("<i4"))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as public
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +174,39 @@ def test_count_edges(spark):
     got = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").withColumn("best_score", F.lit("clash")), model_path=MODEL).collect()
     assert len(got) == 4 and len({r["n_tokens"] for r in got if r["doc_id"] is None}) == 1
     assert sorted(r["n_tokens"] > 100_000 for r in got if r["doc_id"] == 1) == [False, True]
+
+
+def test_each_segment_is_tokenised_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    exact.encode_special_tokens = True
+    r = random.Random(5)
+    spaces = [chr(i) for i in (9, 11, 12, 13, 28, 31, 0x85, 0xA0, 0x1680, 0x2000, 0x200A, 0x200B, 0x2028, 0x202F, 0x205F, 0x3000)]
+    parts = [" ", " ", "\n", "  ", *spaces, "a", "the", "é", "漢", "”", "…", "ٓ", "٠", "'s", "'", ".", "7", "\0", "<|endoftext|>", "x" * 24, "é" * 12]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 60))) for _ in range(300)] + [None, "", "ab" * 3000, "a." * 3000]
+    want = [exact.encode(t or "", add_special_tokens=False).ids for t in texts]
+    place = public.path("byte_bpe_50k.tiktoken"), public.PATTERN
+    for memo, block in ((1 << 20, 1 << 18), (100, 700), (1, 1)):
+        monkeypatch.setattr(packing, "BLOCK", block)
+        ids, begins = packing.BytePairEncoder(*place, memo=memo).encode(pa.array(["before", *texts]).slice(1))
+        assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:])] == want
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.chars = model, 0
+
+        def __getattr__(self, name):
+            def encode(text, **more):
+                self.chars += len(text)
+                return getattr(self.model, name)(text, **more)
+
+            return encode
+
+    # Tabs and double blanks too: a text is never tokenised whole because of them.
+    monkeypatch.setattr(packing, "BLOCK", 1 << 10)
+    coder = packing.BytePairEncoder(*place)
+    coder._model = Counted(coder._model)
+    words = ["stone", "river.", "\tlight", " night,"]
+    coder.encode(pa.array([" ".join(r.choices(words, k=500)) for _ in range(20)]))
+    assert 0 < coder._model.chars < 300
